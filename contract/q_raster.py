@@ -325,13 +325,13 @@ def ts_09(t):
 @query("ts_10", f"""
 SELECT site_no, {YMD.format('min(date)')} AS onset_date, arg_max(area_m2, date) AS total_area_m2,
   {rnd("coalesce((arg_max(area_m2, date) - arg_min(area_m2, date))/nullif(date_diff('day', min(date), max(date)), 0), 0.0)", 6)} AS growth_m2_per_day,
-  {rnd("regr_slope(area_m2, date_diff('day', DATE '1970-01-01', date))", 4)} AS slope_m2_per_day,
+  {rnd(rnd("nullif(regr_slope(area_m2, date_diff('day', DATE '1970-01-01', date)), 'nan'::DOUBLE)", 7), 3)} AS slope_m2_per_day,
   max(area_m2) AS peak_area_m2, {rnd('avg(confidence)', 6)} AS confidence,
   CASE WHEN arg_max(area_m2, date) > 1000 THEN 'active' ELSE 'inactive' END AS current_status FROM obs GROUP BY site_no""", ("obs",))
 def ts_10(t):
     g = summaries.site_growth(t.obs, ["site_no"])
     return g.withColumns({"onset_date": DAY("onset_date"), "growth_m2_per_day": F.round("growth_m2_per_day", 6),
-                          "slope_m2_per_day": F.round("slope_m2_per_day", 4), "confidence": F.round("confidence", 6)})
+                          "slope_m2_per_day": F.round(F.round("slope_m2_per_day", 7), 3), "confidence": F.round("confidence", 6)})
 
 
 @query("ts_11", _OBS_TEXT, ("obs",))

@@ -126,18 +126,20 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, q: float, out
 
     A mergeable sketch gives a bracket around the wanted rank (error at most n/accuracy on each
     side); the rows below it are only counted and the distinct values inside it are ranked exactly.
-    Only about 4/accuracy of a group, less its repeats, is ever sorted together.
+    Only about 6/accuracy of a group, less its repeats, is ever sorted together; groups of up to
+    ``accuracy`` rows are ranked whole, since there the bracket could be narrower than one rank.
     """
-    slack = 2.0 / accuracy
+    slack = 3.0 / accuracy
     probs = F.array(F.lit(max(q - slack, 0.0)), F.lit(min(q + slack, 1.0)))
     value_rows = rows.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     sketch = value_rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.percentile_approx("_v", probs, F.lit(accuracy)).alias("_b"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     # at the ends of the range the sketch error could cut off the extreme itself
+    small = F.col("_n") <= accuracy
     sketch = sketch.select(*keys, "_n",
-                           (F.col("_min") if q - slack <= 0.0 else F.col("_b")[0]).alias("_lo"),
-                           (F.col("_max") if q + slack >= 1.0 else F.col("_b")[1]).alias("_hi"))
+                           F.when(small | F.lit(q - slack <= 0.0), F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
+                           F.when(small | F.lit(q + slack >= 1.0), F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"))
     tagged = attach(value_rows, sketch, keys, "inner", "bracket")
     counted = (
         tagged.filter(F.col("_v") <= F.col("_hi"))

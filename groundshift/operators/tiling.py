@@ -68,3 +68,71 @@ def overlap_mean(predictions: DataFrame, keys: list[str], value: str = "p") -> D
 def fill_uncovered(all_cells: DataFrame, means: DataFrame, keys: list[str], value: str = "p") -> DataFrame:
     """Cells no window covers get 0."""
     return all_cells.select(*keys).join(means, keys, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+
+
+# ---- label rasters and chips ---------------------------------------------------------------------------------
+
+
+def rasterise(polygons: DataFrame, grid: dict[str, float], height: int, width: int, ring: str = "ring", keys: list[str] | None = None) -> DataFrame:
+    """Cells (y, x) of a north-up grid whose centre lies inside any polygon.
+
+    Candidate cells come from each ring's bounding box and are tested in the same row; nothing is joined.
+    """
+    from ..functions.geometry import contains_point, ring_bbox
+
+    keys = keys or []
+    box = ring_bbox(F.col(ring))
+    col = lambda lon: (lon - F.lit(grid["c"])) / F.lit(grid["a"]) - 0.5
+    row = lambda lat: (lat - F.lit(grid["f"])) / F.lit(grid["e"]) - 0.5
+    bound = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.lit(n)).cast("int")
+    x0, x1 = F.floor(F.least(col(box["min_x"]), col(box["max_x"]))), F.ceil(F.greatest(col(box["min_x"]), col(box["max_x"])))
+    y0, y1 = F.floor(F.least(row(box["min_y"]), row(box["max_y"]))), F.ceil(F.greatest(row(box["min_y"]), row(box["max_y"])))
+    inside = (x1 >= 0) & (x0 <= width - 1) & (y1 >= 0) & (y0 <= height - 1)
+    c = polygons.filter(inside).select(*keys, F.col(ring).alias("_r"), F.explode(F.sequence(bound(y0, height - 1), bound(y1, height - 1))).alias("y"),
+                                       F.sequence(bound(x0, width - 1), bound(x1, width - 1)).alias("_xs"))
+    c = c.select(*keys, "_r", "y", F.explode("_xs").alias("x"))
+    lon = F.lit(grid["a"]) * (F.col("x") + 0.5) + F.lit(grid["c"])
+    lat = F.lit(grid["e"]) * (F.col("y") + 0.5) + F.lit(grid["f"])
+    return c.filter(contains_point(F.col("_r"), lon, lat)).select(*keys, "y", "x").distinct()
+
+
+def chip_id(scene: Column, y0: Column, x0: Column) -> Column:
+    return F.concat(scene.cast("string"), F.lit("_y"), y0.cast("string"), F.lit("_x"), x0.cast("string"))
+
+
+def sampled(ident: Column, one_in: int = 10) -> Column:
+    """Reproducible one-in-n choice from the hash of an id, the same on every engine."""
+    return F.conv(F.substring(F.md5(ident), 1, 8), 16, 10).cast("long") % one_in == 0
+
+
+def choose_chips(images: DataFrame, label_cells: DataFrame, scene: str, size: int = TILE_SIZE, stride: int = STRIDE,
+                 height: int | None = None, width: int | None = None, one_in: int = 10) -> DataFrame:
+    """Chips of every scene that hold a label cell, plus one in ``one_in`` of the empty ones.
+
+    ``images`` has (scene, height, width); label cells are on the shared grid of the scenes' area.
+    """
+    chips = sliding_tiles(images, [scene], size, stride, cover_edge=False)
+    hot = tile_membership(label_cells, F.lit(height), F.lit(width), size, stride, cover_edge=False)
+    hot = hot.groupBy("y0", "x0").agg(F.count("*").alias("n_label_cells"))
+    chips = chips.join(hot, ["y0", "x0"], "left").withColumn("n_label_cells", F.coalesce("n_label_cells", F.lit(0)).cast("long"))
+    chips = chips.withColumn("chip_id", chip_id(F.col(scene), F.col("y0"), F.col("x0")))
+    return chips.filter((F.col("n_label_cells") > 0) | sampled(F.col("chip_id"), one_in))
+
+
+def _field(structs: str, name: str) -> Column:
+    return F.transform(structs, lambda s: s[name])
+
+
+def cut_chips(cell_rows: DataFrame, chips: DataFrame, keys: list[str], payload: list[str], size: int, stride: int,
+              height: Column, width: Column, cover_edge: bool) -> DataFrame:
+    """Row-major cell arrays of the wanted chips. Cells outside them are dropped before the shuffle; a
+    chip's list has a fixed size."""
+    member = tile_membership(cell_rows, height, width, size, stride, cover_edge)
+    member = member.join(chips.select(*keys, "y0", "x0"), [*keys, "y0", "x0"], "left_semi")
+    packed = member.groupBy(*keys, "y0", "x0").agg(F.sort_array(F.collect_list(F.struct("y", "x", *payload))).alias("_c"))
+    return packed.select(*keys, "y0", "x0", *[_field("_c", p).alias(p) for p in payload])
+
+
+def tile_index(pairs: DataFrame, key: str, size: int = TILE_SIZE, stride: int = STRIDE) -> DataFrame:
+    """One row per paired image and window, no edge windows."""
+    return sliding_tiles(pairs, [key], size, stride, cover_edge=False)
