@@ -24,6 +24,8 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        # the files store local timestamps; event time and pushed-down time ranges need TIMESTAMP
+        spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:

@@ -105,11 +105,15 @@ def bbox_intersects(row: tuple[Column, ...], query: tuple[float, ...]) -> Column
     return (x0 <= q2) & (x1 >= q0) & (y0 <= q3) & (y1 >= q1)
 
 
-def rect_iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
-    """IoU of two boxes given as (min_x, min_y, max_x, max_y); 0 for an empty union."""
+def rect_intersection(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     ox = F.greatest(F.least(a[2], b[2]) - F.greatest(a[0], b[0]), F.lit(0.0))
     oy = F.greatest(F.least(a[3], b[3]) - F.greatest(a[1], b[1]), F.lit(0.0))
-    inter = ox * oy
+    return ox * oy
+
+
+def rect_iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """IoU of two boxes given as (min_x, min_y, max_x, max_y); 0 for an empty union."""
+    inter = rect_intersection(a, b)
     union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - inter
     return F.when(union > 0.0, inter / union).otherwise(F.lit(0.0))
 
