@@ -1,14 +1,149 @@
-"""Detection jobs over one or many areas."""
+"""Detection jobs over one or many areas: catalogue -> bands -> mask -> polygons -> scored sites."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry, indices, scoring
+from ..operators import components, filters, overlap, raster, scorer, stencils, summaries, tiling, timeseries
+from ..session import attach, stage
+from ..sources import catalogue
+
 # Sensor names written on detections.
 SENSOR_LABEL = {"sentinel2": "Sentinel-2", "sentinel1": "Sentinel-1", "landsat": "Landsat"}
+RADAR_METHOD = "SAR coherence + backscatter"
+KEYS = ["area", "step"]
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How tiles lie on the ground: tile side and image size in cells, and the affine grid (lon/lat).
+
+    ``grid`` is a Column so that a per-area grid can be carried on the tile rows' areas.
+    """
+
+    tile: int
+    width: int
+    height: int
+    grid: Column
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Detection parameters with the engine's defaults."""
+
+    ndvi_delta: float = indices.NDVI_DELTA_MAX
+    swir: float = indices.SWIR_MIN
+    tolerance: float = 0.01
+    min_px: float = 10.0
+    min_area_m2: float = 10000.0
+    confidence: float = 0.7
+    min_persistence: int = 2
+    step_change: float = indices.STEP_CHANGE
+
+
+def vectorise(masks: DataFrame, layout: Layout, limits: Limits, keys: list[str] = KEYS) -> DataFrame:
+    """Polygons of mask tiles with area, confidence, risk, threat and tonnage, small ones dropped."""
+    cells = components.label_cells(masks, keys, layout.tile, layout.width)
+    p = components.polygonise(cells, keys, limits.tolerance, limits.min_px)
+    p = p.withColumn("ring", components.ring_to_world(F.col("ring"), layout.grid))
+    p = p.withColumn("area_m2", geometry.area_m2(F.col("ring")))
+    p = filters.large_enough(p, limits.min_px, 3, limits.min_area_m2)
+    conf = scoring.detection_confidence(F.col("area_m2"))
+    p = p.withColumns({"confidence": conf, "risk_score": scoring.risk_score(F.col("area_m2"), conf, F.lit(1.0))})
+    c = geometry.centroid(F.col("ring"))
+    return p.select(
+        *keys, "component", F.format_string("%s-%s-%s", *[F.col(k).cast("string") for k in keys], F.col("component").cast("string")).alias("site_id"),
+        "n_cells", "contour_px", "n_vertices", "ring",
+        F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates")).alias("geometry"),
+        F.struct(c[0].alias("lon"), c[1].alias("lat")).alias("centroid"),
+        F.round("area_m2", 2).alias("area_m2"), F.round("confidence", 2).alias("confidence"), "risk_score",
+        scoring.threat_level(F.col("risk_score")).alias("threat_level"), scoring.tonnage(F.col("area_m2")).alias("estimated_tonnage"),
+    )
+
+
+def tiles_of_pair(band_tiles: DataFrame, pairs: DataFrame, bands: dict[str, str]) -> DataFrame:
+    """Band tiles of the newest scene and the one before it, per area, aligned into ``<band>`` and ``<band>_t0``.
+
+    The pair table holds one row per area and is attached by its measured size, so tiles of other
+    scenes fall away before anything is shuffled.
+    """
+    wanted = pairs.select("area", F.explode(F.array(
+        F.struct(F.col("scene_t0").alias("scene_id"), F.lit(0).alias("step")),
+        F.struct(F.col("scene_t1").alias("scene_id"), F.lit(1).alias("step")))).alias("p")).select("area", "p.*")
+    tiles = attach(band_tiles.drop("step"), wanted, ["area", "scene_id"], "inner", "pair")
+    aligned = raster.align_bands(tiles, bands, extra=["scene_id", "h", "w"])
+    return raster.previous_scene(aligned, list(bands))
+
+
+def within(band_tiles: DataFrame, bbox, layout: Layout) -> DataFrame:
+    """Tiles that touch the box: an address range worked out from the (constant) grid, so it prunes the scan."""
+    x0, y0, x1, y1 = filters.check_bbox(bbox)
+    g, side = layout.grid, layout.tile
+    lon = lambda c: g["a"] * c + g["c"]
+    lat = lambda r: g["e"] * r + g["f"]
+    west, east = lon(F.col("tx") * side), lon((F.col("tx") + 1) * side)
+    north, south = lat(F.col("ty") * side), lat((F.col("ty") + 1) * side)
+    return band_tiles.filter((west <= x1) & (east >= x0) & (south <= y1) & (north >= y0))
+
+
+def detect_changes(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(),
+                   bbox=None, start=None, end=None, max_cloud=None) -> DataFrame:
+    """Bitemporal detection between the two newest scenes of every area."""
+    pairs = catalogue.latest_pair(catalogue.search_optical(scenes, bbox, start, end, max_cloud), ["area"])
+    if bbox is not None:
+        band_tiles = within(band_tiles, bbox, layout)
+    cells = raster.change_cells(tiles_of_pair(band_tiles, pairs, bands), layout.tile)
+    cells = cells.withColumn("anomaly", indices.vegetation_to_bare(F.col("delta_ndvi"), F.col("swir"), limits.ndvi_delta, limits.swir))
+    found = vectorise(raster.mask_tiles(cells, "anomaly", layout.tile), layout, limits)
+    found = found.join(pairs.select("area", "scene_t0", "scene_t1", F.to_date("ts_t1").alias("detection_date")), "area")
+    return filters.by_confidence(found, limits.confidence)
+
+
+def detect_radar(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(),
+                 bbox=None, start=None, end=None) -> DataFrame:
+    """Radar change between the two newest descending scenes: backscatter test, clean-up, polygons."""
+    pairs = catalogue.latest_pair(catalogue.search_radar(scenes, bbox, start, end), ["area"])
+    wanted = pairs.select("area", F.explode(F.array(
+        F.struct(F.col("scene_t0").alias("scene_id"), F.lit(0).alias("step")),
+        F.struct(F.col("scene_t1").alias("scene_id"), F.lit(1).alias("step")))).alias("p")).select("area", "p.*")
+    tiles = raster.align_bands(attach(band_tiles.drop("step"), wanted, ["area", "scene_id"], "inner", "pair"), bands, extra=["h", "w"])
+    cells = raster.radar_change(tiles, layout.tile)
+    masks = stencils.clean_mask(raster.mask_tiles(cells, "anomaly", layout.tile), KEYS)
+    found = vectorise(masks, layout, limits).withColumn("detection_method", F.lit(RADAR_METHOD))
+    return found.join(pairs.select("area", "scene_t0", "scene_t1", F.to_date("ts_t1").alias("detection_date")), "area")
+
+
+def detect_over_time(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(),
+                     bbox=None, start=None, end=None, max_cloud=30, min_revisits: int = 3, collection: str = catalogue.OPTICAL) -> DataFrame:
+    """Detection over a whole stack: cells anomalous at the last step and often enough before.
+
+    Areas with fewer than ``min_revisits`` scenes are left out. Each site carries its stack's first
+    and last time, the largest persistence, the mean progression and its own earliest onset.
+    """
+    found = catalogue.search_optical(scenes, bbox, start, end, max_cloud, collection)
+    usable = catalogue.enough_revisits(found, ["area"], min_revisits)
+    stack = found.join(usable.select("area"), "area", "left_semi").select("area", "scene_id", F.col("ts"))
+    tiles = attach(band_tiles.drop("ts", "step"), stack, ["area", "scene_id"], "inner", "stack").withColumnRenamed("ts", "step")
+    tiles = raster.align_bands(tiles, bands, extra=["h", "w"])
+    cells = raster.with_indices(raster.cells(tiles, list(bands), layout.tile))
+    cells = raster.with_swir_enhanced(tiles, cells, ["area"])
+    steps = timeseries.step_flags(timeseries.differences(cells), limits.step_change)
+    history = timeseries.persistent_cells(timeseries.cell_history(steps), limits.min_persistence)
+    last = stack.groupBy("area").agg(F.max("ts").alias("_end"))
+    history = attach(history, last, ["area"], "inner", "end").withColumn("persistent", F.col("persistent") & (F.col("last_time") == F.col("_end")))
+    history = stage(history.withColumnRenamed("last_time", "step").drop("_end"), "history")
+    masks = raster.mask_tiles(history.withColumn("step", F.lit(0)), "persistent", layout.tile)
+    sites = vectorise(masks, layout, limits)
+    meta = timeseries.stack_metadata(cells, timeseries.running_anomalies(steps), history)
+    labelled = components.label_cells(masks, KEYS, layout.tile, layout.width)
+    onset = labelled.join(history.select("area", "ty", "tx", "pos", "onset"), ["area", "ty", "tx", "pos"])
+    onset = onset.groupBy("area", "component").agg(F.min("onset").alias("first_onset"))
+    return sites.join(meta, "area").join(onset, ["area", "component"]).withColumn("detection_date", F.to_date("last_time"))
 
 
 def union_sensors(per_sensor: dict[str, DataFrame]) -> DataFrame:
@@ -18,3 +153,67 @@ def union_sensors(per_sensor: dict[str, DataFrame]) -> DataFrame:
         for name, df in per_sensor.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
+def merge_sensors(per_sensor: dict[str, DataFrame], confidence: float = 0.7, threshold: float = 0.5) -> DataFrame:
+    """Union of the sensors' detections, confidence filter, then suppression of overlapping ones per area."""
+    both = union_sensors(per_sensor)
+    both = both.withColumn("site_id", F.concat_ws("-", "source_sensor", "site_id"))
+    kept = stage(filters.by_confidence(both, confidence), "sensors")
+    return overlap.suppress(kept, "site_id", ["area"], threshold, ring="ring")
+
+
+def detect_multisensor(scenes: DataFrame, band_tiles: dict[str, DataFrame], bands: dict[str, dict[str, str]], layout: Layout,
+                       limits: Limits = Limits(), bbox=None, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """(deduplicated detections, per-sensor result rows) of the sensors that have tiles.
+
+    Each sensor is an independent plan; one without enough scenes contributes no rows and an error text.
+    """
+    runs = {}
+    if "sentinel2" in band_tiles:
+        runs["sentinel2"] = detect_changes(scenes, band_tiles["sentinel2"], bands["sentinel2"], layout, limits, bbox, start, end)
+    if "sentinel1" in band_tiles:
+        runs["sentinel1"] = detect_radar(scenes, band_tiles["sentinel1"], bands["sentinel1"], layout, limits, bbox, start, end)
+    if "landsat" in band_tiles:
+        runs["landsat"] = detect_over_time(scenes, band_tiles["landsat"], bands["landsat"], layout, limits, bbox, start, end,
+                                           max_cloud=None, min_revisits=2, collection=catalogue.HISTORICAL)
+    wanted = ["area", "site_id", "ring", "geometry", "centroid", "area_m2", "confidence", "risk_score", "threat_level", "estimated_tonnage", "detection_date"]
+    runs = {k: stage(v.select(*[c for c in (*wanted, "detection_method") if c in v.columns]), k) for k, v in runs.items()}
+    kept = merge_sensors(runs, limits.confidence)
+    name = F.when(F.col("collection") == catalogue.OPTICAL, "sentinel2").when(F.col("collection") == catalogue.RADAR, "sentinel1").otherwise("landsat")
+    results = summaries.sensor_results(kept.sparkSession, list(runs), union_sensors(runs), scenes.withColumn("source_sensor", name))
+    return kept, results
+
+
+def lookup_sites(sites: DataFrame, sectors: DataFrame, bbox, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """Stored answer for an exact sector box: (records, summary)."""
+    found = filters.stored_sites(sites, sectors, bbox, threshold)
+    return filters.site_record(found), summaries.summary(found)
+
+
+def score_scene(stack: DataFrame, images: DataFrame, layout: Layout, build=scorer.linear_scorer, size: int = tiling.TILE_SIZE,
+                stride: int = tiling.STRIDE, threshold: float = 0.5, keys: list[str] = KEYS) -> DataFrame:
+    """Cell probability, tile confidence and mask of every scene from overlapping model windows.
+
+    ``stack`` has six-channel cells, ``images`` the size of every scene.
+    """
+    h, w = F.lit(layout.height), F.lit(layout.width)
+    chips = tiling.sliding_tiles(images, keys, size, stride)
+    cut = tiling.cut_chips(stack, chips, keys, ["channels"], size, stride, h, w, True)
+    scored = scorer.score_tiles(cut.filter(F.size("channels") == size * size), [*keys, "y0", "x0"], build)
+    cells = scorer.score_cells(scored, keys, size)
+    mean = cells.groupBy(*keys, "y", "x").agg(F.avg("p").alias("p"), F.avg("confidence").alias("confidence"))
+    out = stack.select(*keys, "ty", "tx", "pos", "y", "x").join(mean, [*keys, "y", "x"], "left")
+    out = out.withColumns({"p": F.coalesce("p", F.lit(0.0)), "confidence": F.coalesce("confidence", F.lit(0.0))})
+    return out.withColumn("mask", F.col("p") > threshold)
+
+
+def scored_polygons(scored: DataFrame, layout: Layout, min_px: float = 100.0, tolerance: float = 0.005, keys: list[str] = KEYS) -> DataFrame:
+    """Polygons of a scored mask with approximate area and the mean confidence of their cells."""
+    masks = raster.mask_tiles(scored, "mask", layout.tile)
+    cells = components.label_cells(masks, keys, layout.tile, layout.width)
+    conf = components.zonal_means(cells, scored, keys, ["confidence"])
+    p = components.polygonise(cells, keys, tolerance, min_px).filter(F.col("n_vertices") >= 3)
+    p = p.withColumn("ring", components.ring_to_world(F.col("ring"), layout.grid))
+    p = p.withColumn("area_m2", geometry.area_m2_approx(F.col("ring")))
+    return p.join(conf.drop("n_cells"), [*keys, "component"])
