@@ -127,7 +127,8 @@ class Tables:
         scene = F.floor(F.col("vec_id") / 3)
         tile = scene % 16
         return self.raw("embeddings").select(
-            F.lit("mosaic").alias("area"), scene.alias("scene"), F.floor(scene / 16).cast("int").alias("step"),
+            # depends on the row, as an area column of a real table does (a literal would be folded away)
+            F.when(F.col("vec_id") >= 0, "mosaic").alias("area"), scene.alias("scene"), F.floor(scene / 16).cast("int").alias("step"),
             F.floor(tile / 4).cast("int").alias("ty"), (tile % 4).cast("int").alias("tx"),
             (F.col("vec_id") % 3).cast("string").alias("band"),
             F.lit(TILE).alias("h"), F.lit(TILE).alias("w"),

@@ -174,8 +174,10 @@ _SCENE_ENH = "SELECT step, y, x, greatest(least(swir/(max(swir) OVER (PARTITION
 
 @query("ras_05", _SCENE_ENH, ("idx",))
 def ras_05(t):
-    c = raster.with_swir_enhanced(t.tiles, t.cells, ["area"], "stack_enh")
-    return raster.with_swir_enhanced(t.tiles, c, ["area", "step"], "scene_enh").select(*_YX, "scene_enh", "stack_enh")
+    tiles = raster.attach_max(raster.attach_max(t.tiles, "swir", ["area"], "m_stack"), "swir", ["area", "step"], "m_scene")
+    c = raster.cells(tiles, ["swir"], TILE, carry=["m_stack", "m_scene"])
+    return c.select(*_YX, indices.swir_enhanced(F.col("swir"), F.col("m_scene")).alias("scene_enh"),
+                    indices.swir_enhanced(F.col("swir"), F.col("m_stack")).alias("stack_enh"))
 
 
 @query("agg_10", f"SELECT step, max(swir) AS swir_max, {rnd('quantile_cont(swir, 0.9)', 9)} AS swir_p90 FROM cells GROUP BY step", ("cells",))
@@ -219,8 +221,7 @@ _STACKED = "SELECT step, y, x, red AS c0, nir AS c1, swir AS c2, ndvi AS c3, 0.0
 
 
 def _stack(t):
-    c = raster.with_swir_enhanced(t.tiles, raster.with_indices(t.cells), ["area", "step"])
-    return raster.feature_stack(c)
+    return raster.feature_stack(raster.with_swir_enhanced(t.tiles, list(BANDS), TILE, ["area", "step"]))
 
 
 def _channels(df, col="channels"):
@@ -262,8 +263,7 @@ def ras_24(t):
 
 
 def _steps(t):
-    c = raster.with_swir_enhanced(t.tiles, raster.with_indices(t.cells), ["area"])
-    return timeseries.step_flags(timeseries.differences(c))
+    return timeseries.step_flags(timeseries.tile_differences(t.tiles, TILE, raster.stack_max(t.tiles, "swir", ["area"])))
 
 
 @query("ts_01", "SELECT step, y, x, k, d_ndvi, d_swir FROM steps WHERE k >= 0", ("steps",))

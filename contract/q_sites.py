@@ -368,9 +368,9 @@ def join_13(t):
 @query("geo_01", """
 WITH m AS (SELECT site_id, 6378137.0::DOUBLE*(max_x-min_x)*pi()/180.0 AS w,
   6378137.0::DOUBLE*(ln(tan(pi()/4 + max_y*pi()/360)) - ln(tan(pi()/4 + min_y*pi()/360))) AS h FROM boxes)
-SELECT site_id, round(w*h, 1) AS area_m2 FROM m""", ("boxes",))
+SELECT site_id, round(w*h, 0) AS area_m2 FROM m""", ("boxes",))
 def geo_01(t):
-    return t.polygons.select("site_id", F.round(geometry.area_m2(F.col("ring")), 1).alias("area_m2"))
+    return t.polygons.select("site_id", F.round(geometry.area_m2(F.col("ring")), 0).alias("area_m2"))
 
 
 @query("geo_02", "SELECT site_id, round((max_x-min_x)*(max_y-min_y)*111000.0*111000.0*cos(radians(lat)), 2) AS area_m2 FROM boxes", ("boxes",))

@@ -56,9 +56,10 @@ def complete_scenes(band_tiles: DataFrame, required: list[str], scene: str = "sc
     )
 
 
-def cells(tiles: DataFrame, bands: list[str], tile: int, time: str = "step") -> DataFrame:
-    """One row per cell: address, pos inside the tile, image row/column and the band values."""
-    keep = [c for c in (*ADDRESS, time, "h", "w") if c in tiles.columns]
+def cells(tiles: DataFrame, bands: list[str], tile: int, time: str = "step", carry: list[str] | None = None) -> DataFrame:
+    """One row per cell: address, pos inside the tile, image row/column, the band values and the
+    per-tile columns named in ``carry``."""
+    keep = [c for c in (*ADDRESS, time, "h", "w", *(carry or [])) if c in tiles.columns]
     out = tiles.select(*keep, F.posexplode(F.arrays_zip(*bands)).alias("pos", "v"))
     pos = F.col("pos")
     return out.select(
@@ -115,10 +116,19 @@ def stack_max(tiles: DataFrame, band: str, over: list[str]) -> DataFrame:
     return tiles.groupBy(*over).agg(F.max(F.array_max(band)).alias(band + "_max"))
 
 
-def with_swir_enhanced(tiles: DataFrame, cell_rows: DataFrame, over: list[str], out: str = "swir_enh") -> DataFrame:
-    """SWIR relative to its maximum over ``over`` (an area's whole stack, or one scene)."""
-    joined = attach(cell_rows, stack_max(tiles, "swir", over), over, "inner", "swirmax")
-    return joined.withColumn(out, indices.swir_enhanced(F.col("swir"), F.col("swir_max"))).drop("swir_max")
+def attach_max(tiles: DataFrame, band: str, over: list[str], out: str) -> DataFrame:
+    """Each tile with the band's maximum over ``over`` (an area's whole stack, or one scene).
+
+    Attached to tiles, before anything is exploded: a summary too large to broadcast costs a shuffle
+    of tiles, never of cells.
+    """
+    return attach(tiles, stack_max(tiles, band, over).withColumnRenamed(band + "_max", out), over, "inner", "max")
+
+
+def with_swir_enhanced(tiles: DataFrame, bands: list[str], tile: int, over: list[str], time: str = "step") -> DataFrame:
+    """Cells with indices and SWIR relative to its maximum over ``over``."""
+    rows = cells(attach_max(tiles, "swir", over, "swir_max"), bands, tile, time, carry=["swir_max"])
+    return with_indices(rows).withColumn("swir_enh", indices.swir_enhanced(F.col("swir"), F.col("swir_max"))).drop("swir_max")
 
 
 def exact_percentile(rows: DataFrame, keys: list[str], value: str, q: float, out: str = "pct", accuracy: int = 10000) -> DataFrame:
@@ -160,16 +170,15 @@ def exact_percentile(rows: DataFrame, keys: list[str], value: str, q: float, out
 def radar_change(tiles: DataFrame, tile: int, time: str = "step") -> DataFrame:
     """Radar cells of consecutive scenes: ratios, coherence loss, exceedance of the earlier scene's
     90th percentile, and their conjunction."""
-    c = cells(previous_scene(tiles, ["vv", "vh"], time), ["vv", "vh", "vv_t0", "vh_t0"], tile, time)
     # the percentile of the earlier scene is taken over all of its cells, each counted once
     scene_cells = cells(tiles, ["vv", "vh"], tile, time).select("area", F.col(time).alias("scene_time"), "vv", "vh")
     p_vv = exact_percentile(scene_cells, ["area", "scene_time"], "vv", 0.9, "p90_vv")
     p_vh = exact_percentile(scene_cells, ["area", "scene_time"], "vh", 0.9, "p90_vh")
-    before = tiles.select("area", time).distinct()
     w = W.partitionBy("area").orderBy(time)
-    pairs = before.withColumn("scene_time", F.lag(time).over(w)).filter(F.col("scene_time").isNotNull())
-    p90 = pairs.join(p_vv, ["area", "scene_time"]).join(p_vh, ["area", "scene_time"]).drop("scene_time")
-    c = attach(c, p90, ["area", time], "inner", "p90")
+    before = tiles.select("area", time).distinct().withColumn("scene_time", F.lag(time).over(w)).filter(F.col("scene_time").isNotNull())
+    p90 = before.join(p_vv, ["area", "scene_time"]).join(p_vh, ["area", "scene_time"]).drop("scene_time")
+    pairs = attach(previous_scene(tiles, ["vv", "vh"], time), p90, ["area", time], "inner", "p90")
+    c = cells(pairs, ["vv", "vh", "vv_t0", "vh_t0"], tile, time, carry=["p90_vv", "p90_vh"])
     c = c.withColumns({
         "vv_ratio": indices.backscatter_ratio(F.col("vv"), F.col("vv_t0")),
         "vh_ratio": indices.backscatter_ratio(F.col("vh"), F.col("vh_t0")),

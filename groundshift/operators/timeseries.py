@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import indices
 from ..functions.indices import STEP_CHANGE
-from .raster import CELL
+from ..session import attach
+from .raster import ADDRESS, CELL, previous_scene
 
 INDEX_COLS = ("ndvi", "swir_enh")
 
@@ -34,6 +36,29 @@ def differences(cells: DataFrame, time: str = "step") -> DataFrame:
     return out.filter(F.col("k") >= 0)
 
 
+def tile_differences(tiles: DataFrame, tile: int, swir_max: DataFrame, time: str = "step") -> DataFrame:
+    """Same rows from whole tiles: the lag is taken over tile arrays, which are already sorted by time
+    after band alignment, so cells are neither shuffled nor sorted.
+
+    ``swir_max`` has (area, swir_max) for the whole stack.
+    """
+    w = W.partitionBy(*ADDRESS).orderBy(time)
+    bands = ["red", "nir", "swir"]
+    t = tiles.withColumn("k", (F.row_number().over(w) - 2).cast("long"))
+    pairs = previous_scene(t, bands, time)
+    pairs = attach(pairs, swir_max, ["area"], "inner", "swirmax")
+    keep = [*ADDRESS, time, "k", "w", "swir_max"]
+    c = pairs.select(*keep, F.posexplode(F.arrays_zip(*bands, *[b + "_t0" for b in bands])).alias("pos", "v"))
+    v, pos = F.col("v"), F.col("pos")
+    enh = lambda b: indices.swir_enhanced(v[b], F.col("swir_max"))
+    return c.select(
+        *ADDRESS, time, "pos", "k",
+        (F.col("ty") * tile + F.floor(pos / F.col("w"))).cast("int").alias("y"), (F.col("tx") * tile + pos % F.col("w")).cast("int").alias("x"),
+        (indices.ndvi(v["nir"], v["red"]) - indices.ndvi(v["nir_t0"], v["red_t0"])).alias("d_ndvi"),
+        (enh("swir") - enh("swir_t0")).alias("d_swir"),
+    )
+
+
 def step_flags(diffs: DataFrame, change: float = STEP_CHANGE) -> DataFrame:
     """Significant loss, SWIR rise and their conjunction, all strict."""
     out = diffs.withColumns({"loss": F.col("d_ndvi") < -change, "rise": F.col("d_swir") > change})

@@ -130,16 +130,15 @@ def detect_over_time(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str,
     stack = found.join(usable.select("area"), "area", "left_semi").select("area", "scene_id", F.col("ts"))
     tiles = attach(band_tiles.drop("ts", "step"), stack, ["area", "scene_id"], "inner", "stack").withColumnRenamed("ts", "step")
     tiles = raster.align_bands(tiles, bands, extra=["h", "w"])
-    cells = raster.with_indices(raster.cells(tiles, list(bands), layout.tile))
-    cells = raster.with_swir_enhanced(tiles, cells, ["area"])
-    steps = timeseries.step_flags(timeseries.differences(cells), limits.step_change)
+    steps = timeseries.tile_differences(tiles, layout.tile, raster.stack_max(tiles, "swir", ["area"]))
+    steps = timeseries.step_flags(steps, limits.step_change)
     history = timeseries.persistent_cells(timeseries.cell_history(steps), limits.min_persistence)
     last = stack.groupBy("area").agg(F.max("ts").alias("_end"))
     history = attach(history, last, ["area"], "inner", "end").withColumn("persistent", F.col("persistent") & (F.col("last_time") == F.col("_end")))
     history = stage(history.withColumnRenamed("last_time", "step").drop("_end"), "history")
     masks = raster.mask_tiles(history.withColumn("step", F.lit(0)), "persistent", layout.tile)
     sites = vectorise(masks, layout, limits)
-    meta = timeseries.stack_metadata(cells, timeseries.running_anomalies(steps), history)
+    meta = timeseries.stack_metadata(tiles, timeseries.running_anomalies(steps), history)
     labelled = components.label_cells(masks, KEYS, layout.tile, layout.width)
     onset = labelled.join(history.select("area", "ty", "tx", "pos", "onset"), ["area", "ty", "tx", "pos"])
     onset = onset.groupBy("area", "component").agg(F.min("onset").alias("first_onset"))
