@@ -13,7 +13,7 @@ from groundshift.sources import features
 
 from .fixtures import BANDS, SAR_BANDS, SIDE, TILE
 from .q_raster import _stack
-from .q_shapes import GRID, _chips, _images, _CHIPS, grid_struct
+from .q_shapes import GRID, _chips, _images, _CHIPS
 from .q_sites import _LEVELS, _TOTALS, DAY, YMD
 from .registry import query, rnd
 
@@ -144,7 +144,7 @@ _LIMITS = detection.Limits(ndvi_delta=0.0, swir=0.05, min_px=1.0, confidence=0.6
 
 
 def _layout():
-    return detection.Layout(TILE, SIDE, SIDE, grid_struct())
+    return detection.Layout(TILE, SIDE, SIDE, tuple(GRID.values()))
 
 
 def _catalogue(t):

@@ -16,10 +16,6 @@ _KEYS = ["area", "step"]
 GRID = {"a": 0.001, "b": 0.0, "c": 4.2, "d": 0.0, "e": -0.001, "f": 51.95}
 
 
-def grid_struct():
-    return F.struct(*[F.lit(v).alias(n) for n, v in GRID.items()])
-
-
 # ---- resampling -------------------------------------------------------------------------------------------
 
 _HALF = "half AS (SELECT step, y // 2 AS y, x // 2 AS x, swir AS v FROM cells WHERE y % 2 = 0 AND x % 2 = 0)"

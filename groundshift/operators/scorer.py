@@ -54,25 +54,20 @@ def score_tiles(tiles: DataFrame, keys: list[str], build: Callable[[], Scorer] =
     ``channels`` is an array over cells of six-channel arrays. The model is built once per task and
     fed Arrow batches; tiles stay where they are.
     """
+    flat = tiles.select(*keys, F.size(channels).alias("_n"), F.flatten(channels).alias("_v"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.select(*keys).schema) + ", p array<double>, confidence double"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = build()
         for pdf in parts:
-            for i in range(0, len(pdf), batch):
-                part = pdf.iloc[i:i + batch].copy()
-                probs, conf = [None] * len(part), np.zeros(len(part))
-                stacks = [np.stack([np.asarray(c, dtype=float) for c in rows]).T for rows in part[channels]]
-                sizes = np.array([s.shape[1] for s in stacks])
-                for n in np.unique(sizes):
-                    at = np.flatnonzero(sizes == n)
-                    p, c = scorer(np.stack([stacks[j] for j in at]))
-                    for j, k in enumerate(at):
-                        probs[k], conf[k] = p[j], c[j]
-                part["p"], part["confidence"] = probs, conf
-                yield part[[*keys, "p", "confidence"]]
-
-    return tiles.select(*keys, channels).mapInPandas(run, schema)
+            for n, same in pdf.groupby("_n", sort=False):
+                for i in range(0, len(same), batch):
+                    part = same.iloc[i:i + batch]
+                    stack = np.stack(part["_v"].to_list()).reshape(len(part), n, -1).transpose(0, 2, 1)
+                    p, c = scorer(stack)
+                    yield part[keys].assign(p=list(p), confidence=c)
+
+    return flat.mapInPandas(run, schema)
 
 
 def score_cells(scored: DataFrame, keys: list[str], size: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,15 +22,17 @@ KEYS = ["area", "step"]
 
 @dataclass(frozen=True)
 class Layout:
-    """How tiles lie on the ground: tile side and image size in cells, and the affine grid (lon/lat).
-
-    ``grid`` is a Column so that a per-area grid can be carried on the tile rows' areas.
-    """
+    """How tiles lie on the ground: tile side and image size in cells, and the affine terms
+    (a, b, c, d, e, f) from (column, row) to lon = a*col + b*row + c, lat = d*col + e*row + f."""
 
     tile: int
     width: int
     height: int
-    grid: Column
+    affine: tuple[float, float, float, float, float, float]
+
+    @property
+    def grid(self) -> Column:
+        return F.struct(*[F.lit(float(v)).alias(n) for n, v in zip("abcdef", self.affine)])
 
 
 @dataclass(frozen=True)
@@ -81,14 +84,16 @@ def tiles_of_pair(band_tiles: DataFrame, pairs: DataFrame, bands: dict[str, str]
 
 
 def within(band_tiles: DataFrame, bbox, layout: Layout) -> DataFrame:
-    """Tiles that touch the box: an address range worked out from the (constant) grid, so it prunes the scan."""
+    """Tiles that touch the box. The address range is worked out here from the north-up grid, so the
+    filter is plain comparisons on ty and tx, which a partitioned or sorted tile table prunes by."""
     x0, y0, x1, y1 = filters.check_bbox(bbox)
-    g, side = layout.grid, layout.tile
-    lon = lambda c: g["a"] * c + g["c"]
-    lat = lambda r: g["e"] * r + g["f"]
-    west, east = lon(F.col("tx") * side), lon((F.col("tx") + 1) * side)
-    north, south = lat(F.col("ty") * side), lat((F.col("ty") + 1) * side)
-    return band_tiles.filter((west <= x1) & (east >= x0) & (south <= y1) & (north >= y0))
+    a, b, c, d, e, f = layout.affine
+    if b or d:
+        raise ValueError("box clipping needs a north-up grid")
+    cols, rows = sorted(((x0 - c) / a, (x1 - c) / a)), sorted(((y0 - f) / e, (y1 - f) / e))
+    tx = [math.floor(v / layout.tile) for v in cols]
+    ty = [math.floor(v / layout.tile) for v in rows]
+    return band_tiles.filter(F.col("tx").between(*tx) & F.col("ty").between(*ty))
 
 
 def detect_changes(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(),

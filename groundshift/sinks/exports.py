@@ -106,18 +106,22 @@ def site_rows_for_boxes(detections: DataFrame, sectors: DataFrame) -> tuple[Data
 
 
 def append_sites(site_rows: DataFrame, path: str) -> None:
-    """Append below ``sector_id=...`` folders, sorted by date so that date ranges prune row groups."""
-    site_rows.sortWithinPartitions("sector_id", "detection_date").write.mode("append").partitionBy("sector_id").parquet(path)
+    """Append below ``sector_id=...`` folders, sorted by date so that date ranges prune row groups.
+
+    The rebalance gathers a small sector in one file and splits a large one over several tasks.
+    """
+    rows = site_rows.hint("rebalance", "sector_id").sortWithinPartitions("sector_id", "detection_date")
+    rows.write.mode("append").partitionBy("sector_id").parquet(path)
 
 
 def write_maps(prob_cells: DataFrame, path: str, keys: list[str], threshold: float = 0.5) -> None:
     """Probability, confidence and mask of every cell, one folder per scene."""
     out = prob_cells.withColumn("mask", (F.col("p") > threshold).cast("tinyint"))
-    out.repartition(*keys, "ty", "tx").write.partitionBy(keys[-1]).parquet(path)
+    out.hint("rebalance", *keys).write.partitionBy(keys[-1]).parquet(path)
 
 
 def write_chips(chips: DataFrame, path: str, scene: str = "step") -> None:
-    chips.write.partitionBy(scene).parquet(path)
+    chips.hint("rebalance", scene).write.partitionBy(scene).parquet(path)
 
 
 def message_fields(site: Column | None = None) -> list[Column]:

@@ -137,14 +137,13 @@ class Monitor:
             jobs = job_scene_pairs(self.jobs, self.scenes, self.run_date)
         else:
             jobs = jobs.withColumn("last_error", F.lit(None).cast("string"))
-        when = batch.agg(F.max("ts").alias("run_ts"))
-        one = F.lit(1).alias("_one")
+        run_ts = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
         if "job_id" in credited.columns:
             n = credited.groupBy("job_id").agg(F.count("*").alias("new_sites"))
         else:
             n = self.jobs.limit(0).select("job_id", F.lit(0).cast("long").alias("new_sites"))
-        out = jobs.select("job_id", "last_error", one).join(when.select("run_ts", one), "_one").join(n, "job_id", "left")
-        return out.select("job_id", "run_ts", "last_error", F.coalesce("new_sites", F.lit(0)).cast("long").alias("new_sites"))
+        out = jobs.select("job_id", "last_error").join(n, "job_id", "left")
+        return out.select("job_id", run_ts.alias("run_ts"), "last_error", F.coalesce("new_sites", F.lit(0)).cast("long").alias("new_sites"))
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
         batch = self.prepare(raw).persist()

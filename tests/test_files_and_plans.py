@@ -119,8 +119,7 @@ def _scene_tiles(spark, images):
 
 
 def _layout():
-    grid = F.struct(*[F.lit(v).alias(n) for n, v in zip("abcdef", (0.001, 0.0, 4.2, 0.0, -0.001, 51.95))])
-    return detection.Layout(8, 24, 24, grid)
+    return detection.Layout(8, 24, 24, (0.001, 0.0, 4.2, 0.0, -0.001, 51.95))
 
 
 def _catalogue(spark, n, collection="optical"):
@@ -146,10 +145,19 @@ def test_pair_detection_finds_the_cleared_block(spark):
     r = got[0]
     assert (r["scene_t0"], r["scene_t1"], r["n_cells"], r["contour_px"]) == ("s1", "s2", 96, 77.0)
     assert r["centroid"]["lon"] == pytest.approx(4.2 + 0.001 * 9.5) and r["centroid"]["lat"] == pytest.approx(51.95 - 0.001 * 10.5)
-    assert r["threat_level"] == "High" and r["confidence"] == 0.9
+    # 77 cells are about 1.5 km² in Mercator metres: 0.4 + 0.3 * 0.9 + 0.3 * 0.9
+    assert (r["risk_score"], r["threat_level"], r["confidence"]) == (94, "Critical", 0.9)
     assert detection.detect_changes(_catalogue(spark, 1), tiles, BANDS, _layout()).count() == 0
 
 
+def test_box_prunes_tiles_by_address(spark):
+    tiles = _scene_tiles(spark, {"s0": _field(None)})
+    got = detection.within(tiles, [4.2, 51.943, 4.2075, 51.95], _layout()).select("ty", "tx").distinct().collect()
+    assert {(r["ty"], r["tx"]) for r in got} == {(0, 0)}
+    got = detection.within(tiles, [4.205, 51.93, 4.217, 51.9405], _layout()).select("ty", "tx").distinct().collect()
+    assert {(r["ty"], r["tx"]) for r in got} == {(y, x) for y in (1, 2) for x in (0, 1, 2)}
+
+
 def test_stack_detection_needs_persistence(spark):
     a, b = (slice(2, 10), slice(2, 10)), (slice(2, 10), slice(2, 10))
     def worse(level):
