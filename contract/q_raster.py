@@ -45,7 +45,8 @@ _OBS_TEXT = f"SELECT site_no, {YMD.format('date')} AS day, area_m2, confidence,
 
 @query("src_06", _OBS_TEXT, ("obs",))
 def src_06(t):
-    packed = t.obs.groupBy("site_no").agg(F.sort_array(F.collect_list(F.struct("date", "area_m2", "confidence", "ndvi"))).alias("s"))
+    # a site's dates are unique, so a row packs at most one year of them
+    packed = t.obs.groupBy("site_no", F.year("date").alias("year")).agg(F.sort_array(F.collect_list(F.struct("date", "area_m2", "confidence", "ndvi"))).alias("s"))
     packed = packed.select("site_no", F.col("s.date").alias("dates"), F.col("s.area_m2").alias("area_m2"),
                            F.col("s.confidence").alias("confidence"), F.col("s.ndvi").alias("ndvi"))
     return features.series_from_arrays(packed, ["site_no"]).withColumn("day", DAY("date")).drop("date")

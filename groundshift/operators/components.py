@@ -167,7 +167,7 @@ def drop_straight(path: np.ndarray) -> np.ndarray:
 def simplify_ring(pts: np.ndarray, tolerance: float) -> np.ndarray:
     """Douglas-Peucker on a closed ring, anchored at two mutually far points."""
     n = len(pts)
-    if n < 4:
+    if n < 2:
         return pts
     a = 0
     for _ in range(3):
@@ -201,21 +201,25 @@ def _shoelace(p: np.ndarray) -> float:
     return abs(float((p[:, 0] * q[:, 1] - q[:, 0] * p[:, 1]).sum())) / 2.0
 
 
-def polygonise(cells: DataFrame, keys: list[str], tolerance: float = 0.01, min_px: float = 0.0) -> DataFrame:
+def polygonise(cells: DataFrame, keys: list[str], tolerance: float = 0.01, min_px: float = 0.0, in_task: int = 1_000_000) -> DataFrame:
     """Outer ring of every component in pixel coordinates (x, y at cell centres), holes ignored.
 
     ``contour_px`` is the ring's shoelace area before simplification and ``tolerance`` a fraction of
-    its perimeter. Only outline cells are gathered, that is the ring the output row holds anyway.
-    Components whose bounding box cannot reach ``min_px`` are dropped before tracing, the others
-    are tested on their real area.
+    its perimeter. Components whose bounding box cannot reach ``min_px`` are dropped before tracing,
+    the others are tested on their real area. A component with up to ``in_task`` outline cells is
+    traced in one task from those cells; a larger one goes through ``outlines``, which never holds
+    a component together and gives the same ring.
     """
-    point = F.when(F.col("outline"), F.struct("y", "x"))
-    grouped = cells.groupBy(*keys, "component").agg(
-        F.count("*").alias("n_cells"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
-        F.collect_list(point).alias("outline"),
-    )
-    grouped = grouped.filter((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")) >= min_px)
-    grouped = grouped.withColumns({"ys": F.col("outline.y"), "xs": F.col("outline.x")})
+    key = [*keys, "component"]
+    size = cells.groupBy(*key).agg(
+        F.count("*").alias("n_cells"), F.count(F.when(F.col("outline"), 1)).alias("n_outline"),
+        F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    size = stage(size.filter((F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0")) >= min_px), "extents")
+    big = size.filter(F.col("n_outline") > in_task).select(*key)
+    small = size.filter(F.col("n_outline") <= in_task)
+    border = cells.filter("outline").select(*key, "y", "x").join(small.select(*key), key, "left_semi")
+    grouped = border.groupBy(*key).agg(F.collect_list(F.struct("y", "x")).alias("c"))
+    grouped = grouped.select(*key, F.col("c.y").alias("ys"), F.col("c.x").alias("xs"))
 
     @F.pandas_udf("struct<contour_px:double,perimeter_px:double,ring:array<array<double>>>")
     def trace(ys: pd.Series, xs: pd.Series) -> pd.DataFrame:
@@ -228,8 +232,13 @@ def polygonise(cells: DataFrame, keys: list[str], tolerance: float = 0.01, min_p
             rows.append((_shoelace(corners), perimeter, np.vstack([ring, ring[:1]]).tolist()))
         return pd.DataFrame(rows, columns=["contour_px", "perimeter_px", "ring"])
 
-    out = grouped.withColumn("t", trace("ys", "xs")).select(*keys, "component", "n_cells", "y0", "x0", "y1", "x1", "t.*")
-    out = out.withColumn("n_vertices", F.size("ring") - 1)
+    rings = grouped.withColumn("t", trace("ys", "xs")).select(*key, "t.*")
+    if not big.isEmpty():
+        from .outlines import large_outlines
+
+        whole = cells.select(*key, "y", "x").join(big, key, "left_semi")
+        rings = rings.unionByName(large_outlines(whole, key, tolerance))
+    out = size.drop("n_outline").join(rings, key).withColumn("n_vertices", F.size("ring") - 1)
     return out.filter(F.col("contour_px") >= min_px)
 
 

@@ -94,6 +94,20 @@ def test_outlines_of_solid_blocks(spark):
     assert got[2]["perimeter_px"] == 2 * (11 + 4)
 
 
+@pytest.mark.parametrize("tolerance", [0.0, 0.02])
+def test_large_outlines_equal_traced_ones(spark, tolerance):
+    """The distributed walk gives the ring the in-task trace gives, on noise, snakes, holes and single cells."""
+    cells = components.label_cells(tiled(spark, [m.astype(np.int8) for m in masks()]), ["area", "step"], TILE, 24)
+    traced = components.polygonise(cells, ["area", "step"], tolerance).filter("n_cells > 1").collect()
+    spread = components.polygonise(cells, ["area", "step"], tolerance, in_task=0).filter("n_cells > 1").collect()
+    by = lambda rows: {(r["step"], r["component"]): r for r in rows}
+    a, b = by(traced), by(spread)
+    assert a.keys() == b.keys() and len(a) > 20
+    for k in a:
+        assert a[k]["contour_px"] == b[k]["contour_px"] and a[k]["perimeter_px"] == pytest.approx(b[k]["perimeter_px"])
+        assert a[k]["ring"] == b[k]["ring"], k
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.integers(0, 10**6), st.floats(0.3, 0.9))
 def test_outline_encloses_its_component(seed, density):
