@@ -13,7 +13,7 @@ from groundshift.sources import features
 
 from .fixtures import BANDS, SAR_BANDS, SIDE, TILE
 from .q_raster import _stack
-from .q_shapes import GRID, _chips, _images, _CHIPS
+from .q_shapes import GRID, MEASURE_SQL, OUTLINE_SQL, _chips, _images, _CHIPS
 from .q_sites import _LEVELS, _TOTALS, DAY, YMD
 from .registry import query, rnd
 
@@ -139,8 +139,8 @@ def snk_07(t):
 
 # ---- pipelines ------------------------------------------------------------------------------------------------
 
-# thresholds loosened for the stand-in values, whose cells are independent noise
-_LIMITS = detection.Limits(ndvi_delta=0.0, swir=0.05, min_px=1.0, confidence=0.6, min_persistence=1, step_change=0.01)
+# thresholds loosened for the stand-in values, whose cells are independent noise; every corner is kept
+_LIMITS = detection.Limits(ndvi_delta=0.0, swir=0.05, tolerance=0.0, min_px=1.0, confidence=0.6, min_persistence=1, step_change=0.01)
 
 
 def _layout():
@@ -163,10 +163,28 @@ def _tiles(t):
 _COLS = ["site_id", "area_m2", "confidence", "risk_score", "threat_level", "estimated_tonnage", "n_vertices"]
 
 
-@query("pipe_01")
+_SITES_SQL = """
+found AS (SELECT p.*, area, lon, lat, least(0.6::DOUBLE + least(area/100000.0, 0.3), 0.95::DOUBLE) AS conf FROM poly p JOIN size USING (step, component)
+  WHERE box_px >= 1 AND contour_px >= 1 AND n_vertices >= 3 AND area >= 10000),
+risky AS (SELECT *, CAST(round_even((least(area/500000.0, 1.0)*0.4 + conf*0.3 + 0.9*0.3)*100.0, 0) AS INTEGER) AS risk_score FROM found),
+site AS (SELECT 'mosaic-' || step || '-' || component AS site_id, component, round(round(area, 2), 0) AS area_m2, round(conf, 2) AS confidence, risk_score,
+  CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN 'High' WHEN risk_score >= 25 THEN 'Moderate' ELSE 'Low' END AS threat_level,
+  round(round(area*0.15, 2), 0) AS estimated_tonnage, n_vertices, round(lon, 6) AS lon, round(lat, 6) AS lat FROM risky WHERE round(conf, 2) >= 0.6)
+"""
+
+
+def _site_columns(d):
+    return d.withColumns({"area_m2": F.round("area_m2", 0), "estimated_tonnage": F.round("estimated_tonnage", 0)})
+
+
+@query("pipe_01", """
+WITH RECURSIVE last AS (SELECT max(step) AS b FROM cells), prev AS (SELECT max(step) AS a FROM cells, last WHERE step < b),
+t AS (SELECT 1 AS step, y.y, y.x FROM idx y JOIN idx z ON z.y = y.y AND z.x = y.x, last, prev WHERE y.step = b AND z.step = a AND y.ndvi - z.ndvi < 0.0 AND y.swir > 0.05::DOUBLE),
+""" + OUTLINE_SQL + "," + MEASURE_SQL + "," + _SITES_SQL + """
+SELECT site_id, area_m2, confidence, risk_score, threat_level, estimated_tonnage, n_vertices, lon, lat, CAST((SELECT a FROM prev) AS VARCHAR) AS scene_t0, CAST((SELECT b FROM last) AS VARCHAR) AS scene_t1 FROM site""", ("idx",))
 def pipe_01(t):
     d = detection.detect_changes(_catalogue(t), _tiles(t), BANDS, _layout(), _LIMITS, bbox=[4.2, 51.9, 4.24, 51.95])
-    return d.select(*_COLS, "scene_t0", "scene_t1", F.round("centroid.lon", 6).alias("lon"), F.round("centroid.lat", 6).alias("lat"))
+    return _site_columns(d).select(*_COLS, "scene_t0", "scene_t1", F.round("centroid.lon", 6).alias("lon"), F.round("centroid.lat", 6).alias("lat"))
 
 
 @query("pipe_02", f"""
@@ -179,10 +197,19 @@ def pipe_02(t):
     return both.drop("k")
 
 
-@query("pipe_03")
+@query("pipe_03", """
+WITH RECURSIVE g AS (SELECT *, coalesce(d_ndvi < -0.01::DOUBLE AND d_swir > 0.01::DOUBLE, false) AS hit FROM steps WHERE k >= 0),
+h AS (SELECT y, x, arg_max(hit, step) AS last_hit, max(step) AS last_step, count(*) FILTER (hit) AS n, coalesce(min(k) FILTER (hit), -1) AS onset FROM g GROUP BY 1, 2),
+t AS (SELECT 0 AS step, y, x FROM h WHERE last_hit AND n >= 1 AND last_step = (SELECT max(step) FROM cells)),
+""" + OUTLINE_SQL + "," + MEASURE_SQL + "," + _SITES_SQL + f""",
+c AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY y, x ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum FROM g),
+p AS (SELECT cum - lag(cum) OVER (PARTITION BY y, x ORDER BY step) AS progression FROM c),
+o AS (SELECT component, min(onset) AS first_onset FROM comp JOIN h ON h.y = comp.y AND h.x = comp.x GROUP BY 1)
+SELECT site_id, area_m2, confidence, risk_score, threat_level, estimated_tonnage, n_vertices, (SELECT max(n) FROM h) AS max_persistence,
+  {rnd('(SELECT avg(progression) FROM p)', 9)} AS mean_progression, first_onset FROM site JOIN o USING (component)""", ("steps",))
 def pipe_03(t):
     d = detection.detect_over_time(_catalogue(t), _tiles(t), BANDS, _layout(), _LIMITS)
-    return d.select(*_COLS, "max_persistence", F.round("mean_progression", 9).alias("mean_progression"), "first_onset")
+    return _site_columns(filters.by_confidence(d, 0.6)).select(*_COLS, "max_persistence", F.round("mean_progression", 9).alias("mean_progression"), "first_onset")
 
 
 @query("pipe_04")
@@ -198,11 +225,11 @@ def _scored_scene(t):
 
 
 _SCORE = """
-WITH w AS (SELECT a.s AS y0, b.s AS x0 FROM (SELECT unnest([0, 8, 16, 20]) AS s) a, (SELECT unnest([0, 8, 16, 20]) AS s) b),
-p AS (SELECT step, y0, x0, y, x, 1.0/(1.0+exp(-(2.0*swir - 3.0*ndvi))) AS p FROM idx JOIN w ON y BETWEEN y0 AND y0 + 11 AND x BETWEEN x0 AND x0 + 11),
-f AS (SELECT step, y0, x0, avg(p) AS confidence FROM p GROUP BY 1, 2, 3 HAVING count(*) = 144),
+WITH win AS (SELECT a.s AS y0, b.s AS x0 FROM (SELECT unnest([0, 8, 16, 20]) AS s) a, (SELECT unnest([0, 8, 16, 20]) AS s) b),
+pred AS (SELECT step, y0, x0, y, x, 1.0/(1.0+exp(-(2.0*swir - 3.0*ndvi))) AS p FROM idx JOIN win ON y BETWEEN y0 AND y0 + 11 AND x BETWEEN x0 AND x0 + 11),
+f AS (SELECT step, y0, x0, avg(p) AS confidence FROM pred GROUP BY 1, 2, 3 HAVING count(*) = 144),
 m AS (SELECT c.step, c.y, c.x, coalesce(avg(q.p), 0) AS p, coalesce(avg(f.confidence), 0) AS confidence
-FROM cells c LEFT JOIN (p q JOIN f USING (step, y0, x0)) ON q.step = c.step AND q.y = c.y AND q.x = c.x GROUP BY 1, 2, 3)
+FROM cells c LEFT JOIN (pred q JOIN f USING (step, y0, x0)) ON q.step = c.step AND q.y = c.y AND q.x = c.x GROUP BY 1, 2, 3)
 """
 
 
@@ -214,9 +241,12 @@ def snk_06(t):
     return saved.select("step", "y", "x", F.round("p", 8).alias("p"), F.round("confidence", 8).alias("confidence"), F.col("mask").cast("int").alias("mask"))
 
 
-@query("pipe_06")
+@query("pipe_06", "WITH RECURSIVE " + _SCORE.strip()[5:] + ", t AS (SELECT step, y, x FROM m WHERE p > 0.5), " + OUTLINE_SQL + "," + MEASURE_SQL + """
+, z AS (SELECT c.step, c.component, avg(confidence) AS conf FROM comp c JOIN m ON m.step = c.step AND m.y = c.y AND m.x = c.x GROUP BY 1, 2)
+SELECT step, component, n_cells, contour_px, n_vertices, round(abs(deg2)*111000.0*111000.0*cos(radians(lat)), 1) AS area_m2, round(conf, 6) AS confidence
+FROM poly JOIN size USING (step, component) JOIN z USING (step, component) WHERE box_px >= 10 AND contour_px >= 10 AND n_vertices >= 3""", ("idx",))
 def pipe_06(t):
-    p = detection.scored_polygons(_scored_scene(t), _layout(), min_px=10.0)
+    p = detection.scored_polygons(_scored_scene(t), _layout(), min_px=10.0, tolerance=0.0)
     return p.select("step", "component", "n_cells", "contour_px", "n_vertices", F.round("area_m2", 1).alias("area_m2"), F.round("mean_confidence", 6).alias("confidence"))
 
 

@@ -95,6 +95,48 @@ comp AS (SELECT r.step, t.y, t.x, min(r.b) AS component FROM r JOIN t ON t.step
 """
 
 
+_TURN = "(({c}) + list_filter([0,1,2,3,4,5,6,7], lambda i: (({m}) >> ((({c}) + i) % 8)) & 1 = 1)[1]) % 8"
+
+# Outlines in SQL, following the border of every component of the cells t(step, y, x) cell by cell.
+OUTLINE_SQL = f"""
+e AS (SELECT a.step, a.y*32 + a.x AS a, b.y*32 + b.x AS b FROM t a JOIN t b ON a.step = b.step AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+r(step, a, b) AS (SELECT step, y*32 + x, y*32 + x FROM t UNION SELECT r.step, r.a, e.b FROM r JOIN e ON e.step = r.step AND e.a = r.b),
+comp AS (SELECT step, a // 32 AS y, a % 32 AS x, min(b) AS component FROM r GROUP BY 1, 2, 3),
+dirs AS (SELECT * FROM (VALUES (0,0,1),(1,1,1),(2,1,0),(3,1,-1),(4,0,-1),(5,-1,-1),(6,-1,0),(7,-1,1)) v(d, dy, dx)),
+nb AS (SELECT a.step, a.y, a.x, CAST(sum(1 << d) AS INTEGER) AS mask FROM (SELECT t.*, dirs.* FROM t, dirs) a JOIN t b ON b.step = a.step AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY 1, 2, 3),
+s0 AS (SELECT c.step, c.component, nb.y, nb.x, {_TURN.format(c='4', m='mask')} AS d FROM (SELECT DISTINCT step, component FROM comp) c
+  JOIN nb ON nb.step = c.step AND nb.y = component // 32 AND nb.x = component % 32),
+w(step, component, n, y, x, d, y0, x0, d0) AS (
+  SELECT step, component, 0, y, x, d, y, x, d FROM s0
+  UNION ALL
+  SELECT step, component, n + 1, y, x, d, y0, x0, d0 FROM (
+    SELECT w.step, component, n, nb.y, nb.x, {_TURN.format(c='w.d + 6', m='nb.mask')} AS d, y0, x0, d0
+    FROM w JOIN dirs ON dirs.d = w.d JOIN nb ON nb.step = w.step AND nb.y = w.y + dy AND nb.x = w.x + dx)
+  WHERE NOT (y = y0 AND x = x0 AND d = d0)),
+walk AS (SELECT w.*, y + dy AS y2, x + dx AS x2, coalesce(lag(w.d) OVER (PARTITION BY step, component ORDER BY n), last_value(w.d) OVER (PARTITION BY step, component ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS come
+  FROM w JOIN dirs ON dirs.d = w.d),
+outline AS (SELECT step, component, abs(sum(x*y2 - x2*y))/2.0 AS contour_px, sum(CASE WHEN d % 2 = 1 THEN sqrt(2.0::DOUBLE) ELSE 1.0::DOUBLE END) AS perimeter_px,
+  count(*) FILTER (come <> d) AS n_vertices, string_agg('[' || x || '.0,' || y || '.0]', ',' ORDER BY n) FILTER (come <> d) AS pts FROM walk GROUP BY 1, 2),
+extent AS (SELECT step, component, count(*) AS n_cells, (max(y) - min(y))*(max(x) - min(x)) AS box_px FROM comp GROUP BY 1, 2),
+poly AS (SELECT x.step, x.component, n_cells, box_px, coalesce(contour_px, 0) AS contour_px, coalesce(perimeter_px, 0) AS perimeter_px, coalesce(n_vertices, 1) AS n_vertices,
+  '[' || coalesce(pts, '[' || (x.component % 32) || '.0,' || (x.component // 32) || '.0]') || ',' || coalesce(split_part(pts, ']', 1) || ']', '[' || (x.component % 32) || '.0,' || (x.component // 32) || '.0]') || ']' AS ring
+  FROM extent x LEFT JOIN outline o ON o.step = x.step AND o.component = x.component)
+"""
+
+# Mercator and degree measures of the corner rings above.
+MEASURE_SQL = """
+corner AS (SELECT step, component, n, 4.2::DOUBLE + 0.001::DOUBLE*x AS lon, 51.95::DOUBLE - 0.001::DOUBLE*y AS lat FROM walk WHERE come <> d),
+cyc AS (SELECT *, coalesce(lead(lon) OVER z, first_value(lon) OVER z) AS lon2, coalesce(lead(lat) OVER z, first_value(lat) OVER z) AS lat2,
+  first_value(lon) OVER z AS lon0, first_value(lat) OVER z AS lat0 FROM corner WINDOW z AS (PARTITION BY step, component ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+proj AS (SELECT step, component, lon - lon0 AS ax, lat - lat0 AS ay, lon2 - lon0 AS bx, lat2 - lat0 AS by_, lon0, lat0,
+  6378137.0*radians(lon - lon0) AS mx, 6378137.0*(ln(tan(pi()/4 + radians(lat)/2)) - ln(tan(pi()/4 + radians(lat0)/2))) AS my,
+  6378137.0*radians(lon2 - lon0) AS mx2, 6378137.0*(ln(tan(pi()/4 + radians(lat2)/2)) - ln(tan(pi()/4 + radians(lat0)/2))) AS my2 FROM cyc),
+size AS (SELECT step, component, abs(sum(mx*my2 - mx2*my))/2 AS area, sum(ax*by_ - bx*ay)/2 AS deg2,
+  any_value(lon0) + sum((ax+bx)*(ax*by_ - bx*ay))/nullif(3*sum(ax*by_ - bx*ay), 0) AS lon, any_value(lat0) + sum((ay+by_)*(ax*by_ - bx*ay))/nullif(3*sum(ax*by_ - bx*ay), 0) AS lat
+  FROM proj GROUP BY 1, 2)
+"""
+
+
 def _labelled(t):
     return components.label_cells(t.bright_tiles, _KEYS, TILE, SIDE)
 
@@ -130,12 +172,39 @@ def _polygons(t, tolerance=0.01, min_px=0.0):
     return components.polygonise(_labelled(t), _KEYS, tolerance, min_px)
 
 
-@query("ras_21")
+@query("ras_21", "WITH RECURSIVE t AS (SELECT step, y, x FROM cells WHERE swir > 0.2::DOUBLE), " + OUTLINE_SQL + "SELECT step, component, n_cells, contour_px, round(perimeter_px, 6) AS perimeter_px, n_vertices, ring FROM poly", ("cells",))
 def ras_21(t):
-    return _polygons(t, 0.0).select("step", "component", "n_cells", "contour_px", "perimeter_px", "n_vertices", F.to_json("ring").alias("ring"))
+    return _polygons(t, 0.0).select("step", "component", "n_cells", "contour_px", F.round("perimeter_px", 6).alias("perimeter_px"), "n_vertices", F.to_json("ring").alias("ring"))
+
 
+def _far(name: str, base: str) -> str:
+    return (f"{name} AS (SELECT c.step, c.component, arg_max(c.i, ((c.x-b.x)*(c.x-b.x) + (c.y-b.y)*(c.y-b.y), -c.i)) AS i FROM cor c JOIN {base} z USING (step, component) "
+            "JOIN cor b ON b.step = c.step AND b.component = c.component AND b.i = z.i GROUP BY 1, 2)")
 
-@query("ras_22")
+
+_SIMPLE = f"""
+, cor AS (SELECT step, component, row_number() OVER (PARTITION BY step, component ORDER BY n) - 1 AS i, count(*) OVER (PARTITION BY step, component) AS m, x, y FROM walk WHERE come <> d),
+f0 AS (SELECT step, component, i FROM cor WHERE i = 0), {_far('f1', 'f0')}, {_far('f2', 'f1')}, {_far('f3', 'f2')},
+pt AS (SELECT c.step, c.component, (c.i - f3.i + m) % m AS pos, m, x, y, (f2.i - f3.i + m) % m AS bpos FROM cor c JOIN f3 USING (step, component) JOIN f2 USING (step, component)),
+seg(step, component, lo, hi) AS (
+  SELECT DISTINCT step, component, unnest([0, bpos]) AS lo, unnest([bpos, m]) AS hi FROM pt
+  UNION ALL
+  SELECT step, component, unnest([lo, s]), unnest([s, hi]) FROM (
+    SELECT g.step, g.component, lo, hi, max(dist) AS md, arg_max(pos, (dist, -pos)) AS s FROM (
+      SELECT s.step, s.component, s.lo, s.hi, k.pos,
+        CASE WHEN p.x = q.x AND p.y = q.y THEN sqrt((k.x-p.x)*(k.x-p.x) + (k.y-p.y)*(k.y-p.y))
+             ELSE abs((q.x-p.x)*(k.y-p.y) - (q.y-p.y)*(k.x-p.x))/sqrt((q.x-p.x)*(q.x-p.x) + (q.y-p.y)*(q.y-p.y)) END AS dist
+      FROM seg s JOIN pt k ON k.step = s.step AND k.component = s.component AND k.pos > s.lo AND k.pos < s.hi
+      JOIN pt p ON p.step = s.step AND p.component = s.component AND p.pos = s.lo
+      JOIN pt q ON q.step = s.step AND q.component = s.component AND q.pos = s.hi % q.m) g GROUP BY 1, 2, 3, 4) h
+  JOIN outline o USING (step, component) WHERE md > 0.01::DOUBLE*perimeter_px),
+ends AS (SELECT DISTINCT step, component, lo AS pos FROM seg),
+simple AS (SELECT step, component, count(*) AS nv, string_agg('[' || x || '.0,' || y || '.0]', ',' ORDER BY pos) AS pts FROM ends JOIN pt USING (step, component, pos) GROUP BY 1, 2)
+SELECT p.step, p.component, contour_px, coalesce(nv, n_vertices) AS n_vertices, coalesce('[' || pts || ',' || split_part(pts, ']', 1) || ']]', ring) AS ring
+FROM poly p LEFT JOIN simple USING (step, component)"""
+
+
+@query("ras_22", "WITH RECURSIVE t AS (SELECT step, y, x FROM cells WHERE swir > 0.2::DOUBLE), " + OUTLINE_SQL + _SIMPLE, ("cells",))
 def ras_22(t):
     return _polygons(t, 0.01).select("step", "component", "contour_px", "n_vertices", F.to_json("ring").alias("ring"))
 

@@ -205,7 +205,7 @@ def polygonise(cells: DataFrame, keys: list[str], tolerance: float = 0.01, min_p
     """Outer ring of every component in pixel coordinates (x, y at cell centres), holes ignored.
 
     ``contour_px`` is the ring's shoelace area before simplification and ``tolerance`` a fraction of
-    its perimeter. Components whose bounding box cannot reach ``min_px`` are dropped before tracing,
+    its perimeter; 0 keeps every corner. Components whose bounding box cannot reach ``min_px`` are dropped before tracing,
     the others are tested on their real area. A component with up to ``in_task`` outline cells is
     traced in one task from those cells; a larger one goes through ``outlines``, which never holds
     a component together and gives the same ring.
@@ -228,7 +228,7 @@ def polygonise(cells: DataFrame, keys: list[str], tolerance: float = 0.01, min_p
             path = np.array(trace_outline(np.asarray(y), np.asarray(x)), dtype=float)[:, ::-1]
             corners = drop_straight(path)
             perimeter = float(np.hypot(*(np.roll(corners, -1, axis=0) - corners).T).sum())
-            ring = simplify_ring(corners, tolerance * perimeter)
+            ring = simplify_ring(corners, tolerance * perimeter) if tolerance > 0 else corners
             rows.append((_shoelace(corners), perimeter, np.vstack([ring, ring[:1]]).tolist()))
         return pd.DataFrame(rows, columns=["contour_px", "perimeter_px", "ring"])
 

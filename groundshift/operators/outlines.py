@@ -142,7 +142,8 @@ def large_outlines(cells: DataFrame, key: list[str], tolerance: float) -> DataFr
         F.sum(F.when(F.col("d") % 2 == 1, F.lit(math.sqrt(2.0))).otherwise(F.lit(1.0))).alias("perimeter_px"))
     size = stage(size, "sizes")
     limits = size.select(*key, (F.col("perimeter_px") * tolerance).alias("tolerance"))
-    pts = _simplified(_corners(ordered, key), limits, key)
+    corners = _corners(ordered, key)
+    pts = _simplified(corners, limits, key) if tolerance > 0 else corners.select(*key, F.col("seq").alias("pos"), "px", "py")
     ring = F.transform(F.sort_array(F.collect_list(F.struct("pos", "px", "py"))), lambda s: F.array(s["px"], s["py"]))
     rings = pts.groupBy(*key).agg(ring.alias("ring")).withColumn("ring", F.concat("ring", F.slice("ring", 1, 1)))
     return size.join(rings, key)
