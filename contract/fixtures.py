@@ -239,7 +239,7 @@ _RISK = ("CAST(round_even((least({a}/500000.0::DOUBLE, 1.0::DOUBLE)*0.4::DOUBLE
 
 
 def _tonnage(a: str, density: str = "0.15::DOUBLE") -> str:
-    return f"CAST(round(CAST(CAST(({a})*{density} AS VARCHAR) AS DECIMAL(38,14)), 2) AS DOUBLE)"
+    return f"CAST(printf('%.2f', ({a})*{density}) AS DOUBLE)"
 
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {

@@ -8,7 +8,7 @@ from groundshift.functions import formats, geometry, indices, scoring
 from groundshift.operators import filters, relations, summaries
 from groundshift.sources import features
 
-from .registry import query, rnd
+from .registry import correct, query, rnd
 
 YMD = "strftime({}, '%Y-%m-%d')"
 DAY = lambda c: F.date_format(c, "yyyy-MM-dd")
@@ -36,7 +36,7 @@ def sco_03(t):
 _DENSITY = "CASE waste_type WHEN 'mixed' THEN 0.15::DOUBLE WHEN 'construction' THEN 0.3::DOUBLE WHEN 'hazardous' THEN 0.1::DOUBLE WHEN 'electronic' THEN 0.05::DOUBLE ELSE 0.15::DOUBLE END"
 
 
-@query("sco_04", f"SELECT site_id, estimated_tonnage, {rnd('area_m2*(' + _DENSITY + ')', 2)} AS tonnage_by_type FROM scored", ("scored",))
+@query("sco_04", f"SELECT site_id, estimated_tonnage, {correct('area_m2*(' + _DENSITY + ')', 2)} AS tonnage_by_type FROM scored", ("scored",))
 def sco_04(t):
     return t.scored.select("site_id", "estimated_tonnage", scoring.tonnage(F.col("area_m2"), F.col("waste_type")).alias("tonnage_by_type"))
 
@@ -52,9 +52,9 @@ FROM sites"""
 
 @query("sco_05", f"""
 WITH r AS ({_RATES}), c AS (SELECT *, area_m2*base*water*protected AS cleanup FROM r)
-SELECT site_id, {rnd('cleanup', 2)} AS cleanup_cost_eur, {rnd('cleanup*mult', 2)} AS legal_liability_eur,
-  {rnd('area_m2*50.0::DOUBLE*water', 2)} AS environmental_damage_eur_per_year,
-  {rnd('cleanup + cleanup*mult + area_m2*50.0::DOUBLE*water', 2)} AS total_exposure_eur,
+SELECT site_id, {correct('cleanup', 2)} AS cleanup_cost_eur, {correct('cleanup*mult', 2)} AS legal_liability_eur,
+  {correct('area_m2*50.0::DOUBLE*water', 2)} AS environmental_damage_eur_per_year,
+  {correct('cleanup + cleanup*mult + area_m2*50.0::DOUBLE*water', 2)} AS total_exposure_eur,
   base AS base_cleanup_rate, water AS water_proximity_factor, protected AS protected_area_factor, mult AS jurisdiction_multiplier
 FROM c""", ("sites",))
 def sco_05(t):
@@ -70,11 +70,11 @@ def sca_01(t):
     return t.raw("events").select("event_id", indices.clip(F.col("value") / 100.0, 0.2, 1.0).alias("clipped"))
 
 
-@query("sca_02", f"SELECT site_id, {rnd('area_m2', 0)} AS area_0, {rnd('confidence', 2)} AS conf_2, {rnd('confidence*risk_score', 1)} AS risk_1, {rnd('area_m2*0.15::DOUBLE', 3)} AS tons_3 FROM scored", ("scored",))
+@query("sca_02", f"SELECT site_id, {correct('area_m2', 0)} AS area_0, {correct('confidence', 2)} AS conf_2, {correct('confidence*risk_score', 1)} AS risk_1, {correct('area_m2*0.15::DOUBLE', 3)} AS tons_3 FROM scored", ("scored",))
 def sca_02(t):
     c = F.col
-    return t.scored.select("site_id", F.round("area_m2", 0).alias("area_0"), F.round("confidence", 2).alias("conf_2"),
-                           F.round(c("confidence") * c("risk_score"), 1).alias("risk_1"), F.round(c("area_m2") * 0.15, 3).alias("tons_3"))
+    return t.scored.select("site_id", formats.rounded(c("area_m2"), 0).alias("area_0"), formats.rounded(c("confidence"), 2).alias("conf_2"),
+                           formats.rounded(c("confidence") * c("risk_score"), 1).alias("risk_1"), formats.rounded(c("area_m2") * 0.15, 3).alias("tons_3"))
 
 
 @query("sca_03", """
@@ -191,7 +191,7 @@ def prj_01(t):
 
 # ---- aggregations ---------------------------------------------------------------------------------------
 
-_TOTALS = f"count(*) AS total_sites, {rnd('coalesce(sum(area_m2),0)', 2)} AS total_area_m2, {rnd('coalesce(sum(estimated_tonnage),0)', 2)} AS total_tonnage, {rnd(rnd('coalesce(avg(confidence),0)', 6), 3)} AS avg_confidence"
+_TOTALS = f"count(*) AS total_sites, {rnd('coalesce(sum(area_m2),0)', 2)} AS total_area_m2, {rnd('coalesce(sum(estimated_tonnage),0)', 2)} AS total_tonnage, {correct(rnd('coalesce(avg(confidence),0)', 6), 3)} AS avg_confidence"
 _LEVELS = ", ".join(f"count(*) FILTER (threat_level = '{v}') AS n_{v.lower()}" for v in ("Critical", "High", "Moderate", "Low"))
 _TYPES = ", ".join(f"count(*) FILTER (waste_type = '{v}') AS n_{v}" for v in ("mixed", "construction", "hazardous", "electronic"))
 
@@ -206,7 +206,7 @@ def agg_02(t):
     return summaries.threat_histogram(t.scored, ["sector_id"])
 
 
-@query("agg_03", f"SELECT sector_id, {_TOTALS}, {_LEVELS}, {_TYPES}, {rnd(rnd('avg(risk_score)', 6), 1)} AS avg_risk_score FROM scored GROUP BY sector_id", ("scored",))
+@query("agg_03", f"SELECT sector_id, {_TOTALS}, {_LEVELS}, {_TYPES}, {correct(rnd('avg(risk_score)', 6), 1)} AS avg_risk_score FROM scored GROUP BY sector_id", ("scored",))
 def agg_03(t):
     return summaries.sector_summary(t.scored, ["sector_id"])
 
@@ -249,7 +249,7 @@ def agg_06(t):
     return summaries.sensor_results(t.spark, ["sentinel2", "sentinel1", "landsat"], filters.by_confidence(t.sites, 0.7), sc)
 
 
-@query("agg_07", f"SELECT {YMD.format('date')} AS day, {rnd(rnd('sum(area_m2)', 6), 1)} AS total_area_m2, count(*) FILTER (area_m2 > 1000) AS num_active_sites FROM obs GROUP BY date", ("obs",))
+@query("agg_07", f"SELECT {YMD.format('date')} AS day, {correct(rnd('sum(area_m2)', 6), 1)} AS total_area_m2, count(*) FILTER (area_m2 > 1000) AS num_active_sites FROM obs GROUP BY date", ("obs",))
 def agg_07(t):
     return summaries.series_rollup(t.obs, ["date"]).select(DAY("date").alias("day"), "total_area_m2", "num_active_sites")
 

@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = ()):
     return deco
 
 
+def correct(expr: str, places: int) -> str:
+    """SQL for rounding a DOUBLE's binary value correctly, as printf does."""
+    return f"CAST(printf('%.{places}f', {expr}) AS DOUBLE)"
+
+
 def rnd(expr: str, places: int) -> str:
     """SQL for half-up rounding of a DOUBLE's decimal text, which is how Spark's round works."""
     return f"CAST(round(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,18)), {places}) AS DOUBLE)"

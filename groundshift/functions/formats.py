@@ -13,6 +13,12 @@ def fixed(x: Column, places: int, grouped: bool = False) -> Column:
     return F.call_function("format_number", x, F.lit(pattern))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Round the binary value of a double correctly: half-even on a true tie, so 61.25 gives 61.2, while
+    2.675, which is stored a little lower, gives 2.67. Spark's round and bround work on the decimal text instead."""
+    return fixed(x, places).cast("double")
+
+
 def percent(x: Column, places: int = 1) -> Column:
     return F.concat(fixed(x * 100.0, places), F.lit("%"))
 

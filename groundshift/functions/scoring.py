@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import THREAT_LEVELS
+from .formats import rounded
 
 # Weights, cut-offs and rate tables the results depend on.
 AREA_WEIGHT, CONFIDENCE_WEIGHT, PROXIMITY_WEIGHT = 0.4, 0.3, 0.3
@@ -63,7 +64,7 @@ def threat_rank(level: Column) -> Column:
 def tonnage(area_m2: Column, waste_type: Column | None = None) -> Column:
     """Area times density, 2 dp; without a waste type the default density applies."""
     density = F.lit(DEFAULT_DENSITY) if waste_type is None else rate(waste_type, DENSITY_T_PER_M2, DEFAULT_DENSITY)
-    return F.round(area_m2 * density, 2)
+    return rounded(area_m2 * density, 2)
 
 
 def impact(area_m2: Column, waste_type: Column, water_km: Column, protected_km: Column, jurisdiction: Column) -> dict[str, Column]:
@@ -76,10 +77,10 @@ def impact(area_m2: Column, waste_type: Column, water_km: Column, protected_km:
     legal = cleanup * multiplier
     env = area_m2 * ECOSYSTEM_EUR_PER_M2 * water
     return {
-        "cleanup_cost_eur": F.round(cleanup, 2),
-        "legal_liability_eur": F.round(legal, 2),
-        "environmental_damage_eur_per_year": F.round(env, 2),
-        "total_exposure_eur": F.round(cleanup + legal + env, 2),
+        "cleanup_cost_eur": rounded(cleanup, 2),
+        "legal_liability_eur": rounded(legal, 2),
+        "environmental_damage_eur_per_year": rounded(env, 2),
+        "total_exposure_eur": rounded(cleanup + legal + env, 2),
         "base_cleanup_rate": base,
         "water_proximity_factor": water,
         "protected_area_factor": protected,

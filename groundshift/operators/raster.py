@@ -171,12 +171,14 @@ def radar_change(tiles: DataFrame, tile: int, time: str = "step") -> DataFrame:
     """Radar cells of consecutive scenes: ratios, coherence loss, exceedance of the earlier scene's
     90th percentile, and their conjunction."""
     # the percentile of the earlier scene is taken over all of its cells, each counted once
-    scene_cells = cells(tiles, ["vv", "vh"], tile, time).select("area", F.col(time).alias("scene_time"), "vv", "vh")
-    p_vv = exact_percentile(scene_cells, ["area", "scene_time"], "vv", 0.9, "p90_vv")
-    p_vh = exact_percentile(scene_cells, ["area", "scene_time"], "vh", 0.9, "p90_vh")
+    scene_cells = cells(tiles, ["vv", "vh"], tile, time).select(
+        "area", F.col(time).alias("scene_time"),
+        F.inline(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).alias("v")) for b in ("vv", "vh")])))
+    p = exact_percentile(scene_cells, ["area", "scene_time", "band"], "v", 0.9, "p90")
+    p = p.groupBy("area", "scene_time").agg(*[F.max(F.when(F.col("band") == b, F.col("p90"))).alias("p90_" + b) for b in ("vv", "vh")])
     w = W.partitionBy("area").orderBy(time)
     before = tiles.select("area", time).distinct().withColumn("scene_time", F.lag(time).over(w)).filter(F.col("scene_time").isNotNull())
-    p90 = before.join(p_vv, ["area", "scene_time"]).join(p_vh, ["area", "scene_time"]).drop("scene_time")
+    p90 = before.join(p, ["area", "scene_time"]).drop("scene_time")
     pairs = attach(previous_scene(tiles, ["vv", "vh"], time), p90, ["area", time], "inner", "p90")
     c = cells(pairs, ["vv", "vh", "vv_t0", "vh_t0"], tile, time, carry=["p90_vv", "p90_vh"])
     c = c.withColumns({

@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE = "struct<r:int,c:int,v:array<double>>"
 _NAMES = {(dy, dx): f"p_{'nos'[dy + 1]}{'wce'[dx + 1]}" for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 
 # The cells of a 5 x 5 elliptic kernel (row offset, column offset).
@@ -30,7 +29,7 @@ def halo_exchange(tiles: DataFrame, value: str, pad: int, keys: list[str]) -> Da
 
     ``pad`` must not exceed the tile side except for the last row and column of tiles.
     """
-    v, h, w = F.col(value).cast("array<double>"), F.col("h"), F.col("w")
+    v, h, w = F.col(value), F.col("h"), F.col("w")
     zero, reach = F.lit(0), F.lit(pad)
     parts = []
     for dy in (-1, 0, 1):
@@ -53,7 +52,7 @@ def _assemble(row: dict, pad: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Padded block and the mask of the cells that exist in it."""
     own = row["p_oc"]
     h, w = int(own["r"]), int(own["c"])
-    block = np.zeros((h + 2 * pad, w + 2 * pad))
+    block = np.zeros((h + 2 * pad, w + 2 * pad), dtype=np.asarray(own["v"]).dtype)
     known = np.zeros(block.shape, dtype=bool)
     for (dy, dx), name in _NAMES.items():
         p = row[name]
@@ -62,7 +61,7 @@ def _assemble(row: dict, pad: int) -> tuple[np.ndarray, np.ndarray, int, int]:
         r, c = int(p["r"]), int(p["c"])
         y = pad - r if dy < 0 else pad + (h if dy > 0 else 0)
         x = pad - c if dx < 0 else pad + (w if dx > 0 else 0)
-        block[y:y + r, x:x + c] = np.asarray(p["v"], dtype=float).reshape(r, c)
+        block[y:y + r, x:x + c] = np.asarray(p["v"]).reshape(r, c)
         known[y:y + r, x:x + c] = True
     return block, known, h, w
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.formats import rounded
 from ..functions.scoring import threat_rank
 from ..schemas import SEVERE_LEVELS, THREAT_LEVELS
 
@@ -21,7 +22,7 @@ def _zero(c: Column) -> Column:
 def settled(total: Column, places: int) -> Column:
     """Round a floating sum; the first rounding removes the noise of summation order, so that a
     decimal tie falls the same way whatever the partitioning."""
-    return F.round(F.round(total, 6), places)
+    return rounded(F.round(total, 6), places)
 
 
 def _count_if(cond: Column) -> Column:
@@ -36,8 +37,8 @@ def histogram(col: str, levels) -> list[Column]:
 def _totals() -> list[Column]:
     return [
         F.count("*").alias("total_sites"),
-        F.round(_zero(F.sum("area_m2")), 2).alias("total_area_m2"),
-        F.round(_zero(F.sum("estimated_tonnage")), 2).alias("total_tonnage"),
+        settled(_zero(F.sum("area_m2")), 2).alias("total_area_m2"),
+        settled(_zero(F.sum("estimated_tonnage")), 2).alias("total_tonnage"),
         settled(_zero(F.avg("confidence")), 3).alias("avg_confidence"),
     ]
 
@@ -66,7 +67,7 @@ def share_by(sites: DataFrame, key: str = "threat_level") -> DataFrame:
 
     The window runs over the handful of aggregated key rows only.
     """
-    per = sites.groupBy(key).agg(F.count("*").alias("n_sites"), settled(F.sum("area_m2"), 0).cast("long").alias("area_m2"))
+    per = sites.groupBy(key).agg(F.count("*").alias("n_sites"), F.round(F.round(F.sum("area_m2"), 6), 0).cast("long").alias("area_m2"))
     total = F.sum("n_sites").over(W.partitionBy(F.lit(1)))
     return per.withColumn("share_pct", F.round(F.col("n_sites") * 100.0 / total, 1))
 
@@ -111,7 +112,7 @@ def alert_rollup(new_sites: DataFrame, run: list[str]) -> DataFrame:
     hot = F.max(F.when(F.col("threat_level").isin(*SEVERE_LEVELS), 1).otherwise(0)) == 1
     return new_sites.groupBy(*run).agg(
         F.count("*").alias("sites_count"),
-        F.round(F.sum("area_m2"), 2).alias("total_area_m2"),
+        settled(F.sum("area_m2"), 2).alias("total_area_m2"),
         worst_level().alias("max_threat_level"),
         F.when(hot, F.lit("critical")).otherwise(F.lit("low")).alias("severity"),
     )

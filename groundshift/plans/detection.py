@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, indices, scoring
+from ..functions.formats import rounded
 from ..operators import components, filters, overlap, raster, scorer, stencils, summaries, tiling, timeseries
 from ..session import attach, stage
 from ..sources import catalogue
@@ -64,7 +65,7 @@ def vectorise(masks: DataFrame, layout: Layout, limits: Limits, keys: list[str]
         "n_cells", "contour_px", "n_vertices", "ring",
         F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates")).alias("geometry"),
         F.struct(c[0].alias("lon"), c[1].alias("lat")).alias("centroid"),
-        F.round("area_m2", 2).alias("area_m2"), F.round("confidence", 2).alias("confidence"), "risk_score",
+        rounded(F.col("area_m2"), 2).alias("area_m2"), rounded(F.col("confidence"), 2).alias("confidence"), "risk_score",
         scoring.threat_level(F.col("risk_score")).alias("threat_level"), scoring.tonnage(F.col("area_m2")).alias("estimated_tonnage"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import rounded
 from ..schemas import SECTOR_FILE
 
 # Defaults of absent feature properties.
@@ -70,5 +71,5 @@ def sector_index(sites: DataFrame, sectors: DataFrame) -> DataFrame:
     per = sites.groupBy("sector_id").agg(F.count("*").alias("num_sites"), F.sum("area_m2").alias("total_area_m2"))
     return sectors.join(per, "sector_id", "left").withColumns({
         "num_sites": F.coalesce("num_sites", F.lit(0).cast("long")),
-        "total_area_m2": F.round(F.coalesce("total_area_m2", F.lit(0.0)), 2),
+        "total_area_m2": rounded(F.round(F.coalesce("total_area_m2", F.lit(0.0)), 6), 2),
     })

@@ -18,6 +18,7 @@ from ..session import run_dir
 from ..sinks import exports
 from ..sources.catalogue import newest_scenes
 
+# Error text of a run without a scene pair, and the columns an update overwrites.
 NO_IMAGERY = "Insufficient satellite imagery"
 MEASURES = ["detection_date", "confidence", "risk_score", "threat_level", "area_m2", "estimated_tonnage"]
 KEY = ["sector_id", "site_id"]

@@ -269,3 +269,38 @@ def test_search_pushes_predicates_to_the_scan(spark, tmp_path):
     pushed = plan[plan.index("PushedFilters"):]
     for c in ("collection", "cloud_cover", "min_lon", "max_lat", "ts"):
         assert c in pushed
+
+
+def test_rank_limit_runs_before_the_shuffle(spark, tables):
+    from groundshift.operators import summaries
+    top = summaries.top_per_group(tables.scored.select("sector_id", "site_id", "risk_score"), ["sector_id"], [F.col("risk_score").desc(), F.col("site_id")], 5)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+
+
+def test_lookups_are_broadcast_only_below_the_threshold(spark):
+    from groundshift.session import attach
+    big, small = spark.range(1000).withColumn("k", F.col("id") % 10), spark.range(10).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    plan = lambda: attach(big, small, ["k"])._jdf.queryExecution().executedPlan().toString()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16")
+    try:
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_staging_needs_a_shared_folder_off_local(monkeypatch):
+    from groundshift import session
+
+    class Conf:
+        def get(self, k, d=None):
+            return d
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "yarn", "applicationId": "x"})()
+
+    with pytest.raises(RuntimeError):
+        session.shared_root(Fake())
