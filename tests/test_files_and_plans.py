@@ -175,3 +175,38 @@ def test_sensors_are_merged_by_confidence(spark):
     mk = lambda conf: spark.createDataFrame([("a", "x", ring, conf)], "area string, site_id string, ring array<array<double>>, confidence double")
     out = detection.merge_sensors({"sentinel2": mk(0.8), "sentinel1": mk(0.9), "landsat": mk(0.4)}).collect()
     assert [(r["source_sensor"], r["sensor"]) for r in out] == [("sentinel1", "Sentinel-1")]
+
+
+def test_multisensor_dedupes_and_reports_missing_scenes(spark):
+    block = (slice(2, 10), slice(2, 10))
+
+    def worse(level):
+        red, nir, swir = _field(None)
+        red[block], nir[block], swir[block] = 0.1 + level, 0.5 - level, 0.1 + 3 * level
+        return red, nir, swir
+
+    optical = _scene_tiles(spark, {"s0": _field(None), "s1": _field(block)})
+    history = _scene_tiles(spark, {"s0": _field(None), "s1": worse(0.1), "s2": worse(0.25)})
+    radar = _scene_tiles(spark, {"s0": _field(None)})
+    scenes = _catalogue(spark, 2).unionByName(_catalogue(spark, 3, "historical")).unionByName(_catalogue(spark, 1, "radar"))
+    scenes = scenes.withColumn("orbit_state", F.lit("descending"))
+    kept, results = detection.detect_multisensor(
+        scenes, {"sentinel2": optical, "sentinel1": radar, "landsat": history},
+        {"sentinel2": BANDS, "sentinel1": {"vv": "B04", "vh": "B08"}, "landsat": BANDS}, _layout())
+    # both optical sensors see the same block with equal confidence; the id decides
+    assert [r["site_id"] for r in kept.collect()] == ["landsat-a-0-50"]
+    got = {r["source_sensor"]: (r["count"], r["scenes_processed"], r["error"]) for r in results.collect()}
+    assert got == {"sentinel2": (1, 2, None), "sentinel1": (0, 1, "Insufficient SAR scenes"), "landsat": (1, 3, None)}
+
+
+def test_radar_detection_finds_new_material(spark):
+    rng = np.random.default_rng(2)
+    base = 0.2 + 0.02 * rng.random((24, 24))
+    vv, vh = base.copy(), base.copy()
+    vv[4:12, 5:14] = 0.05  # coherence lost in one polarisation
+    vh[4:12, 5:14] = 0.9   # bright in the other
+    tiles = _scene_tiles(spark, {"s0": (base, base, base), "s1": (vv, vh, base)})
+    scenes = _catalogue(spark, 2, "radar").withColumn("orbit_state", F.lit("descending"))
+    got = detection.detect_radar(scenes, tiles, {"vv": "B04", "vh": "B08"}, _layout()).collect()
+    assert len(got) == 1 and got[0]["n_cells"] >= 60 and got[0]["detection_method"] == detection.RADAR_METHOD
+    assert (got[0]["scene_t0"], got[0]["scene_t1"]) == ("s0", "s1")
