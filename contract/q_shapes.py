@@ -83,7 +83,7 @@ _MORPH = (f"WITH {_KERNEL}, m0 AS (SELECT step, y, x, CASE WHEN swir > 0.2::DOUB
 
 @query("ras_12", _MORPH + " SELECT step, y, x, m AS mask FROM m4", ("cells",))
 def ras_12(t):
-    out = stencils.clean_mask(t.bright_tiles, _KEYS)
+    out = stencils.clean_mask(t.bright_tiles, _KEYS, TILE)
     return raster.mask_cells(out, TILE).select(*_YX, F.col("mask").cast("int").alias("mask"))
 
 

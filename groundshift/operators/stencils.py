@@ -103,13 +103,15 @@ def close_open(mask: np.ndarray, known: np.ndarray, kernel=ELLIPSE_5) -> np.ndar
     return mask
 
 
-def clean_mask(tiles: DataFrame, keys: list[str], value: str = "mask", kernel=tuple(ELLIPSE_5)) -> DataFrame:
+def clean_mask(tiles: DataFrame, keys: list[str], tile: int, value: str = "mask", kernel=tuple(ELLIPSE_5)) -> DataFrame:
     """Morphological close then open of a mask over the whole mosaic, tile by tile.
 
     Four passes of a radius-2 kernel reach eight cells, which is the halo exchanged. Tiles other
-    than those at the far border must be at least that large.
+    than those at the far border must be at least that large (``tile`` is their side).
     """
     pad = 4 * max(max(abs(dy), abs(dx)) for dy, dx in kernel)
+    if tile < pad:
+        raise ValueError(f"tiles of side {tile} are smaller than the {pad} cells the passes reach")
     kernel = list(kernel)
 
     @F.pandas_udf("struct<h:int,w:int,mask:array<tinyint>>")

@@ -119,7 +119,7 @@ def detect_radar(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str]
         F.struct(F.col("scene_t1").alias("scene_id"), F.lit(1).alias("step")))).alias("p")).select("area", "p.*")
     tiles = raster.align_bands(attach(band_tiles.drop("step"), wanted, ["area", "scene_id"], "inner", "pair"), bands, extra=["h", "w"])
     cells = raster.radar_change(tiles, layout.tile)
-    masks = stencils.clean_mask(raster.mask_tiles(cells, "anomaly", layout.tile), KEYS)
+    masks = stencils.clean_mask(raster.mask_tiles(cells, "anomaly", layout.tile), KEYS, layout.tile)
     found = vectorise(masks, layout, limits).withColumn("detection_method", F.lit(RADAR_METHOD))
     return found.join(pairs.select("area", "scene_t0", "scene_t1", F.to_date("ts_t1").alias("detection_date")), "area")
 

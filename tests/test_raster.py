@@ -150,13 +150,18 @@ def brute_morph(mask):
 def test_morphology_across_seams_and_ragged_border(spark):
     rng = np.random.default_rng(3)
     imgs = [rng.random((21, 27)) < p for p in (0.3, 0.6)]
-    out = stencils.clean_mask(tiled(spark, [m.astype(np.int8) for m in imgs]), ["area", "step"])
+    out = stencils.clean_mask(tiled(spark, [m.astype(np.int8) for m in imgs]), ["area", "step"], TILE)
     rows = raster.cells(out, ["mask"], TILE).collect()
     for step, m in enumerate(imgs):
         got = untile([r for r in rows if r["step"] == step], m.shape, "mask")
         assert np.array_equal(got > 0, brute_morph(m))
 
 
+def test_morphology_refuses_tiles_smaller_than_its_reach(spark):
+    with pytest.raises(ValueError):
+        stencils.clean_mask(tiled(spark, [np.ones((8, 8), dtype=np.int8)], tile=4), ["area", "step"], 4)
+
+
 @pytest.mark.parametrize("src,dst", [((10, 12), (20, 24)), ((20, 24), (13, 17)), ((9, 9), (31, 20))])
 def test_bilinear_resample(spark, src, dst):
     img = np.random.default_rng(1).random(src)
