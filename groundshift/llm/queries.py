@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash
+from . import packing, quality, simhash, tokenfile
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_packing_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,6 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_votes, op7_packing_dp, op8_simhash_near_dedup,
+    op2_quality_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup,
 )}
 ORACLES: dict[str, str] = {}
