@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, tokenfile
+from . import packing, quality, simhash, substring, tokenfile
 from .common import table
 
+#: A word as DuckDB reads it.
+_WORD = r"[^\x20\x09-\x0D]+"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,7 +31,25 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicate(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS t FROM starts JOIN d USING (doc_id)),
+firsts AS (SELECT t, min(doc_id) AS least FROM win GROUP BY t),
+marks AS (SELECT DISTINCT doc_id, s FROM win JOIN firsts USING (t) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM marks),
+each AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup,
+    op2_quality_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
