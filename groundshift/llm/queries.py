@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, substring, tokenfile
+from . import packing, pii, quality, simhash, substring, tokenfile
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -19,6 +19,10 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
+    op2_quality_votes, op4_pii_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
 )}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
