@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality, simhash, substring, tokenfile
+from . import decontaminate, packing, pii, quality, simhash, substring, tokenfile
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -15,6 +15,10 @@ _WORD = r"[^\x20\x09-\x0D]+"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,6 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_quality_votes, op4_pii_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
+    op1_template_leaks, op2_quality_votes, op4_pii_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
 )}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
