@@ -31,6 +31,7 @@ from .common import raw, staged
 WINDOW = 13
 ROUNDS = 3
 LEAST = 3  # words of a symbol that is worth counting
+PORTION = 1 << 20  # bytes of text that are rewritten at a time
 
 _FAR = 1 << 40  # beyond any position: decided by what lies outside the text
 _G, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -136,6 +137,20 @@ def covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def portions(rows: list[tuple], body: int) -> Iterator[list[tuple]]:
+    """``rows`` in groups of about PORTION bytes of text; an Arrow batch may hold many times what a task should split at once."""
+    group: list[tuple] = []
+    size = 0
+    for row in rows:
+        group.append(row)
+        size += len(row[body])
+        if size >= PORTION:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _root(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
@@ -149,9 +164,9 @@ def summarise(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bodies = [x.split() for x in b.column(1).to_pylist()]
+            found = [(len(w := x.split()), _root(w)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(w) for w in bodies], pa.int64()), pa.array([_root(w) for w in bodies], pa.binary())], ["doc_id", "n_words", "root"])
+                [b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([r for _, r in found], pa.binary())], ["doc_id", "n_words", "root"])
 
     return docs.select("doc_id", raw().alias("body")).mapInArrow(run, "doc_id long, n_words long, root binary")
 
@@ -161,14 +176,15 @@ def symbol_rows(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bodies = [w for x in b.column(0).to_pylist() if len(w := x.split()) >= window]
-            if not bodies:
-                continue
-            names, separator, starts = line_up(bodies)
-            sym, low, _ = symbols(names, separator, window)
-            roots = np.array([_small(_root(w)) for w in bodies], np.int64)
-            own = roots[np.searchsorted(starts, low, "right") - 1]
-            yield pa.RecordBatch.from_arrays([pa.array(sym.view(np.int64)), pa.array(own)], ["sym", "root"])
+            for group in portions([(x,) for x in b.column(0).to_pylist()], 0):
+                bodies = [w for (x,) in group if len(w := x.split()) >= window]
+                if not bodies:
+                    continue
+                names, separator, starts = line_up(bodies)
+                sym, low, _ = symbols(names, separator, window)
+                roots = np.array([_small(_root(w)) for w in bodies], np.int64)
+                own = roots[np.searchsorted(starts, low, "right") - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(sym.view(np.int64)), pa.array(own)], ["sym", "root"])
 
     return docs.filter(F.col("doc_id").isNotNull()).select(raw().alias("body")).mapInArrow(run, "sym long, root long")
 
@@ -179,28 +195,32 @@ def candidates(texts: DataFrame, window: int) -> DataFrame:
     ``texts`` has (doc_id, root, alone, body); alone are the symbols that only this root has.
     """
 
+    def of_group(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = [(d, r, a or [], x, w) for d, r, a, x in group if len(w := x.split()) >= window and _root(w) == r]
+        if not rows:
+            return
+        names, separator, starts = line_up([w for *_, w in rows])
+        sym, low, high = symbols(names, separator, window)
+        alone = np.concatenate([np.array(a, np.int64) for _, _, a, _, _ in rows]).view(np.uint64)
+        single = np.isin(sym, alone)
+        # windows [high - window, low] hold the whole context of a symbol
+        step = np.zeros(len(names) + 1, np.int64)
+        np.add.at(step, np.maximum(high[single] - window, 0), 1)
+        np.add.at(step, low[single] + 1, -1)
+        open_ = np.cumsum(step[:-1]) == 0
+        out = []
+        for (d, r, _, x, w), s in zip(rows, starts.tolist()):
+            at = np.flatnonzero(open_[s:s + len(w) - window + 1])
+            if len(at):
+                out.append((d, r, x, at.astype("<i4").tobytes()))
+        if out:
+            cols = list(zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["doc_id", "root", "body", "starts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, r, a or [], x, w) for d, r, a, x in zip(*[c.to_pylist() for c in b.columns]) if len(w := x.split()) >= window and _root(w) == r]
-            if not rows:
-                continue
-            names, separator, starts = line_up([w for *_, w in rows])
-            sym, low, high = symbols(names, separator, window)
-            alone = np.concatenate([np.array(a, np.int64) for _, _, a, _, _ in rows]).view(np.uint64)
-            single = np.isin(sym, alone)
-            # windows [high - window, low] hold the whole context of a symbol
-            step = np.zeros(len(names) + 1, np.int64)
-            np.add.at(step, np.maximum(high[single] - window, 0), 1)
-            np.add.at(step, low[single] + 1, -1)
-            open_ = np.cumsum(step[:-1]) == 0
-            out = []
-            for (d, r, _, x, w), s in zip(rows, starts.tolist()):
-                at = np.flatnonzero(open_[s:s + len(w) - window + 1])
-                if len(at):
-                    out.append((d, r, x, at.astype("<i4").tobytes()))
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["doc_id", "root", "body", "starts"])
+            for group in portions(list(zip(*[c.to_pylist() for c in b.columns])), 3):
+                yield from of_group(group)
 
     return texts.mapInArrow(run, "doc_id long, root binary, body binary, starts binary")
 
@@ -210,14 +230,14 @@ def windows(found: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d, r, x, s in zip(*[c.to_pylist() for c in b.columns]):
-                at = np.frombuffer(s, "<i4").astype(np.int64)
-                names, _, _ = line_up([x.split()])
-                h, g = window_names(names, at, window)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(g), pa.array(np.full(n, d, np.int64)), pa.array(np.full(n, _small(r), np.int64)), pa.array(at.astype(np.int32))],
-                    ["h", "g", "doc_id", "root", "start"])
+            for group in portions(list(zip(*[c.to_pylist() for c in b.columns])), 2):
+                names, _, starts = line_up([x.split() for _, _, x, _ in group])
+                at = [np.frombuffer(s, "<i4") for *_, s in group]
+                count = [len(x) for x in at]
+                start = np.concatenate(at).astype(np.int64)
+                h, g = window_names(names, start + np.repeat(starts, count), window)
+                own = [np.repeat(np.array(v, np.int64), count) for v in ([d for d, *_ in group], [_small(r) for _, r, *_ in group])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, g, *own, start.astype(np.int32))], ["h", "g", "doc_id", "root", "start"])
 
     return found.mapInArrow(run, "h long, g int, doc_id long, root long, start int")
 
