@@ -42,7 +42,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = run_dir(spark, f"llm-{label}")
     with released_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -34,7 +34,8 @@ from .tokens import vocabulary_path, word_ids
 
 MAGIC = b"FVB1"
 END_ID = 1
-BLOCK = 1 << 20  # tokens after which a block is closed; a document is never divided
+ROWS = 256  # documents that a task tokenises before it hands them on
+BLOCK = 1 << 18  # tokens after which a block is closed; a document is never divided
 
 # what a control byte says of its four ranks: their widths, where each begins, and the bytes of all four
 _CODES = np.arange(256)
@@ -106,13 +107,15 @@ def tokenise(docs: DataFrame, vocabulary: str | None, end_id: int, partitions: i
         cache = word_ids(vocabulary or vocabulary_path())
         part, before = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = [cache.encode(x) + end for x in b.column(1).to_pylist()]
-            counts = [len(x) // 4 for x in ids]
-            starts = (before + np.cumsum([0, *counts[:-1]])).tolist() if counts else []
-            before += sum(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(ids), pa.int32()), b.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
-                ["part", "doc_id", "before", "n", "ids"])
+            for i in range(0, b.num_rows, ROWS):
+                some = b.slice(i, ROWS)
+                ids = [cache.encode(x) + end for x in some.column(1).to_pylist()]
+                counts = [len(x) // 4 for x in ids]
+                starts = (before + np.cumsum([0, *counts[:-1]])).tolist()
+                before += sum(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(ids), pa.int32()), some.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())],
+                    ["part", "doc_id", "before", "n", "ids"])
 
     return rows.mapInArrow(run, "part int, doc_id long, before long, n long, ids binary")
 
@@ -123,7 +126,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b.column(0).to_pylist():
+            for x in (y.as_buffer() for y in b.column(0)):
                 own = np.bincount(np.frombuffer(x, "<u4"), minlength=len(total))
                 own[:len(total)] += total
                 total = own
@@ -158,7 +161,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([body], pa.binary())], ["part", "start", "payload"])
 
         for b in batches:
-            for p, doc_id, before, ids in zip(*[b.column(i).to_pylist() for i in (0, 1, 2, 4)]):
+            for p, doc_id, before, ids in (row for i in range(0, b.num_rows, ROWS) for row in zip(*[b.slice(i, ROWS).column(j).to_pylist() for j in (0, 1, 2, 4)])):
                 if docs_ and (p != part or size >= BLOCK or before + start_of[p] != start + size):
                     yield closed()
                     docs_, ids_ = [], []

@@ -15,7 +15,7 @@ import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 
-_WORD_CACHE = 1_500_000  # entries of a worker; the cache is emptied beyond
+_WORD_CACHE = 600_000  # entries of a worker; the cache is emptied beyond
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 
 
