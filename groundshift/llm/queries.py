@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, simhash, substring, tokenfile
+from . import decontaminate, packing, pii, quality, simhash, substring, tokenfile, urls
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -27,6 +27,10 @@ def op4_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digests(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,6 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_template_leaks, op2_quality_votes, op4_pii_votes, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
+    op1_template_leaks, op2_quality_votes, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
 )}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
