@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, quality, simhash, substring, tokenfile, urls
+from . import decontaminate, htmlmain, packing, pii, quality, simhash, substring, tokenfile, urls
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -43,6 +43,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,6 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_template_leaks, op2_quality_votes, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op10_substring_dedup,
+    op1_template_leaks, op2_quality_votes, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op9_html_main_text, op10_substring_dedup,
 )}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
