@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlmain, packing, pii, quality, simhash, substring, tokenfile, urls
+from . import decontaminate, htmlmain, packing, pii, quality, quotes, simhash, substring, tokenfile, urls
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -23,6 +23,10 @@ def op2_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,6 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_template_leaks, op2_quality_votes, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op9_html_main_text, op10_substring_dedup,
+    op1_template_leaks, op2_quality_votes, op3_quotation_links, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op9_html_main_text, op10_substring_dedup,
 )}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
