@@ -138,7 +138,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, trust: f
     """EM over counted vote patterns; it starts from "bad if any rule says bad".
 
     The share of good documents is held near that of documents without a bad vote (a prior worth as many documents as there
-    are). Each rule brings a prior worth ``trust`` of the documents that it is right nine times in ten, and is never read
+    are) and not below a half, so that a document without votes stays. Each rule brings a prior worth ``trust`` of the documents that it is right nine times in ten, and is never read
     against its own word. Abstaining is not scored, since junk of one kind is silent under the rules for another.
     """
     if not patterns:
@@ -153,7 +153,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, trust: f
     r = np.where(blamed, 0.1, 0.95)
     for _ in range(rounds):
         g, b = w * r, w * (1 - r)
-        good = (g.sum() + unblamed) / (2 * w.sum())
+        good = max((g.sum() + unblamed) / (2 * w.sum()), 0.5)
         prior = trust * w.sum() * np.maximum(share, 1e-6)
         wrong, right = 0.1 * prior, 0.9 * prior
         p = np.minimum((g @ voted + np.where(says_bad, wrong, right) + 1e-3) / (g.sum() + trust * w.sum() * good + 1), 1 - 1e-6)

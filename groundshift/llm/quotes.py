@@ -42,10 +42,12 @@ def _hashes(lines: Column) -> Column:
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own (text without quotations), own_hashes and quoted: hashes by level, for each message.
 
-    Of rows that repeat (conv_id, turn) the one with the smallest role and text stays.
+    Of rows that repeat (conv_id, turn) the one with the smallest role and text stays; without a place, equal rows are one.
     """
-    first = messages.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
-    m = first.select("conv_id", "turn", "m.role", "m.text", _lines(F.col("m.text")).alias("lines"))
+    said = F.struct("role", "text")
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    first = messages.select("conv_id", "turn", said.alias("said"), F.when(~placed, said).alias("own_key")).groupBy("conv_id", "turn", "own_key")
+    m = first.agg(F.min("said").alias("m")).select("conv_id", "turn", "m.role", "m.text", _lines(F.col("m.text")).alias("lines"))
     quoting = F.exists("lines", lambda x: x["level"] > 0)
     own = F.filter("lines", lambda x: (x["level"] == 0) & ~(x["body"].rlike(_ATTRIBUTION) & quoting))
     deepest = F.array_max(F.transform("lines", lambda x: x["level"]))
