@@ -6,7 +6,8 @@ left out on the benchmark's side. What joins is then laid along its diagonal (pl
 and its slots are compared: the same filler of the item must always meet the same filler in the document.
 
 The benchmark's windows are one row for each distinct (window, item), its items one row for each distinct template, so a
-window of the document meets an item once. Both are written first, so that the planner broadcasts them only if they are small.
+window of the document meets an item once. The windows are counted first: up to BROADCAST_ROWS go to every executor, and the
+documents stay where they are; more are joined by a shuffle of hashes, with the same result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import OWN, staged
 WINDOW = 8
 LITERALS = 5  # words of a benchmark window that must not be placeholders
 COVERED = 13  # tokens of one diagonal that make a leak, or the whole item if it is shorter
+BROADCAST_ROWS = 2_000_000  # benchmark windows that every executor may hold, some 60 MB; more are joined by a shuffle
 CONSISTENT = 0.75  # share of the slot fillers that must meet one filler each
 
 # Words for numbers and for units.
@@ -92,19 +94,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = staged(items_of(benchmark), "leak-items")
     parts = staged(item_windows(items), "leak-windows")
-    text = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    at = text.select("doc_id", "key", F.posexplode(window_hashes(tokens(F.col("text")))).alias("dpos", "h"))
-    hits = at.join(parts, "h").groupBy("doc_id", "key", "item_id").agg(F.collect_set(F.struct("ipos", "dpos")).alias("at"))
-    hits = staged(hits, "leak-hits")
-
-    mine, theirs = F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("h.key") == F.col("t.key")
-    keys = hits.select("doc_id", "key").distinct()
-    raw = text.alias("t").join(keys.alias("h"), mine & theirs, "left_semi").dropDuplicates(["doc_id", "key"])
-    raw = raw.select("doc_id", "key", tokens(F.col("text")).alias("draw"))
-    both = hits.alias("h").join(raw.alias("t"), mine & theirs).select("h.doc_id", "h.key", "h.item_id", "h.at", "t.draw").join(items, "item_id")
+    text = docs.select("doc_id", F.xxhash64("text").alias("key"), tokens(F.col("text")).alias("draw"))
+    at = text.select("doc_id", "key", "draw", F.posexplode(window_hashes(F.col("draw"))).alias("dpos", "h"))
+    said = F.slice("draw", F.col("dpos") + 1, WINDOW)
+    place = ["doc_id", "key", "item_id", "ipos", "dpos"]
+    if parts.count() <= BROADCAST_ROWS:
+        met = at.join(F.broadcast(parts), "h").select(*place, said.alias("said"))
+    else:  # tokens do not travel with the windows of a shuffled join: matched texts are read again
+        found = staged(at.drop("draw").join(parts, "h").select(*place), "leak-places")
+        mine, theirs = F.col("h.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("h.key") == F.col("t.key")
+        again = text.dropDuplicates(["doc_id", "key"]).alias("t")
+        met = found.alias("h").join(again, mine & theirs).select(*[f"h.{c}" for c in place], said.alias("said"))
+    hits = met.groupBy("doc_id", "key", "item_id").agg(F.collect_set(F.struct("ipos", "dpos", "said")).alias("at"))
+    both = staged(hits, "leak-hits").join(items, "item_id")
     met = F.flatten(F.transform("at", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
         (p["dpos"] - p["ipos"]).alias("diag"), (p["ipos"] + k).alias("i"), F.element_at("typed", p["ipos"] + k + 1).isin("0", "1", "2").alias("slot"),
-        F.element_at("raw", p["ipos"] + k + 1).alias("iv"), F.element_at("draw", p["dpos"] + k + 1).alias("dv")))))
+        F.element_at("raw", p["ipos"] + k + 1).alias("iv"), F.element_at(p["said"], k + 1).alias("dv")))))
     cells = both.select("doc_id", "key", "item_id", F.size("raw").alias("size"), F.explode(F.array_distinct(met)).alias("c")).select(
         "doc_id", "key", "item_id", "size", "c.*")
     slot = F.col("slot")

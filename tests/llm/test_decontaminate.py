@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from groundshift.llm import decontaminate
 
 from .helpers import ODD, SF, docs
@@ -63,7 +65,9 @@ def test_corpus(spark):
     assert want and pairs(decontaminate.report(d, b)) == want
 
 
-def test_other_values_and_odd_rows(spark):
+@pytest.mark.parametrize("held", [decontaminate.BROADCAST_ROWS, 0])
+def test_other_values_and_odd_rows(spark, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", held)
     items = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "too short"), (5, ITEM.replace("12", "7")), (None, ITEM)], "item_id long, text string")
     rows = [
         *ODD, (20, ITEM), (21, "x y. Maria has 7 apples and gives 2 of them to her friend Tom before walking 9 km home with Eve! z"),
