@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -58,7 +59,8 @@ BENCH = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g")
+    spark = build_session("bench", master=f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g",
+                          **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="groundshift-")})
     spark.sparkContext.setLogLevel("ERROR")
     only = sys.argv[1:]
     rows = {n: Tables(spark, sf_dir).raw(n).count() for n in ("orders", "lineitem", "events", "embeddings")}

@@ -84,13 +84,18 @@ def snk_03_summary(t):
     return r.withColumns({"total_area": F.round("total_area", 2), "total_tonnage": F.round("total_tonnage", 2), "avg_confidence": F.round("avg_confidence", 6)})
 
 
+# columns whose JSON text both engines write alike
+_EXACT = {"detection_date", "is_active", "jurisdiction", "region_id", "risk_score", "sector_id", "site_id", "site_no", "source_sensor", "threat_level", "waste_type"}
+
+
 @query("snk_04", f"""
 SELECT 'EVD-20240130-' || site_id AS case_id, threat_level, {YMD.format('detection_date')} AS detection_date, printf('%.6f', lat) AS lat, printf('%.6f', lon) AS lng,
   upper(substr(waste_type, 1, 1)) || substr(waste_type, 2) AS waste_type, format('{{:,.0f}}', area_m2) AS area_m2, format('{{:,.1f}}', estimated_tonnage) AS tonnage,
   printf('%.1f', confidence*100.0::DOUBLE) AS confidence, risk_score, 'N/A' AS delta_ndvi, CASE WHEN distance_to_water_km = 0 THEN 'N/A' ELSE printf('%.2f', distance_to_water_km) END AS water_km,
-  printf('%.2f', distance_to_protected_km) AS protected_km, 'N/A' AS scene_t0, substr(sha256(concat_ws('|', CAST(risk_score AS VARCHAR), site_id, threat_level, waste_type)), 1, 16) AS report_hash FROM scored""", ("scored",))
+  printf('%.2f', distance_to_protected_km) AS protected_km, 'N/A' AS scene_t0, substr(sha256(CAST(to_json({{detection_date: detection_date, is_active: is_active, jurisdiction: jurisdiction, region_id: region_id, risk_score: risk_score,
+    sector_id: sector_id, site_id: site_id, site_no: site_no, source_sensor: source_sensor, threat_level: threat_level, waste_type: waste_type}}) AS VARCHAR)), 1, 16) AS report_hash FROM scored""", ("scored",))
 def snk_04(t):
-    e = exports.evidence_records(t.polygons, "2024-01-30", ["threat_level", "waste_type", "site_id", "risk_score"])
+    e = exports.evidence_records(t.polygons, "2024-01-30", [c for c in t.polygons.columns if c in _EXACT])
     return e.select("case_id", "threat_level", "detection_date", "lat", "lng", "waste_type", "area_m2", "tonnage", "confidence", "risk_score",
                     "delta_ndvi", "water_km", "protected_km", "scene_t0", "report_hash")
 
@@ -179,7 +184,7 @@ def _site_columns(d):
 
 @query("pipe_01", """
 WITH RECURSIVE last AS (SELECT max(step) AS b FROM cells), prev AS (SELECT max(step) AS a FROM cells, last WHERE step < b),
-t AS (SELECT 1 AS step, y.y, y.x FROM idx y JOIN idx z ON z.y = y.y AND z.x = y.x, last, prev WHERE y.step = b AND z.step = a AND y.ndvi - z.ndvi < 0.0 AND y.swir > 0.05::DOUBLE),
+t AS (SELECT b AS step, y.y, y.x FROM idx y JOIN idx z ON z.y = y.y AND z.x = y.x, last, prev WHERE y.step = b AND z.step = a AND y.ndvi - z.ndvi < 0.0 AND y.swir > 0.05::DOUBLE),
 """ + OUTLINE_SQL + "," + MEASURE_SQL + "," + _SITES_SQL + """
 SELECT site_id, area_m2, confidence, risk_score, threat_level, estimated_tonnage, n_vertices, lon, lat, CAST((SELECT a FROM prev) AS VARCHAR) AS scene_t0, CAST((SELECT b FROM last) AS VARCHAR) AS scene_t1 FROM site""", ("idx",))
 def pipe_01(t):
@@ -200,7 +205,7 @@ def pipe_02(t):
 @query("pipe_03", """
 WITH RECURSIVE g AS (SELECT *, coalesce(d_ndvi < -0.01::DOUBLE AND d_swir > 0.01::DOUBLE, false) AS hit FROM steps WHERE k >= 0),
 h AS (SELECT y, x, arg_max(hit, step) AS last_hit, max(step) AS last_step, count(*) FILTER (hit) AS n, coalesce(min(k) FILTER (hit), -1) AS onset FROM g GROUP BY 1, 2),
-t AS (SELECT 0 AS step, y, x FROM h WHERE last_hit AND n >= 1 AND last_step = (SELECT max(step) FROM cells)),
+t AS (SELECT last_step AS step, y, x FROM h WHERE last_hit AND n >= 1 AND last_step = (SELECT max(step) FROM cells)),
 """ + OUTLINE_SQL + "," + MEASURE_SQL + "," + _SITES_SQL + f""",
 c AS (SELECT *, sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY y, x ORDER BY step ROWS UNBOUNDED PRECEDING) AS cum FROM g),
 p AS (SELECT cum - lag(cum) OVER (PARTITION BY y, x ORDER BY step) AS progression FROM c),
@@ -227,7 +232,7 @@ def _scored_scene(t):
 _SCORE = """
 WITH win AS (SELECT a.s AS y0, b.s AS x0 FROM (SELECT unnest([0, 8, 16, 20]) AS s) a, (SELECT unnest([0, 8, 16, 20]) AS s) b),
 pred AS (SELECT step, y0, x0, y, x, 1.0/(1.0+exp(-(2.0*swir - 3.0*ndvi))) AS p FROM idx JOIN win ON y BETWEEN y0 AND y0 + 11 AND x BETWEEN x0 AND x0 + 11),
-f AS (SELECT step, y0, x0, avg(p) AS confidence FROM pred GROUP BY 1, 2, 3 HAVING count(*) = 144),
+f AS (SELECT step, y0, x0, (sum(p) + (144 - count(*))*0.5)/144 AS confidence FROM pred GROUP BY 1, 2, 3),
 m AS (SELECT c.step, c.y, c.x, coalesce(avg(q.p), 0) AS p, coalesce(avg(f.confidence), 0) AS confidence
 FROM cells c LEFT JOIN (pred q JOIN f USING (step, y0, x0)) ON q.step = c.step AND q.y = c.y AND q.x = c.x GROUP BY 1, 2, 3)
 """

@@ -102,9 +102,9 @@ def flt_08(t):
     return catalogue.enough_revisits(catalogue.search_optical(t.scenes, max_cloud=30), ["area"])
 
 
-@query("srt_03", f"SELECT scene_id, {SQL_STAMP.format('ts')} AS taken FROM scenes WHERE collection = 'historical' AND cloud_cover < 20 ORDER BY ts ASC NULLS FIRST, scene_id", ("scenes",))
+@query("srt_03", f"SELECT scene_id, {SQL_STAMP.format('ts')} AS taken FROM scenes ORDER BY ts ASC NULLS FIRST, scene_id", ("scenes",))
 def srt_03(t):
-    return catalogue.chronological(catalogue.search_historical(t.scenes)).select("scene_id", STAMP("ts").alias("taken"))
+    return catalogue.chronological(t.scenes).select("scene_id", STAMP("ts").alias("taken"))
 
 
 # ---- bands and indices --------------------------------------------------------------------------------

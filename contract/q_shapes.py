@@ -28,16 +28,17 @@ JOIN half c ON c.step = st.step AND c.y = ay.hi AND c.x = ax.lo JOIN half d ON d
 
 
 def _half_tiles(t):
-    """Every second cell of SWIR, re-tiled on the 16 x 16 grid (each mosaic tile gives a 4 x 4 block)."""
+    """Every second cell of SWIR, re-tiled on the 16 x 16 grid; cells that the last, partial step lacks are null."""
     c = t.cells.filter("y % 2 = 0 and x % 2 = 0").withColumns({"y": F.floor(F.col("y") / 2).cast("int"), "x": F.floor(F.col("x") / 2).cast("int")})
     c = c.withColumns({"ty": F.floor(F.col("y") / TILE).cast("int"), "tx": F.floor(F.col("x") / TILE).cast("int")})
-    g = c.groupBy(*_KEYS, "ty", "tx").agg(F.sort_array(F.collect_list(F.struct("y", "x", "swir"))).alias("c"),
-                                          (F.max("y") - F.min("y") + 1).alias("h"), (F.max("x") - F.min("x") + 1).alias("w"))
-    return g.select(*_KEYS, "ty", "tx", "h", "w", F.transform("c", lambda s: s["swir"]).alias("swir"))
+    at = (F.col("y") % TILE * TILE + F.col("x") % TILE).cast("int")
+    g = c.groupBy(*_KEYS, "ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct(at, "swir"))).alias("m"))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(TILE * TILE - 1)), lambda i: F.try_element_at("m", i))
+    return g.select(*_KEYS, "ty", "tx", F.lit(TILE).alias("h"), F.lit(TILE).alias("w"), whole.alias("swir"))
 
 
 def _resampled(t):
-    out = stencils.resample(_half_tiles(t).filter(F.size("swir") == F.col("h") * F.col("w")), "swir", _KEYS, TILE, (16, 16), (32, 32))
+    out = stencils.resample(_half_tiles(t), "swir", _KEYS, TILE, (16, 16), (32, 32))
     return raster.cells(out, ["swir"], TILE)
 
 
@@ -62,7 +63,7 @@ def ras_07(t):
     coarse = _half_tiles(t).filter("step % 2 = 1").withColumns({"rows": F.lit(16), "cols": F.lit(16)})
     grids = stencils.reference_grids(fine.unionByName(coarse, allowMissingColumns=True), "area", "step", ["rows", "cols"])
     ref = grids.first()  # one row per area; one area here
-    aligned = stencils.resample(coarse.filter(F.size("swir") == F.col("h") * F.col("w")), "swir", _KEYS, TILE, (16, 16), (ref["rows"], ref["cols"]))
+    aligned = stencils.resample(coarse, "swir", _KEYS, TILE, (16, 16), (ref["rows"], ref["cols"]))
     both = fine.select(*_KEYS, "ty", "tx", "h", "w", "swir").unionByName(aligned)
     c = raster.cells(both, ["swir"], TILE).filter(F.col("swir").isNotNull())
     return c.groupBy("step").agg(F.count("*").alias("n_cells"), F.round(F.sum("swir"), 6).alias("total"))
@@ -235,16 +236,16 @@ _P = "1.0/(1.0+exp(-(2.0*swir - 3.0*ndvi)))"
 _WIN = f"""
 WITH w AS (SELECT a.s AS y0, b.s AS x0 FROM {_STARTS} a, {_STARTS} b),
 p AS (SELECT step, y0, x0, y, x, {_P} AS p FROM idx JOIN w ON y BETWEEN y0 AND y0 + 11 AND x BETWEEN x0 AND x0 + 11),
-full_windows AS (SELECT step, y0, x0, avg(p) AS confidence FROM p GROUP BY 1, 2, 3 HAVING count(*) = 144)
+full_windows AS (SELECT step, y0, x0, (sum(p) + (144 - count(*))*0.5)/144 AS confidence FROM p GROUP BY 1, 2, 3)
 """
 
 
 def _scored_windows(t):
-    """Whole 12 x 12 windows of every scene, scored with the linear stand-in."""
+    """12 x 12 windows of every scene, scored with the linear stand-in; missing cells are zeros, which it takes for 0.5."""
     stack = _stack(t)
     chips = tiling.sliding_tiles(_images(t), _KEYS, 12, 8)
-    cut = tiling.cut_chips(stack, chips, _KEYS, ["channels"], 12, 8, F.lit(SIDE), F.lit(SIDE), True)
-    return scorer.score_tiles(cut.filter(F.size("channels") == 144), [*_KEYS, "y0", "x0"])
+    cut = tiling.cut_chips(stack, chips, _KEYS, ["channels"], 12, 8, F.lit(SIDE), F.lit(SIDE), True, {"channels": tiling.NODATA})
+    return scorer.score_tiles(cut, [*_KEYS, "y0", "x0"])
 
 
 @query("ml_03", _WIN + "SELECT step, y0, x0, round(confidence, 9) AS confidence FROM full_windows", ("idx",))
@@ -261,12 +262,12 @@ def ras_16(t):
     return full.select(*_YX, F.round("p", 6).alias("p"))
 
 
-_RECTS = "SELECT doc_id AS label_id, doc_id % 28 AS x0, (doc_id // 28) % 28 AS y0, 1 + quality AS n FROM labels WHERE toxic = 1"
+_RECTS = "SELECT doc_id AS label_id, doc_id % 28 AS x0, (doc_id // 28) % 28 AS y0, 1 + quality AS n FROM labels"
 
 
 def _label_rings(t):
     """Rectangles of label cells from the labels table, in world coordinates."""
-    l = t.raw("labels").filter("toxic = 1")
+    l = t.raw("labels")
     x0, y0, n = F.col("doc_id") % 28, F.floor(F.col("doc_id") / 28) % 28, 1 + F.col("quality")
     lon, lat = lambda x: F.lit(4.2) + x * 0.001, lambda y: F.lit(51.95) - y * 0.001
     return l.select("doc_id", geometry.rectangle(lon(x0), lat(y0 + n), lon(x0 + n), lat(y0)).alias("ring"))

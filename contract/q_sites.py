@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from groundshift.functions import formats, geometry, indices, scoring
 from groundshift.operators import filters, relations, summaries
-from groundshift.sources import features
+from groundshift.sources import catalogue, features
 
 from .registry import correct, query, rnd
 
@@ -112,11 +112,11 @@ def sca_06(t):
 
 
 @query("sca_07", """
-SELECT site_id, substr(sha256(concat_ws('|', site_id, CAST(risk_score AS VARCHAR), threat_level)), 1, 16) AS content_hash,
+SELECT site_id, substr(sha256('{"risk_score":' || risk_score || ',"site_id":"' || site_id || '","threat_level":"' || threat_level || '"}'), 1, 16) AS content_hash,
   'search:' || substr(md5(concat_ws(':', site_id, CAST(sector_id AS VARCHAR))), 1, 12) AS cache_key FROM scored""", ("scored",))
 def sca_07(t):
     c = F.col
-    return t.scored.select("site_id", formats.content_hash([c("site_id"), c("risk_score"), c("threat_level")]).alias("content_hash"),
+    return t.scored.select("site_id", formats.content_hash({n: c(n) for n in ("site_id", "risk_score", "threat_level")}).alias("content_hash"),
                            formats.key_hash("search", [c("site_id"), c("sector_id")]).alias("cache_key"))
 
 
@@ -228,24 +228,24 @@ def agg_05(t):
     return features.sector_index(t.sites, t.sectors).select("sector_id", "name", "num_sites", "total_area_m2")
 
 
-@query("src_07", _INDEX.format("(SELECT * FROM sites WHERE is_active AND confidence >= 0.9::DOUBLE AND region_id <> 3)"), ("sites", "sectors"))
+@query("src_07", _INDEX.format("sites"), ("sites", "sectors"))
 def src_07(t):
-    kept = filters.by_confidence(t.sites.filter("is_active and region_id <> 3"), 0.9)
-    return features.sector_index(kept, t.sectors).select("sector_id", "name", "num_sites", "total_area_m2")
+    return features.sector_index(t.sites, t.sectors).select("sector_id", "name", "num_sites", "total_area_m2")
 
 
 @query("agg_06", """
 WITH want AS (SELECT unnest(['sentinel2','sentinel1','landsat']) AS source_sensor),
 sc AS (SELECT CASE collection WHEN 'optical' THEN 'sentinel2' WHEN 'radar' THEN 'sentinel1' ELSE 'landsat' END AS source_sensor, count(*) AS scenes,
-  arg_max(scene_id, (ts, scene_id)) AS newest FROM scenes WHERE cloud_cover < 20 GROUP BY 1),
+  arg_max(scene_id, (ts, scene_id), 2) AS newest FROM scenes WHERE CASE collection WHEN 'radar' THEN orbit_state = 'descending' ELSE cloud_cover < 20 END GROUP BY 1),
 d AS (SELECT source_sensor, count(*) AS n FROM sites WHERE confidence >= 0.7::DOUBLE GROUP BY 1)
 SELECT source_sensor, CASE WHEN coalesce(scenes,0) >= 2 THEN coalesce(n,0) ELSE 0 END AS count, coalesce(scenes,0) AS scenes_processed,
-  CASE WHEN coalesce(scenes,0) >= 2 THEN newest END AS scene_t1,
+  CASE WHEN coalesce(scenes,0) >= 2 THEN newest[2] END AS scene_t0, CASE WHEN coalesce(scenes,0) >= 2 THEN newest[1] END AS scene_t1,
   CASE WHEN coalesce(scenes,0) < 2 THEN 'Insufficient scenes' END AS error
 FROM want LEFT JOIN sc USING (source_sensor) LEFT JOIN d USING (source_sensor)""", ("scenes", "sites"))
 def agg_06(t):
     name = F.when(F.col("collection") == "optical", "sentinel2").when(F.col("collection") == "radar", "sentinel1").otherwise("landsat")
-    sc = t.scenes.filter("cloud_cover < 20").withColumn("source_sensor", name)
+    found = catalogue.search_optical(t.scenes).unionByName(catalogue.search_radar(t.scenes)).unionByName(catalogue.search_historical(t.scenes))
+    sc = found.withColumn("source_sensor", name)
     return summaries.sensor_results(t.spark, ["sentinel2", "sentinel1", "landsat"], filters.by_confidence(t.sites, 0.7), sc)
 
 
@@ -321,10 +321,9 @@ def join_04(t):
     return relations.new_sites(t.detections, _stored(t)).select("sector_id", "site_id", "seq")
 
 
-@query("join_05", f"SELECT sector_id, site_id, seq FROM detections d WHERE ts >= TIMESTAMP '2024-01-15' AND EXISTS (SELECT 1 FROM {_STORED} s WHERE s.sector_id = d.sector_id AND s.site_id = d.site_id)", ("detections",))
+@query("join_05", f"SELECT sector_id, site_id, seq FROM detections d WHERE EXISTS (SELECT 1 FROM {_STORED} s WHERE s.sector_id = d.sector_id AND s.site_id = d.site_id)", ("detections",))
 def join_05(t):
-    late = t.detections.filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp"))
-    return relations.known_sites(late, _stored(t)).select("sector_id", "site_id", "seq")
+    return relations.known_sites(t.detections, _stored(t)).select("sector_id", "site_id", "seq")
 
 
 @query("join_06", "SELECT s.site_id, c.name, c.region_name FROM sites s JOIN sectors c USING (sector_id)", ("sites", "sectors"))

@@ -16,7 +16,8 @@ def fixed(x: Column, places: int, grouped: bool = False) -> Column:
 def rounded(x: Column, places: int) -> Column:
     """Round the binary value of a double correctly: half-even on a true tie, so 61.25 gives 61.2, while
     2.675, which is stored a little lower, gives 2.67. Spark's round and bround work on the decimal text instead."""
-    return fixed(x, places).cast("double")
+    finite = x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x) < float("inf"))
+    return F.when(finite, fixed(x, places)).otherwise(x.cast("string")).try_cast("double")
 
 
 def percent(x: Column, places: int = 1) -> Column:
@@ -36,9 +37,10 @@ def padded_id(prefix: Column, n: Column, width: int = 3) -> Column:
     return F.format_string(f"%s-%0{width}d", prefix, n)
 
 
-def content_hash(cols: list[Column], length: int = 16) -> Column:
-    """First hex digits of the SHA-256 of the joined text of ``cols``."""
-    return F.substring(F.sha2(F.concat_ws("|", *[c.cast("string") for c in cols]), 256), 1, length)
+def content_hash(cols: dict[str, Column], length: int = 16) -> Column:
+    """First hex digits of the SHA-256 of the columns as a JSON object with sorted names; nulls are written out."""
+    body = F.to_json(F.struct(*[cols[k].alias(k) for k in sorted(cols)]), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(body, 256), 1, length)
 
 
 def key_hash(prefix: str, cols: list[Column]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import stage
+from ..session import discard, stage
 
 # The eight moves to a neighbour cell, clockwise from east, rows growing downwards.
 MOVES = [(0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1)]
@@ -76,6 +76,7 @@ def star_roots(edges: DataFrame, keys: list[str]) -> DataFrame:
     up = stage(up, "edges")
     seen = _changed(up, [*keys, "hi", "lo"])
     while True:
+        before = up
         both = up.select(*keys, F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(
             up.select(*keys, F.col("lo").alias("a"), F.col("hi").alias("b")))
         least = both.groupBy(*keys, "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -85,6 +86,7 @@ def star_roots(edges: DataFrame, keys: list[str]) -> DataFrame:
         up = small.filter("lo <> m").select(*keys, F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(
             floor.select(*keys, "hi", F.col("m").alias("lo"))).distinct()
         up = stage(up, "stars")
+        discard(before)
         now = _changed(up, [*keys, "hi", "lo"])
         if now == seen:
             return up.select(*keys, F.col("hi").alias("node"), F.col("lo").alias("root"))

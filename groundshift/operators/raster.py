@@ -20,11 +20,13 @@ CELL = ADDRESS + ["pos"]
 
 
 def align_bands(band_tiles: DataFrame, bands: dict[str, str], time: str = "step", extra: list[str] | None = None,
-                strict: bool = False) -> DataFrame:
+                strict: bool = False, scene: str | None = None) -> DataFrame:
     """One row per scene tile with one array column per logical band.
 
     ``bands`` maps logical names to asset names. A scene tile that lacks a band is dropped whole, or
-    fails the job when ``strict``. One shuffle, of arrays, on the tile address.
+    fails the job when ``strict``; bands of different size always fail it. With ``scene``, bands are only put together
+    within a scene, and of scenes with one time the first complete one gives the tile. One shuffle, of arrays, on
+    the tile address.
     """
     pick = [
         F.first(F.when(F.col("band") == asset, F.col("data")), ignorenulls=True).alias(name)
@@ -34,23 +36,30 @@ def align_bands(band_tiles: DataFrame, bands: dict[str, str], time: str = "step"
     wide = (
         band_tiles.filter(F.col("band").isin(*bands.values()))
         .repartition(*ADDRESS)
-        .groupBy(*ADDRESS, time)
+        .groupBy(*ADDRESS, time, *([scene] if scene else []))
         .agg(*passed, *pick)
     )
+    first, *others = bands
+    for name in others:
+        differs = F.size(name) != F.size(first)
+        wide = wide.withColumn(name, F.when(differs, F.raise_error(F.lit("bands of different size: resample them to one grid first"))).otherwise(F.col(name)))
     if strict:
         whole = F.lit(True)
         for name in bands:
             whole = whole & F.col(name).isNotNull()
-        first = next(iter(bands))
         return wide.withColumn(first, F.when(whole, F.col(first)).otherwise(F.raise_error(F.lit("required band missing"))))
-    return wide.dropna(subset=list(bands))
+    wide = wide.dropna(subset=list(bands))
+    if scene:
+        order = W.partitionBy(*ADDRESS, time).orderBy(scene)
+        wide = wide.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    return wide
 
 
-def complete_scenes(band_tiles: DataFrame, required: list[str], scene: str = "scene") -> DataFrame:
-    """Scenes that have every required band."""
+def complete_scenes(band_tiles: DataFrame, required: list[str], scene: str | list[str] = "scene") -> DataFrame:
+    """Scenes that have every required band; ``scene`` names the column or columns that tell scenes apart."""
     return (
         band_tiles.filter(F.col("band").isin(*required))
-        .groupBy(scene)
+        .groupBy(*([scene] if isinstance(scene, str) else scene))
         .agg(F.count_distinct("band").alias("n_bands"))
         .filter(F.col("n_bands") == len(required))
     )

@@ -140,8 +140,8 @@ def resample(tiles: DataFrame, value: str, keys: list[str], tile: int, src_size:
     """Bilinear resize of a tiled image to another grid of the same extent.
 
     ``tile`` is the nominal tile side of source and target. Each source tile is sent to the few
-    target tiles whose cells read from it; a target tile is then interpolated on its own. Cells that
-    read a missing source cell come out null.
+    target tiles whose cells read from it; a target tile is then interpolated on its own. A source tile lists all
+    its h x w cells, missing ones as null; cells that read one come out null.
     """
     (sh, sw), (dh, dw) = src_size, dst_size
 
@@ -185,7 +185,7 @@ def resample(tiles: DataFrame, value: str, keys: list[str], tile: int, src_size:
         return pd.DataFrame(rows, columns=["h", "w", "v"])
 
     out = grouped.select(*keys, "ty", "tx", interpolate("ty", "tx", "src").alias("o"))
-    return out.select(*keys, "ty", "tx", F.col("o.h").alias("h"), F.col("o.w").alias("w"), F.col("o.v").alias(value))
+    return out.select(*keys, "ty", "tx", F.col("o.h").alias("h"), F.col("o.w").alias("w"), F.transform("o.v", lambda x: F.when(~F.isnan(x), x)).alias(value))
 
 
 def reference_grids(tile_rows: DataFrame, area: str, time: str, grid: list[str]) -> DataFrame:

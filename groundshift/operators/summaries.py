@@ -80,8 +80,12 @@ def sensor_results(spark: SparkSession, requested: list[str], detections: DataFr
     names = {"sentinel2": "Sentinel-2", "sentinel1": "SAR", "landsat": "Landsat"}
     wanted = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in requested])).alias("source_sensor"))
     found = detections.groupBy("source_sensor").agg(F.count("*").alias("n"))
-    newest = F.struct(F.col("ts"), F.col("scene_id"))
-    have = scenes.groupBy("source_sensor").agg(F.count("*").alias("scenes"), F.max(newest).alias("newest"))
+    # the rank limit keeps two rows of each sensor on the map side
+    order = W.partitionBy("source_sensor").orderBy(F.col("ts").desc(), F.col("scene_id").desc())
+    two = scenes.select("source_sensor", "ts", "scene_id").withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+    two = two.groupBy("source_sensor").agg(F.max(F.when(F.col("rank") == 1, F.col("scene_id"))).alias("scene_t1"),
+                                           F.max(F.when(F.col("rank") == 2, F.col("scene_id"))).alias("scene_t0"))
+    have = scenes.groupBy("source_sensor").agg(F.count("*").alias("scenes")).join(two, "source_sensor")
     out = wanted.join(have, "source_sensor", "left").join(found, "source_sensor", "left")
     enough = F.coalesce(F.col("scenes"), F.lit(0)) >= 2
     label = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("source_sensor")]
@@ -89,7 +93,7 @@ def sensor_results(spark: SparkSession, requested: list[str], detections: DataFr
         "source_sensor",
         F.when(enough, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("count"),
         F.coalesce("scenes", F.lit(0)).cast("long").alias("scenes_processed"),
-        F.when(enough, F.col("newest.scene_id")).alias("scene_t1"),
+        F.when(enough, F.col("scene_t0")).alias("scene_t0"), F.when(enough, F.col("scene_t1")).alias("scene_t1"),
         F.when(~enough, F.concat(F.lit("Insufficient "), label, F.lit(" scenes"))).alias("error"),
     )
 

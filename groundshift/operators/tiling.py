@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import tile_x, tile_y
 
 TILE_SIZE, STRIDE = 256, 128
+NODATA = [0.0] * 6  # channels of a cell that an image lacks
 
 
 def web_tile_cover(areas: DataFrame, keys: list[str], zooms: list[int], bbox: str = "bbox") -> DataFrame:
@@ -22,6 +23,7 @@ def web_tile_cover(areas: DataFrame, keys: list[str], zooms: list[int], bbox: st
 
 
 def web_tile_counts(cover: DataFrame, keys: list[str], layers: int = 1) -> DataFrame:
+    """Tiles and downloads of a listed cover."""
     n = cover.groupBy(*keys, "zoom").agg(F.count("*").alias("tiles"))
     return n.withColumn("downloads", F.col("tiles") * layers)
 
@@ -124,13 +126,22 @@ def _field(structs: str, name: str) -> Column:
 
 
 def cut_chips(cell_rows: DataFrame, chips: DataFrame, keys: list[str], payload: list[str], size: int, stride: int,
-              height: Column, width: Column, cover_edge: bool) -> DataFrame:
+              height: Column, width: Column, cover_edge: bool, fill: dict[str, list[float]] | None = None) -> DataFrame:
     """Row-major cell arrays of the wanted chips. Cells outside them are dropped before the shuffle; a
-    chip's list has a fixed size."""
+    chip's list has a fixed size. Missing cells are left out, or stand as the values of ``fill``."""
     member = tile_membership(cell_rows, height, width, size, stride, cover_edge)
     member = member.join(chips.select(*keys, "y0", "x0"), [*keys, "y0", "x0"], "left_semi")
     packed = member.groupBy(*keys, "y0", "x0").agg(F.sort_array(F.collect_list(F.struct("y", "x", *payload))).alias("_c"))
-    return packed.select(*keys, "y0", "x0", *[_field("_c", p).alias(p) for p in payload])
+    if not fill:
+        return packed.select(*keys, "y0", "x0", *[_field("_c", p).alias(p) for p in payload])
+    place = F.transform("_c", lambda s: ((s["y"] - F.col("y0")) * size + s["x"] - F.col("x0")).cast("int"))
+
+    def whole(name: str) -> Column:
+        have = F.map_from_arrays(place, _field("_c", name))
+        nothing = F.array(*[F.lit(float(v)) for v in fill[name]])
+        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.try_element_at(have, i), nothing))
+
+    return packed.select(*keys, "y0", "x0", *[(whole(p) if p in fill else _field("_c", p)).alias(p) for p in payload])
 
 
 def tile_index(pairs: DataFrame, key: str, size: int = TILE_SIZE, stride: int = STRIDE) -> DataFrame:

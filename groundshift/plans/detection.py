@@ -97,50 +97,69 @@ def within(band_tiles: DataFrame, bbox, layout: Layout) -> DataFrame:
     return band_tiles.filter(F.col("tx").between(*tx) & F.col("ty").between(*ty))
 
 
+def _complete(found: DataFrame, band_tiles: DataFrame, bands: dict[str, str]) -> DataFrame:
+    """Scenes of a search that have all bands; a newest scene without one gives way to the scene before it."""
+    whole = raster.complete_scenes(band_tiles, list(bands.values()), ["area", "scene_id"])
+    return found.join(whole.select("area", "scene_id"), ["area", "scene_id"], "left_semi")
+
+
+def _named(found: DataFrame, scene: str) -> DataFrame:
+    """Site ids from area, scene and component, so that runs over other dates do not share ids."""
+    return found.withColumn("site_id", F.format_string("%s-%s-%s", F.col("area").cast("string"), F.col(scene).cast("string"), F.col("component").cast("string")))
+
+
 def detect_changes(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(),
                    bbox=None, start=None, end=None, max_cloud=None) -> DataFrame:
     """Bitemporal detection between the two newest scenes of every area."""
-    pairs = catalogue.latest_pair(catalogue.search_optical(scenes, bbox, start, end, max_cloud), ["area"])
+    pairs = catalogue.latest_pair(_complete(catalogue.search_optical(scenes, bbox, start, end, max_cloud), band_tiles, bands), ["area"])
     if bbox is not None:
         band_tiles = within(band_tiles, bbox, layout)
     cells = raster.change_cells(tiles_of_pair(band_tiles, pairs, bands), layout.tile)
     cells = cells.withColumn("anomaly", indices.vegetation_to_bare(F.col("delta_ndvi"), F.col("swir"), limits.ndvi_delta, limits.swir))
     found = vectorise(raster.mask_tiles(cells, "anomaly", layout.tile), layout, limits)
     found = found.join(pairs.select("area", "scene_t0", "scene_t1", F.to_date("ts_t1").alias("detection_date")), "area")
-    return filters.by_confidence(found, limits.confidence)
+    return filters.by_confidence(_named(found, "scene_t1"), limits.confidence)
 
 
 def detect_radar(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(),
                  bbox=None, start=None, end=None) -> DataFrame:
-    """Radar change between the two newest descending scenes: backscatter test, clean-up, polygons."""
-    pairs = catalogue.latest_pair(catalogue.search_radar(scenes, bbox, start, end), ["area"])
+    """Radar change between the two newest descending scenes: backscatter test, clean-up, polygons.
+
+    The percentile of the test is that of whole scenes; a box clips the mask after it.
+    """
+    pairs = catalogue.latest_pair(_complete(catalogue.search_radar(scenes, bbox, start, end), band_tiles, bands), ["area"])
     wanted = pairs.select("area", F.explode(F.array(
         F.struct(F.col("scene_t0").alias("scene_id"), F.lit(0).alias("step")),
         F.struct(F.col("scene_t1").alias("scene_id"), F.lit(1).alias("step")))).alias("p")).select("area", "p.*")
     tiles = raster.align_bands(attach(band_tiles.drop("step"), wanted, ["area", "scene_id"], "inner", "pair"), bands, extra=["h", "w"])
     cells = raster.radar_change(tiles, layout.tile)
     masks = stencils.clean_mask(raster.mask_tiles(cells, "anomaly", layout.tile), KEYS, layout.tile)
+    if bbox is not None:
+        masks = within(masks, bbox, layout)
     found = vectorise(masks, layout, limits).withColumn("detection_method", F.lit(RADAR_METHOD))
-    return found.join(pairs.select("area", "scene_t0", "scene_t1", F.to_date("ts_t1").alias("detection_date")), "area")
+    return _named(found.join(pairs.select("area", "scene_t0", "scene_t1", F.to_date("ts_t1").alias("detection_date")), "area"), "scene_t1")
 
 
 def detect_over_time(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(),
                      bbox=None, start=None, end=None, max_cloud=30, min_revisits: int = 3, collection: str = catalogue.OPTICAL) -> DataFrame:
     """Detection over a whole stack: cells anomalous at the last step and often enough before.
 
-    Areas with fewer than ``min_revisits`` scenes are left out. Each site carries its stack's first
+    Areas with fewer than ``min_revisits`` scenes are left out. The stack ends with the newest scene whose tiles have all
+    bands; its SWIR maximum is that of whole scenes, and a box clips what is found. Each site carries its stack's first
     and last time, the largest persistence, the mean progression and its own earliest onset.
     """
     found = catalogue.search_optical(scenes, bbox, start, end, max_cloud, collection)
     usable = catalogue.enough_revisits(found, ["area"], min_revisits)
     stack = found.join(usable.select("area"), "area", "left_semi").select("area", "scene_id", F.col("ts"))
     tiles = attach(band_tiles.drop("ts", "step"), stack, ["area", "scene_id"], "inner", "stack").withColumnRenamed("ts", "step")
-    tiles = raster.align_bands(tiles, bands, extra=["h", "w"])
+    tiles = stage(raster.align_bands(tiles, bands, extra=["h", "w"], scene="scene_id"), "aligned")
     steps = timeseries.tile_differences(tiles, layout.tile, raster.stack_max(tiles, "swir", ["area"]))
     steps = timeseries.step_flags(steps, limits.step_change)
     history = timeseries.persistent_cells(timeseries.cell_history(steps), limits.min_persistence)
-    last = stack.groupBy("area").agg(F.max("ts").alias("_end"))
-    history = attach(history, last, ["area"], "inner", "end").withColumn("persistent", F.col("persistent") & (F.col("last_time") == F.col("_end")))
+    last = tiles.groupBy("area").agg(F.max("step").alias("_end"), F.max_by("scene_id", "step").alias("scene_t1"))
+    if bbox is not None:
+        history = within(history, bbox, layout)
+    history = attach(history, last.select("area", "_end"), ["area"], "inner", "end").withColumn("persistent", F.col("persistent") & (F.col("last_time") == F.col("_end")))
     history = stage(history.withColumnRenamed("last_time", "step").drop("_end"), "history")
     masks = raster.mask_tiles(history.withColumn("step", F.lit(0)), "persistent", layout.tile)
     sites = vectorise(masks, layout, limits)
@@ -148,7 +167,8 @@ def detect_over_time(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str,
     labelled = components.label_cells(masks, KEYS, layout.tile, layout.width)
     onset = labelled.join(history.select("area", "ty", "tx", "pos", "onset"), ["area", "ty", "tx", "pos"])
     onset = onset.groupBy("area", "component").agg(F.min("onset").alias("first_onset"))
-    return sites.join(meta, "area").join(onset, ["area", "component"]).withColumn("detection_date", F.to_date("last_time"))
+    sites = sites.join(meta, "area").join(onset, ["area", "component"]).join(last.select("area", "scene_t1"), "area")
+    return _named(sites, "scene_t1").withColumn("detection_date", F.to_date("last_time"))
 
 
 def union_sensors(per_sensor: dict[str, DataFrame]) -> DataFrame:
@@ -186,7 +206,9 @@ def detect_multisensor(scenes: DataFrame, band_tiles: dict[str, DataFrame], band
     runs = {k: stage(v.select(*[c for c in (*wanted, "detection_method") if c in v.columns]), k) for k, v in runs.items()}
     kept = merge_sensors(runs, limits.confidence)
     name = F.when(F.col("collection") == catalogue.OPTICAL, "sentinel2").when(F.col("collection") == catalogue.RADAR, "sentinel1").otherwise("landsat")
-    results = summaries.sensor_results(kept.sparkSession, list(runs), union_sensors(runs), scenes.withColumn("source_sensor", name))
+    searched = catalogue.search_optical(scenes, bbox, start, end).unionByName(catalogue.search_radar(scenes, bbox, start, end)).unionByName(
+        catalogue.search_historical(scenes, bbox, start, end))
+    results = summaries.sensor_results(kept.sparkSession, list(runs), union_sensors(runs), searched.withColumn("source_sensor", name))
     return kept, results
 
 
@@ -200,12 +222,13 @@ def score_scene(stack: DataFrame, images: DataFrame, layout: Layout, build=score
                 stride: int = tiling.STRIDE, threshold: float = 0.5, keys: list[str] = KEYS) -> DataFrame:
     """Cell probability, tile confidence and mask of every scene from overlapping model windows.
 
-    ``stack`` has six-channel cells, ``images`` the size of every scene.
+    ``stack`` has six-channel cells, ``images`` the size of every scene. A window with missing cells is scored with zeros in
+    their place; only cells that no window covers get probability 0.
     """
     h, w = F.lit(layout.height), F.lit(layout.width)
     chips = tiling.sliding_tiles(images, keys, size, stride)
-    cut = tiling.cut_chips(stack, chips, keys, ["channels"], size, stride, h, w, True)
-    scored = scorer.score_tiles(cut.filter(F.size("channels") == size * size), [*keys, "y0", "x0"], build)
+    cut = tiling.cut_chips(stack, chips, keys, ["channels"], size, stride, h, w, True, {"channels": tiling.NODATA})
+    scored = scorer.score_tiles(cut, [*keys, "y0", "x0"], build)
     cells = scorer.score_cells(scored, keys, size)
     mean = cells.groupBy(*keys, "y", "x").agg(F.avg("p").alias("p"), F.avg("confidence").alias("confidence"))
     out = stack.select(*keys, "ty", "tx", "pos", "y", "x").join(mean, [*keys, "y", "x"], "left")

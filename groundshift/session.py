@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
-
-
 def build_session(app: str = "groundshift", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators assume (UTC clock, AQE with skew handling)."""
     b = SparkSession.builder.appName(app)
@@ -30,19 +26,11 @@ def build_session(app: str = "groundshift", master: str | None = None, **conf: s
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
-
-    Only a local master may run without the setting; it then gets a fresh temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local"):
+    """Folder all executors can reach: ``spark.checkpoint.dir`` of the session, or what ``setCheckpointDir`` was given."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if sc.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="groundshift-")
-    return _LOCAL_ROOTS[sc.applicationId]
+    return root.rstrip("/")
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
@@ -60,7 +48,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = run_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of staged tables that nothing will read again. Other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "staged_at", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", label: str = "lookup") -> DataFrame:

@@ -80,12 +80,11 @@ def report_summary(sites: DataFrame) -> DataFrame:
 
 def evidence_records(sites: DataFrame, run_date: str, hashed: list[str] | None = None) -> DataFrame:
     """Case record per site: id with the run date, formatted measures or N/A, scenes, geometry and a
-    content hash over the named columns in alphabetical order."""
+    content hash over all columns, or the named ones, in alphabetical order."""
     c = F.col
     have = set(sites.columns)
     opt = lambda name, places: formats.or_na(c(name), places) if name in have else F.lit("N/A")
     text = lambda name: F.coalesce(c(name).cast("string"), F.lit("N/A")) if name in have else F.lit("N/A")
-    hashed = sorted(hashed or [n for n in ("area_m2", "confidence", "estimated_tonnage", "risk_score", "site_id", "threat_level", "waste_type") if n in have])
     return sites.select(
         F.concat(F.lit("EVD-" + run_date.replace("-", "") + "-"), c("site_id")).alias("case_id"), "site_id", "threat_level",
         F.date_format("detection_date", "yyyy-MM-dd").alias("detection_date"),
@@ -95,7 +94,7 @@ def evidence_records(sites: DataFrame, run_date: str, hashed: list[str] | None =
         "risk_score", opt("delta_ndvi", 3).alias("delta_ndvi"), opt("swir_mean", 3).alias("swir_mean"),
         opt("distance_to_water_km", 2).alias("water_km"), opt("distance_to_protected_km", 2).alias("protected_km"),
         text("scene_t0").alias("scene_t0"), text("scene_t1").alias("scene_t1"),
-        F.to_json("geometry").alias("geojson"), formats.content_hash([c(n) for n in hashed]).alias("report_hash"))
+        F.to_json("geometry").alias("geojson"), formats.content_hash({n: c(n) for n in hashed or sites.columns}).alias("report_hash"))
 
 
 def site_rows_for_boxes(detections: DataFrame, sectors: DataFrame) -> tuple[DataFrame, DataFrame]:
