@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from groundshift.functions import geometry, indices
 from groundshift.operators import filters, raster, summaries, timeseries
+from groundshift.schemas import SECTOR_FILE
+from groundshift.session import run_dir
 from groundshift.sources import catalogue, features, labels
 
 from .fixtures import BANDS, TILE
@@ -45,11 +47,16 @@ _OBS_TEXT = f"SELECT site_no, {YMD.format('date')} AS day, area_m2, confidence,
 
 @query("src_06", _OBS_TEXT, ("obs",))
 def src_06(t):
-    # a site's dates are unique, so a row packs at most one year of them
-    packed = t.obs.groupBy("site_no", F.year("date").alias("year")).agg(F.sort_array(F.collect_list(F.struct("date", "area_m2", "confidence", "ndvi"))).alias("s"))
-    packed = packed.select("site_no", F.col("s.date").alias("dates"), F.col("s.area_m2").alias("area_m2"),
-                           F.col("s.confidence").alias("confidence"), F.col("s.ndvi").alias("ndvi"))
-    return features.series_from_arrays(packed, ["site_no"]).withColumn("day", DAY("date")).drop("date")
+    """Series are written as sector files, one for each site and year, and scanned from there."""
+    row = F.struct(F.date_format("date", "yyyy-MM-dd").alias("d"), "area_m2", "confidence", "ndvi")
+    packed = t.obs.groupBy("site_no", F.year("date").alias("year")).agg(F.sort_array(F.collect_list(row)).alias("s"))
+    series = F.struct(F.col("s.d").alias("dates"), *[F.col(f"s.{c}").alias(c) for c in ("area_m2", "confidence", "ndvi")])
+    files = packed.select(F.struct(F.col("year").cast("string").alias("id")).alias("metadata"),
+                          F.struct(F.create_map(F.col("site_no").cast("string"), series).alias("sites")).alias("timeseries"))
+    path = run_dir(t.spark, "series")
+    files.write.json(path)
+    rows = features.series_from_sector_files(t.spark.read.schema(SECTOR_FILE).json(path))
+    return rows.select(F.col("site_id").cast(t.obs.schema["site_no"].dataType).alias("site_no"), "area_m2", "confidence", "ndvi", DAY("date").alias("day"))
 
 
 _WAYS = """

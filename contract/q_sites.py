@@ -352,7 +352,7 @@ SELECT site_id, rule_id FROM sites, (VALUES ('r1', 0.8::DOUBLE, 10000.0::DOUBLE,
 WHERE confidence >= c AND area_m2 >= a AND (len(regions) = 0 OR list_contains(regions, sector_id))""", ("sites",))
 def join_12(t):
     rules = [relations.AlertRule("r1"), relations.AlertRule("r2", 0.9, 200000.0, (1, 2, 3)), relations.AlertRule("r3", 0.7, 450000.0, (7,))]
-    return relations.fired_rules(t.sites, rules).select("site_id", "rule_id")
+    return relations.fired_rules(t.sites, relations.rule_table(t.spark, rules, "int")).select("site_id", "rule_id")
 
 
 @query("join_13", """
@@ -409,5 +409,5 @@ WITH z AS (SELECT *, unnest([10,11,12,13,14]) AS zoom FROM sectors),
 r AS (SELECT sector_id, zoom, {_TX.format('min_lon', 'zoom')} AS x0, {_TX.format('max_lon', 'zoom')} AS x1, {_TY.format('max_lat', 'zoom')} AS y0, {_TY.format('min_lat', 'zoom')} AS y1 FROM z)
 SELECT sector_id, zoom, (x1-x0+1)*(y1-y0+1) AS tiles, (x1-x0+1)*(y1-y0+1)*4 AS downloads FROM r""", ("sectors",))
 def geo_08(t):
-    from groundshift.operators.tiling import web_tile_cover, web_tile_counts
-    return web_tile_counts(web_tile_cover(t.sectors, ["sector_id"], list(range(10, 15))), ["sector_id"], layers=4)
+    from groundshift.operators.tiling import web_tile_counts
+    return web_tile_counts(t.sectors, ["sector_id"], list(range(10, 15)), layers=4)

@@ -90,7 +90,7 @@ def stm_03(t):
 
 
 @query("stm_04", _OPENING + f"""
-, {_PAIR}, n AS (SELECT job_id, count(*) AS new_sites FROM c GROUP BY 1)
+, {_PAIR}, n AS (SELECT job_id, count(*) AS new_sites FROM c WHERE sector_id IN (SELECT sector_id FROM p WHERE scene_t0 IS NOT NULL AND scene_t1 IS NOT NULL) GROUP BY 1)
 SELECT j.job_id, {SQL_STAMP.format("(SELECT max(ts) FROM detections)")} AS last_run, 1 AS run_count,
   CASE WHEN scene_t0 IS NULL OR scene_t1 IS NULL THEN 'Insufficient satellite imagery' END AS last_error, coalesce(n.new_sites, 0) AS new_sites
 FROM jobs j LEFT JOIN p ON p.sector_id = j.sector_id LEFT JOIN n ON n.job_id = j.job_id WHERE j.is_active""", ("detections", "jobs", "scenes"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -80,21 +80,28 @@ class AlertRule:
     regions: tuple = field(default=())
 
 
-def fired_rules(sites: DataFrame, rules: list[AlertRule], region: str = "sector_id") -> DataFrame:
-    """One row per site and rule that fires.
+def rule_table(spark: SparkSession, rules: list[AlertRule], region: str = "string") -> DataFrame:
+    """Rules as a table; ``region`` is the type of the region column they name."""
+    rows = [(r.rule_id, float(r.min_confidence), float(r.min_area_m2), list(r.regions)) for r in rules]
+    return spark.createDataFrame(rows, f"rule_id string, min_confidence double, min_area_m2 double, regions array<{region}>")
 
-    Rules are request parameters, so they become a constant array that each site row filters in
-    place: no join, no shuffle, whatever the number of sites.
+
+def fired_rules(sites: DataFrame, rules: DataFrame | list[AlertRule], region: str = "sector_id") -> DataFrame:
+    """One row per site and rule that fires; ``rules`` is a table (rule_id, min_confidence, min_area_m2, regions) or a list.
+
+    Rules that name regions meet the sites of these regions by key. Rules for everywhere (no region) are gathered in one
+    row, as long as the rules are many, whose array each site filters in place. A rule that names a region twice fires once.
     """
-    hits = F.array_compact(F.array(*[
-        F.when(
-            (F.col("confidence") >= r.min_confidence) & (F.col("area_m2") >= r.min_area_m2)
-            & (F.col(region).isin(list(r.regions)) if r.regions else F.lit(True)),
-            F.lit(r.rule_id),
-        )
-        for r in rules
-    ]))
-    return sites.withColumn("rule_id", F.explode(hits))
+    if isinstance(rules, list):
+        rules = rule_table(sites.sparkSession, rules, sites.schema[region].dataType.simpleString())
+    wide = F.size(F.coalesce("regions", F.array().cast(rules.schema["regions"].dataType))) == 0
+    rule = F.struct("rule_id", "min_confidence", "min_area_m2")
+    everywhere = rules.filter(wide).agg(F.collect_list(rule).alias("_all"))
+    local = rules.filter(~wide).select(F.explode(F.array_distinct("regions")).alias(region), rule.alias("r")).groupBy(region).agg(F.collect_list("r").alias("_here"))
+    both = sites.join(local, region, "left").crossJoin(everywhere)
+    known = F.concat(F.coalesce("_here", F.array().cast("array<struct<rule_id:string,min_confidence:double,min_area_m2:double>>")), F.col("_all"))
+    hits = F.filter(known, lambda r: (F.col("confidence") >= r["min_confidence"]) & (F.col("area_m2") >= r["min_area_m2"]))
+    return both.withColumn("rule_id", F.explode(F.transform(hits, lambda r: r["rule_id"]))).drop("_here", "_all").select(*sites.columns, "rule_id")
 
 
 def latest_alerts_per_job(jobs: DataFrame, alerts: DataFrame, n: int = 10) -> DataFrame:

@@ -27,26 +27,6 @@ def linear_scorer() -> Scorer:
     return run
 
 
-def onnx_scorer(path: str, size: int) -> Callable[[], Scorer]:
-    """Factory for an ONNX model taking [n, 6, size, size] and returning probabilities and a tile score."""
-
-    def build() -> Scorer:
-        import onnxruntime as ort
-
-        session = ort.InferenceSession(path, providers=["CPUExecutionProvider"])
-        name = session.get_inputs()[0].name
-
-        def run(batch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            out = session.run(None, {name: batch.reshape(len(batch), 6, size, size).astype(np.float32)})
-            p = np.asarray(out[0], dtype=float).reshape(len(batch), -1)
-            c = np.asarray(out[1], dtype=float).reshape(len(batch), -1)[:, -1] if len(out) > 1 else p.mean(axis=1)
-            return p, c
-
-        return run
-
-    return build
-
-
 def score_tiles(tiles: DataFrame, keys: list[str], build: Callable[[], Scorer] = linear_scorer, channels: str = "channels",
                 batch: int = 64) -> DataFrame:
     """Apply a model to tile rows: cell probabilities and one confidence per tile.

@@ -11,21 +11,26 @@ TILE_SIZE, STRIDE = 256, 128
 NODATA = [0.0] * 6  # channels of a cell that an image lacks
 
 
-def web_tile_cover(areas: DataFrame, keys: list[str], zooms: list[int], bbox: str = "bbox") -> DataFrame:
-    """Every web-map tile that a bbox struct touches, per zoom (the row axis points south)."""
+def _web_ranges(areas: DataFrame, keys: list[str], zooms: list[int], bbox: str) -> DataFrame:
     z = areas.select(*keys, F.col(bbox).alias("b"), F.explode(F.array(*[F.lit(v) for v in zooms])).alias("zoom"))
-    z = z.select(
-        *keys, "zoom",
-        F.sequence(tile_x(F.col("b.min_lon"), F.col("zoom")), tile_x(F.col("b.max_lon"), F.col("zoom"))).alias("xs"),
-        F.sequence(tile_y(F.col("b.max_lat"), F.col("zoom")), tile_y(F.col("b.min_lat"), F.col("zoom"))).alias("ys"),
-    )
-    return z.select(*keys, "zoom", F.explode("xs").alias("x"), "ys").select(*keys, "zoom", "x", F.explode("ys").alias("y"))
+    return z.select(
+        *keys, "zoom", tile_x(F.col("b.min_lon"), F.col("zoom")).alias("x0"), tile_x(F.col("b.max_lon"), F.col("zoom")).alias("x1"),
+        tile_y(F.col("b.max_lat"), F.col("zoom")).alias("y0"), tile_y(F.col("b.min_lat"), F.col("zoom")).alias("y1"))
+
+
+def web_tile_cover(areas: DataFrame, keys: list[str], zooms: list[int], bbox: str = "bbox") -> DataFrame:
+    """Every web-map tile that a bbox struct touches, per zoom (the row axis points south). Columns of tiles are
+    dealt out before they are filled, so that one large box is not one task."""
+    r = _web_ranges(areas, keys, zooms, bbox)
+    x = r.select(*keys, "zoom", "y0", "y1", F.explode(F.sequence("x0", "x1")).alias("x")).repartition(*keys, "zoom", "x")
+    return x.select(*keys, "zoom", "x", F.explode(F.sequence("y0", "y1")).alias("y"))
 
 
-def web_tile_counts(cover: DataFrame, keys: list[str], layers: int = 1) -> DataFrame:
-    """Tiles and downloads of a listed cover."""
-    n = cover.groupBy(*keys, "zoom").agg(F.count("*").alias("tiles"))
-    return n.withColumn("downloads", F.col("tiles") * layers)
+def web_tile_counts(areas: DataFrame, keys: list[str], zooms: list[int], layers: int = 1, bbox: str = "bbox") -> DataFrame:
+    """How many web-map tiles a bbox struct touches, per zoom, without listing them."""
+    r = _web_ranges(areas, keys, zooms, bbox)
+    tiles = ((F.col("x1") - F.col("x0") + 1).cast("long") * (F.col("y1") - F.col("y0") + 1)).alias("tiles")
+    return r.select(*keys, "zoom", tiles).withColumn("downloads", F.col("tiles") * layers)
 
 
 def starts(length: Column, size: int, stride: int, cover_edge: bool = True) -> Column:
@@ -75,10 +80,12 @@ def fill_uncovered(all_cells: DataFrame, means: DataFrame, keys: list[str], valu
 # ---- label rasters and chips ---------------------------------------------------------------------------------
 
 
-def rasterise(polygons: DataFrame, grid: dict[str, float], height: int, width: int, ring: str = "ring", keys: list[str] | None = None) -> DataFrame:
+def rasterise(polygons: DataFrame, grid: dict[str, float], height: int, width: int, ring: str = "ring", keys: list[str] | None = None,
+              block: int = 512) -> DataFrame:
     """Cells (y, x) of a north-up grid whose centre lies inside any polygon.
 
-    Candidate cells come from each ring's bounding box and are tested in the same row; nothing is joined.
+    Candidate cells come from each ring's bounding box and are tested in the same row; nothing is joined. A large box is
+    cut into blocks of ``block`` cells a side first, which go to different tasks.
     """
     from ..functions.geometry import contains_point, ring_bbox
 
@@ -90,9 +97,12 @@ def rasterise(polygons: DataFrame, grid: dict[str, float], height: int, width: i
     x0, x1 = F.floor(F.least(col(box["min_x"]), col(box["max_x"]))), F.ceil(F.greatest(col(box["min_x"]), col(box["max_x"])))
     y0, y1 = F.floor(F.least(row(box["min_y"]), row(box["max_y"]))), F.ceil(F.greatest(row(box["min_y"]), row(box["max_y"])))
     inside = (x1 >= 0) & (x0 <= width - 1) & (y1 >= 0) & (y0 <= height - 1)
-    c = polygons.filter(inside).select(*keys, F.col(ring).alias("_r"), F.explode(F.sequence(bound(y0, height - 1), bound(y1, height - 1))).alias("y"),
-                                       F.sequence(bound(x0, width - 1), bound(x1, width - 1)).alias("_xs"))
-    c = c.select(*keys, "_r", "y", F.explode("_xs").alias("x"))
+    ends = {"_y0": bound(y0, height - 1), "_y1": bound(y1, height - 1), "_x0": bound(x0, width - 1), "_x1": bound(x1, width - 1)}
+    c = polygons.filter(inside).select(*keys, F.col(ring).alias("_r"), *[v.alias(k) for k, v in ends.items()])
+    blocks = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)))
+    c = c.withColumn("_by", blocks("_y0", "_y1")).withColumn("_bx", blocks("_x0", "_x1")).repartition(F.xxhash64("_r"), "_by", "_bx")
+    cells = lambda lo, hi, at: F.explode(F.sequence(F.greatest(F.col(lo), (F.col(at) * block).cast("int")), F.least(F.col(hi), (F.col(at) * block + block - 1).cast("int"))))
+    c = c.withColumn("y", cells("_y0", "_y1", "_by")).withColumn("x", cells("_x0", "_x1", "_bx"))
     lon = F.lit(grid["a"]) * (F.col("x") + 0.5) + F.lit(grid["c"])
     lat = F.lit(grid["e"]) * (F.col("y") + 0.5) + F.lit(grid["f"])
     return c.filter(contains_point(F.col("_r"), lon, lat)).select(*keys, "y", "x").distinct()

@@ -41,10 +41,13 @@ class BatchLog:
 
     @classmethod
     def create(cls, spark: SparkSession, path: str, first: DataFrame) -> BatchLog:
-        """Start a log with ``first`` (possibly empty) as batch -1."""
+        """Open a log; one that does not exist yet starts with ``first`` (possibly empty) as batch -1."""
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema)
         log = cls(spark, path, ddl)
-        log.write(first, -1)
+        jvm = spark.sparkContext._jvm
+        start = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=-1/_SUCCESS")
+        if not start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(start):
+            log.write(first, -1)
         return log
 
 
@@ -110,16 +113,17 @@ class Monitor:
     """Batch function of the monitoring stream and the tables it keeps.
 
     ``prepare`` turns a raw micro-batch into detections. With ``dedupe_id`` the detections of a batch
-    are suppressed by IoU within a sector before anything else.
+    are suppressed by IoU within a sector before anything else. With ``scenes`` a sector without a scene pair in its
+    jobs' windows takes no detections in. ``start`` is a compacted change log to begin with.
     """
 
     def __init__(self, spark: SparkSession, root: str, jobs: DataFrame, detections_schema: DataFrame, order: list[str],
                  prepare: Callable[[DataFrame], DataFrame], scenes: DataFrame | None = None, dedupe_id: str | None = None,
-                 ring: str | None = None, run_date: str | None = None):
+                 ring: str | None = None, run_date: str | None = None, start: DataFrame | None = None):
         self.spark, self.jobs, self.order, self.prepare = spark, jobs, order, prepare
         self.scenes, self.dedupe_id, self.ring, self.run_date = scenes, dedupe_id, ring, run_date
         nothing = fold_batch(detections_schema.limit(0), order)
-        self.changes = BatchLog.create(spark, root + "/changes", nothing)
+        self.changes = BatchLog.create(spark, root + "/changes", nothing if start is None else start.select(*nothing.columns))
         self.alert_log = BatchLog.create(spark, root + "/alerts", self._alerts(self._credited(nothing)))
         self.run_log = BatchLog.create(spark, root + "/runs", self._runs(detections_schema.limit(0), nothing).limit(0))
 
@@ -150,6 +154,9 @@ class Monitor:
         batch = self.prepare(raw).persist()
         try:
             found = wanted_detections(batch, self.jobs)
+            if self.scenes is not None:
+                seen = job_scene_pairs(self.jobs, self.scenes, self.run_date).filter("last_error IS NULL")
+                found = found.join(seen.select("sector_id").distinct(), "sector_id", "left_semi")
             if self.dedupe_id:
                 found = overlap.suppress(found, self.dedupe_id, ["sector_id"], ring=self.ring)
             folded = fold_batch(found, self.order)
@@ -179,9 +186,16 @@ class Monitor:
             F.sum("new_sites").alias("new_sites"))
 
     def compact(self, path: str) -> DataFrame:
-        """Write the folded state as one table; a later monitor starts from it."""
-        self.sites().write.parquet(path)
-        return self.spark.read.parquet(path)
+        """Write the folded change log, one row for each site in the log's own shape; a later monitor takes it as ``start``."""
+        folded = self.changes.read().groupBy(*KEY).agg(
+            F.min_by("first", "batch_id").alias("first"), F.min_by("opening", "batch_id").alias("opening"), F.max_by("last", "batch_id").alias("last"))
+        folded.write.parquet(path)
+        return self.spark.read.schema(folded.schema).parquet(path)
+
+    def payloads(self) -> DataFrame:
+        """Message payloads of the severe sites of the current state, one message for each sector that has an alert."""
+        alerted = self.alert_log.read().select("sector_id").distinct()
+        return exports.alert_payloads(self.sites().join(alerted, "sector_id", "left_semi"), ["sector_id"])
 
 
 # ---- first seen -----------------------------------------------------------------------------------------------------
@@ -240,11 +254,6 @@ def stream_windows(counts: DataFrame, root: str, checkpoint: str, keys: list[str
     return log.read().groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
 
 
-def monitor_payloads(monitor: Monitor, sites: DataFrame) -> DataFrame:
-    """Message payloads for the severe sites of the current state, one message per sector."""
-    return exports.alert_payloads(sites, ["sector_id"])
-
-
 def fresh_dirs(spark: SparkSession, label: str) -> tuple[str, str]:
     """(state folder, checkpoint folder) of a one-off run below the shared root."""
     base = run_dir(spark, label)

@@ -148,3 +148,51 @@ def test_discarded_tables_are_gone(spark):
     assert kept.count() == 3
     with pytest.raises(Exception):
         gone.count()
+
+
+def test_rules_from_a_table(spark):
+    from groundshift.operators import relations
+
+    sites = spark.createDataFrame([(1, 5, 0.9, 2e5), (2, 6, 0.95, 5e4), (3, None, 0.99, 9e5)], "site_id int, sector_id int, confidence double, area_m2 double")
+    rules = spark.createDataFrame([("all", 0.8, 1e5, None), ("five", 0.8, 1e4, [5, 5, 6]), ("none", 0.5, 1.0, [77])],
+                                  "rule_id string, min_confidence double, min_area_m2 double, regions array<int>")
+    got = relations.fired_rules(sites, rules)
+    assert sorted((r.site_id, r.rule_id) for r in got.collect()) == [(1, "all"), (1, "five"), (2, "five"), (3, "all")]
+    assert relations.fired_rules(sites, rules.limit(0)).count() == 0
+
+
+def test_monitor_starts_from_a_compacted_log(spark):
+    from groundshift.session import run_dir
+    from groundshift.streaming import monitoring
+
+    jobs = spark.createDataFrame([(1, 7, 0.7, True, 30)], "job_id int, sector_id int, confidence_threshold double, is_active boolean, lookback_days int")
+    schema = "sector_id int, site_id int, ts timestamp, detection_date date, confidence double, risk_score int, threat_level string, area_m2 double, estimated_tonnage double"
+    rows = lambda ids, day: spark.sql(" UNION ALL ".join(
+        f"SELECT 7 sector_id, {i} site_id, TIMESTAMP '2024-01-{day} 00:00:00' ts, DATE '2024-01-{day}' detection_date, 0.9D confidence, 80 risk_score, "
+        f"'Critical' threat_level, 100.0D area_m2, 15.0D estimated_tonnage" for i in ids))
+    empty = spark.createDataFrame([], schema)
+    make = lambda root, start=None: monitoring.Monitor(spark, root, jobs, empty, ["ts", "site_id"], lambda d: d, start=start)
+    a = make(run_dir(spark, "m"))
+    a.process(rows([1, 2], "01"), 0)
+    a.process(rows([2, 3], "02"), 1)
+    b = make(run_dir(spark, "m"), a.compact(run_dir(spark, "compact")))
+    b.process(rows([3, 4], "03"), 0)
+    assert {r.site_id: str(r.detection_date) for r in b.sites().collect()} == {1: "2024-01-01", 2: "2024-01-02", 3: "2024-01-03", 4: "2024-01-03"}
+    assert [r.sites_count for r in b.alerts().collect()] == [1]
+    assert b.payloads().count() == 1
+    again = make(b.changes.path.removesuffix("/changes"))  # opening an existing log loses nothing
+    assert again.sites().count() == 4
+
+
+def test_no_imagery_no_sites(spark):
+    from groundshift.session import run_dir
+    from groundshift.streaming import monitoring
+
+    jobs = spark.createDataFrame([(1, 7, 0.7, True, 30), (2, 8, 0.7, True, 30)], "job_id int, sector_id int, confidence_threshold double, is_active boolean, lookback_days int")
+    det = spark.sql("SELECT s sector_id, s site_id, TIMESTAMP '2024-01-20 00:00:00' ts, DATE '2024-01-20' detection_date, 0.9D confidence, 80 risk_score, 'Critical' "
+                    "threat_level, 100.0D area_m2, 15.0D estimated_tonnage FROM VALUES (7), (8) v(s)")
+    scenes = spark.sql("SELECT 7 sector_id, concat('s', d) scene_id, CAST(concat('2024-01-', d) AS TIMESTAMP) ts FROM VALUES ('10'), ('15') v(d)")
+    m = monitoring.Monitor(spark, run_dir(spark, "m"), jobs, det, ["ts", "site_id"], lambda d: d, scenes=scenes, run_date="2024-01-21")
+    m.process(det, 0)
+    assert [r.sector_id for r in m.sites().collect()] == [7]
+    assert {r.job_id: r.last_error for r in m.job_state().collect()} == {1: None, 2: monitoring.NO_IMAGERY}
