@@ -166,10 +166,10 @@ def test_monitor_starts_from_a_compacted_log(spark):
     from groundshift.streaming import monitoring
 
     jobs = spark.createDataFrame([(1, 7, 0.7, True, 30)], "job_id int, sector_id int, confidence_threshold double, is_active boolean, lookback_days int")
-    schema = "sector_id int, site_id int, ts timestamp, detection_date date, confidence double, risk_score int, threat_level string, area_m2 double, estimated_tonnage double"
+    schema = "sector_id int, site_id int, ts timestamp, detection_date date, confidence double, risk_score int, threat_level string, area_m2 double, estimated_tonnage double, waste_type string, centroid struct<lon:double,lat:double>"
     rows = lambda ids, day: spark.sql(" UNION ALL ".join(
         f"SELECT 7 sector_id, {i} site_id, TIMESTAMP '2024-01-{day} 00:00:00' ts, DATE '2024-01-{day}' detection_date, 0.9D confidence, 80 risk_score, "
-        f"'Critical' threat_level, 100.0D area_m2, 15.0D estimated_tonnage" for i in ids))
+        f"'Critical' threat_level, 100.0D area_m2, 15.0D estimated_tonnage, 'mixed' waste_type, named_struct('lon', 1D, 'lat', 2D) centroid" for i in ids))
     empty = spark.createDataFrame([], schema)
     make = lambda root, start=None: monitoring.Monitor(spark, root, jobs, empty, ["ts", "site_id"], lambda d: d, start=start)
     a = make(run_dir(spark, "m"))
