@@ -346,8 +346,9 @@ def node_labels(page: Page, lines: set[str], start: str) -> np.ndarray:
 def training_pages(pages: DataFrame, docs: DataFrame, most: int = TRAIN_PAGES, longest: int = LONGEST) -> list[tuple[str, str]]:
     """At most ``most`` (html, text) of pages whose address ends in the id of a document, chosen by hash of page_id."""
     number = F.expr("try_cast(regexp_extract(url, '([0-9]{1,18})[^0-9/?#]*/?([?#].*)?$', 1) AS BIGINT)")
-    known = pages.select("page_id", "html", number.alias("n")).filter((F.length("html") <= longest) & F.col("n").isNotNull())
-    some = known.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(most).collect()
+    known = pages.select("page_id", "html", number.alias("n")).filter((F.length("html") <= longest) & F.col("n").isNotNull() & F.col("page_id").isNotNull())
+    picked = known.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(most).collect()  # ids first: every task offers its own
+    some = known.filter(F.col("page_id").isin(sorted({r["page_id"] for r in picked}))).orderBy("page_id", "html").limit(most).collect()
     ids = sorted({r["n"] for r in some})
     wanted = docs.filter(F.col("doc_id").isin(ids) & (F.length("text") <= longest)).select("doc_id", "text").orderBy("doc_id", "text").limit(most)
     texts = {r["doc_id"]: r["text"] for r in wanted.collect()}
