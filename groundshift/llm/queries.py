@@ -55,6 +55,74 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def _listed(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _tokens(text: str) -> str:
+    """Tokens as decontaminate.tokens gives them; separators between digits may overlap, so they are dropped in two passes."""
+    for _ in range(2):
+        text = f"regexp_replace({text}, '([0-9])[.,:/]([0-9])', '\\1\\2', 'g')"
+    return f"regexp_extract_all(regexp_replace({text}, '([0-9])(\\p{{L}})', '\\1 \\2', 'g'), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+
+
+_KIND = (
+    "CASE WHEN regexp_matches(w, '^\\p{N}') THEN '0' WHEN regexp_matches(w, '^\\p{Lu}\\p{Ll}') THEN '2' "
+    f"WHEN lower(w) IN ({_listed(decontaminate.NUMBER_WORDS)}) THEN '0' WHEN lower(w) IN ({_listed(decontaminate.UNIT_WORDS)}) THEN '1' ELSE lower(w) END"
+)
+
+OP1_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, md5(text) AS key, {_tokens("text")} AS raw FROM documents WHERE text IS NOT NULL),
+dt AS (SELECT *, list_transform(raw, lambda w: {_KIND}) AS typed FROM d),
+b AS (SELECT item_id, {_tokens("coalesce(text, '')")} AS raw FROM benchmark WHERE item_id IS NOT NULL),
+bt AS (SELECT *, list_transform(raw, lambda w: {_KIND}) AS typed FROM b),
+items AS (SELECT typed, min(item_id) AS item_id, arg_min(raw, item_id) AS raw FROM bt GROUP BY typed),
+parts AS (SELECT item_id, win, min(s) AS ipos FROM (
+  SELECT item_id, s, array_to_string(typed[s:s + 7], ' ') AS win, len(list_filter(typed[s:s + 7], lambda w: w NOT IN ('0', '1', '2'))) AS words
+  FROM (SELECT *, unnest(range(1, len(typed) - 6)) AS s FROM items)) WHERE words >= 5 GROUP BY 1, 2),
+wins AS (SELECT doc_id, key, raw AS draw, s AS dpos, array_to_string(typed[s:s + 7], ' ') AS win FROM (SELECT *, unnest(range(1, len(typed) - 6)) AS s FROM dt)),
+hits AS (SELECT doc_id, key, item_id, ipos, dpos, draw[dpos:dpos + 7] AS said FROM wins JOIN parts USING (win)),
+cells AS (SELECT DISTINCT doc_id, key, item_id, len(raw) AS size, dpos - ipos AS diag, ipos + k AS i, typed[ipos + k] IN ('0', '1', '2') AS slot,
+  lower(raw[ipos + k]) AS iv, lower(said[k + 1]) AS dv FROM (SELECT *, unnest(range(0, 8)) AS k FROM hits) JOIN items USING (item_id)),
+lines AS (SELECT doc_id, key, item_id, diag, any_value(size) AS size, count(*) AS n_tokens, count(*) FILTER (slot) AS n_slots,
+  count(*) FILTER (slot AND iv <> dv) AS n_changed, count(DISTINCT iv) FILTER (slot) AS fillers, count(DISTINCT (iv, dv)) FILTER (slot) AS pairs
+  FROM cells GROUP BY 1, 2, 3, 4),
+best AS (SELECT doc_id, item_id, max(struct_pack(a := n_tokens, b := n_slots, c := n_changed)) AS m
+  FROM lines WHERE n_tokens >= least(13, size) AND fillers >= 0.75 * pairs GROUP BY 1, 2)
+SELECT doc_id, item_id, m.a AS n_tokens, m.b AS n_slots, m.c AS n_changed, m.c = 0 AS verbatim FROM best
+"""
+
+
+_OWN_HASHES = """list_distinct(list_filter(list_transform(string_split(regexp_replace(lower({0}), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+  lambda s: trim(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))), lambda s: s <> ''))"""
+
+OP3_SQL = f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, min(struct_pack(r := role, t := text)) AS m FROM conversations GROUP BY conv_id, turn),
+l AS (SELECT conv_id, turn, m.r AS role, list_transform(string_split(coalesce(m.t, ''), chr(10)), lambda x: struct_pack(
+  level := len(regexp_replace(regexp_extract(x, '^[ \\t]*(?:>[ \\t]?)+'), '[^>]', '', 'g')), body := regexp_replace(x, '^[ \\t]*(?:>[ \\t]?)+', ''))) AS lines FROM m),
+q AS (SELECT *, len(list_filter(lines, lambda x: x.level > 0)) > 0 AS quoting FROM l),
+o AS (SELECT conv_id, turn, role, lines, list_filter(lines, lambda x: x.level = 0 AND NOT (quoting AND regexp_matches(x.body, '{{A}}'))) AS own FROM q),
+rows_ AS (SELECT conv_id, turn, role, lines, trim(array_to_string(list_transform(own, lambda x: x.body), chr(10))) AS text,
+  {_OWN_HASHES.format("array_to_string(list_transform(own, lambda x: x.body), ' ')")} AS hashes FROM o),
+levels AS (SELECT conv_id, turn, lines, unnest(range(1, 1 + list_max(list_transform(lines, lambda x: x.level)))) AS level FROM rows_),
+asked AS (SELECT conv_id, turn, level, unnest({_OWN_HASHES.format("array_to_string(list_transform(list_filter(lines, lambda x: x.level = level AND NOT regexp_matches(x.body, '{A}')), lambda x: x.body), ' ')")}) AS h FROM levels),
+own_h AS (SELECT conv_id, turn, unnest(hashes) AS h FROM rows_),
+near AS (SELECT a.*, CASE WHEN n.t < a.turn THEN n.t END AS near FROM asked a LEFT JOIN (SELECT conv_id, h, min(turn) AS t FROM own_h GROUP BY 1, 2) n USING (conv_id, h)),
+links AS (SELECT * FROM (SELECT conv_id, turn, level, h, CASE WHEN near IS NOT NULL THEN conv_id ELSE f.m.c END AS from_conv, coalesce(near, f.m.t) AS from_turn
+  FROM near LEFT JOIN (SELECT h, min(struct_pack(c := conv_id, t := turn)) AS m FROM own_h GROUP BY h) f USING (h))
+  WHERE from_conv IS NOT NULL AND NOT (conv_id = from_conv AND turn = from_turn)),
+votes AS (SELECT conv_id, turn, from_conv, from_turn, count(*) AS n FROM links
+  WHERE level = 1 AND (from_turn < turn OR (from_turn = turn AND from_conv < conv_id)) GROUP BY 1, 2, 3, 4),
+replies AS (SELECT conv_id, turn, arg_max(struct_pack(c := from_conv, t := from_turn), (n, from_turn, -from_conv)) AS p FROM votes GROUP BY 1, 2),
+parents AS (SELECT r.conv_id, r.turn, r.role, r.text, coalesce(a.n, 0) AS n_quoted, coalesce(k.n, 0) AS n_linked,
+  CASE WHEN p IS NOT NULL THEN p.c WHEN b.turn IS NOT NULL THEN r.conv_id END AS parent_conv, CASE WHEN p IS NOT NULL THEN p.t WHEN b.turn IS NOT NULL THEN r.turn - 1 END AS parent_turn
+  FROM rows_ r LEFT JOIN replies USING (conv_id, turn) LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM asked GROUP BY 1, 2) a USING (conv_id, turn)
+  LEFT JOIN (SELECT conv_id, turn, count(*) AS n FROM links GROUP BY 1, 2) k USING (conv_id, turn) LEFT JOIN rows_ b ON b.conv_id = r.conv_id AND b.turn = r.turn - 1),
+up(conv_id, turn, thread_conv, thread_turn, depth) AS (SELECT conv_id, turn, conv_id, turn, 0 FROM parents WHERE parent_conv IS NULL
+  UNION ALL SELECT c.conv_id, c.turn, u.thread_conv, u.thread_turn, u.depth + 1 FROM up u JOIN parents c ON c.parent_conv = u.conv_id AND c.parent_turn = u.turn)
+SELECT conv_id, turn, role, text, n_quoted, n_linked, parent_conv, parent_turn, thread_conv, thread_turn, depth FROM parents JOIN up USING (conv_id, turn)
+""".replace("{A}", "(?i)(?:\\bwrote|\\bschrieb|a écrit|escribió)\\s*:?\\s*$")
+
 OP10_SQL = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 starts AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS s FROM d WHERE len(w) >= 13),
@@ -72,4 +140,4 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_template_leaks, op2_quality_votes, op3_quotation_links, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op9_html_main_text, op10_substring_dedup,
 )}
-ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_template_leaks": OP1_SQL, "op3_quotation_links": OP3_SQL, "op10_substring_dedup": OP10_SQL}
