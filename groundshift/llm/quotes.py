@@ -105,20 +105,20 @@ def conversations(messages: DataFrame) -> DataFrame:
         F.when(F.col("p").isNotNull(), F.col("p.from_conv")).when(F.col("follows"), F.col("conv_id")).alias("parent_conv"),
         F.when(F.col("p").isNotNull(), F.col("p.from_turn")).when(F.col("follows"), F.col("turn") - 1).alias("parent_turn")), "quote-parents")
 
-    # pointer doubling: after k rounds each message knows the one 2^k replies up, or its thread's first message
-    heads = parents.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(
+    # pointer doubling: after k rounds each message knows the one 2^k replies up, or has found its thread's first message
+    heads = staged(parents.filter("conv_id IS NOT NULL AND turn IS NOT NULL").select(
         "conv_id", "turn", F.coalesce("parent_conv", "conv_id").alias("up_conv"), F.coalesce("parent_turn", "turn").alias("up_turn"),
-        F.when(F.col("parent_conv").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    heads = staged(heads, "quote-heads")
-    while True:
-        up = heads.select(F.col("conv_id").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("next_conv"),
-                          F.col("up_turn").alias("next_turn"), F.col("depth").alias("more"))
-        doubled = heads.join(up, ["up_conv", "up_turn"]).select(
-            "conv_id", "turn", F.col("next_conv").alias("up_conv"), F.col("next_turn").alias("up_turn"), (F.col("depth") + F.col("more")).alias("depth"), "more")
-        doubled = staged(doubled, "quote-heads")
-        heads = doubled.drop("more")
-        if doubled.filter("more > 0").isEmpty():
-            break
+        F.when(F.col("parent_conv").isNull(), 0).otherwise(1).cast("long").alias("depth")), "quote-heads")
+    done, active = heads.filter("depth = 0"), heads.filter("depth > 0")
+    while not active.isEmpty():
+        known = done.withColumn("ended", F.lit(True)).unionByName(active.withColumn("ended", F.lit(False))).select(
+            F.col("conv_id").alias("up_conv"), F.col("turn").alias("up_turn"), F.col("up_conv").alias("next_conv"), F.col("up_turn").alias("next_turn"),
+            F.col("depth").alias("more"), "ended")
+        step = staged(active.join(known, ["up_conv", "up_turn"]).select(
+            "conv_id", "turn", F.col("next_conv").alias("up_conv"), F.col("next_turn").alias("up_turn"), (F.col("depth") + F.col("more")).alias("depth"), "ended"),
+            "quote-heads")
+        done, active = done.unionByName(step.filter("ended").drop("ended")), step.filter("NOT ended").drop("ended")
+    heads = done
     threads = heads.select("conv_id", "turn", F.col("up_conv").alias("thread_conv"), F.col("up_turn").alias("thread_turn"), "depth")
     return parents.join(threads, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "text", "n_quoted", "n_linked", "parent_conv", "parent_turn",
