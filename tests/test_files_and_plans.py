@@ -194,7 +194,7 @@ def test_multisensor_dedupes_and_reports_missing_scenes(spark):
         scenes, {"sentinel2": optical, "sentinel1": radar, "landsat": history},
         {"sentinel2": BANDS, "sentinel1": {"vv": "B04", "vh": "B08"}, "landsat": BANDS}, _layout())
     # both optical sensors see the same block with equal confidence; the id decides
-    assert [r["site_id"] for r in kept.collect()] == ["landsat-a-0-50"]
+    assert [r["site_id"] for r in kept.collect()] == ["landsat-a-s2-50"]
     got = {r["source_sensor"]: (r["count"], r["scenes_processed"], r["error"]) for r in results.collect()}
     assert got == {"sentinel2": (1, 2, None), "sentinel1": (0, 1, "Insufficient SAR scenes"), "landsat": (1, 3, None)}
 

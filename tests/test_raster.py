@@ -296,7 +296,7 @@ def test_lookups_are_broadcast_only_below_the_threshold(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-def test_staging_needs_a_shared_folder_off_local(monkeypatch):
+def test_staging_needs_a_shared_folder():
     from groundshift import session
 
     class Conf:
@@ -305,7 +305,9 @@ def test_staging_needs_a_shared_folder_off_local(monkeypatch):
 
     class Fake:
         conf = Conf()
-        sparkContext = type("C", (), {"master": "yarn", "applicationId": "x"})()
+        sparkContext = type("C", (), {"getCheckpointDir": lambda self: self.given, "given": None})()
 
     with pytest.raises(RuntimeError):
         session.shared_root(Fake())
+    Fake.sparkContext.given = "hdfs:///shared/"
+    assert session.shared_root(Fake()) == "hdfs:///shared"
