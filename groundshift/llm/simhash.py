@@ -29,11 +29,8 @@ BITS = 64
 _BLOCK = 1 << 16  # shingles whose bits are unpacked at a time
 
 
-def text_fingerprint(text: bytes, shingle: int, seed: int = 42, repeats: bool = True) -> int:
-    """Majority bits of the XXH64 of all word shingles of an ASCII-lower-cased text, as a signed long.
-
-    Without ``repeats`` every distinct shingle counts once.
-    """
+def text_fingerprint(text: bytes, shingle: int, seed: int = 42) -> int:
+    """Majority bits of the XXH64 of all word shingles of an ASCII-lower-cased text, as a signed long."""
     words = text.lower().split()
     if not words:
         return 0
@@ -43,8 +40,6 @@ def text_fingerprint(text: bytes, shingle: int, seed: int = 42, repeats: bool =
         grams = words
     else:
         grams = list(map(b" ".join, zip(*[words[i:] for i in range(shingle)])))
-    if not repeats:
-        grams = set(grams)
     h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), "<u8", len(grams))
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), _BLOCK):
@@ -53,7 +48,7 @@ def text_fingerprint(text: bytes, shingle: int, seed: int = 42, repeats: bool =
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
-def with_fingerprints(docs: DataFrame, name: str, shingle: int, seeds: tuple[int, ...] = (42,), repeats: bool = True) -> DataFrame:
+def with_fingerprints(docs: DataFrame, name: str, shingle: int, seeds: tuple[int, ...] = (42,)) -> DataFrame:
     """``docs`` with an array of longs ``name``, one fingerprint of ``text`` for each seed.
 
     A null text counts as empty; a text without words has fingerprint 0.
@@ -62,7 +57,7 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int, seeds: tuple[int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [[text_fingerprint(x or b"", shingle, s, repeats) for s in seeds] for x in b.column(at).to_pylist()]
+            found = [[text_fingerprint(x or b"", shingle, s) for s in seeds] for x in b.column(at).to_pylist()]
             columns = [c.cast(pa.string()) if i == at else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, name])
 
@@ -157,65 +152,107 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Seeds of the four fingerprints that a near-copy search takes of the distinct words of a text.
-SEEDS = (42, 43, 44, 45)
+#: Near copies share at least ALIKE[0] / ALIKE[1] of their distinct five-word shingles.
+ALIKE = (4, 5)
+WORDS = 5  # of a shingle
+BANDS, ROWS = 40, 5  # a pair at four fifths shares no key once in 8 million (0.672 ** 40), whatever kind of edit made it
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_MIX = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def copy_links(nodes: DataFrame, step: int, most: int) -> DataFrame:
-    """Links (u, v) between the rows of ``nodes`` (node, prints) that are near copies.
+def shingles(text: bytes) -> np.ndarray:
+    """Hashes of the distinct five-word shingles of an ASCII-lower-cased text, sorted; a shorter text is one shingle."""
+    words = text.lower().split()
+    if len(words) < WORDS:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(w) - WORDS + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(WORDS):
+        h += w[k:k + n] * _ODD[k]
+    h ^= h >> np.uint64(32)
+    h *= _ODD[0]
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """One hash for each band of MinHash values: two sets share a band with the ROWS-th power of their Jaccard similarity."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(grams), _BLOCK >> 5):
+        least = np.minimum(least, ((grams[i:i + (_BLOCK >> 5), None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
+    keys = (least.reshape(BANDS, ROWS) * _ODD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _ODD[1]
+    keys ^= keys >> np.uint64(32)
+    return keys * _ODD[0]
+
+
+def _by_text(docs: DataFrame, columns: list[T.StructField], run) -> DataFrame:
+    """``docs`` with ``columns`` in place of ``text``: lists of ``run`` (text) for each row."""
+    at = docs.columns.index("text")
+    others = [i for i in range(len(docs.columns)) if i != at]
+    schema = T.StructType([*[docs.schema.fields[i] for i in others], *columns])
+    kinds = [pa.list_(pa.int64()) if isinstance(c.dataType, T.ArrayType) else pa.int64() for c in columns]
 
-    Any of the fingerprints may start a chain: with ``step + 1`` segments each, one segment equal and the next within
-    one bit. A row is linked to the least row that states the key (no group is paired up), if all fingerprints together
-    differ in at most ``most`` bits.
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [run(x or b"") for x in b.column(at).to_pylist()]
+            new = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in others], *new], schema.names)
+
+    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(mapped, schema)
+
+
+def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) of nodes whose shingles are alike, decided exactly from the ``texts`` (tkey, text) of the pairs alone."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    keys = staged(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("tkey").alias("tkey")), "near-wanted")
+    sets = _by_text(texts.join(keys, "tkey").select("node", "text"), [T.StructField("grams", T.ArrayType(T.LongType()))],
+                    lambda x: [shingles(x).view(np.int64)])
+    sets = staged(sets.dropDuplicates(["node"]), "near-sets")
+    left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
+    a, b = F.size("a"), F.size("b")
+    p, q = ALIKE
+    both = pairs.join(left, "u").join(right, "v").filter((q * a >= p * b) & (q * b >= p * a))
+    # shared / (a + b - shared) >= p / q
+    return both.filter((p + q) * F.size(F.array_intersect("a", "b")) >= p * (a + b)).select("u", "v")
+
+
+def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between the nodes of ``rows`` (node, tkey, keys) that are near copies: every node meets the least one under each of its keys.
     """
-    ring = segments(step)
-    m = len(ring)
-    count = len(SEEDS)
-
-    def key(k: int, i: int, first: Column, second: Column) -> Column:
-        return F.xxhash64(F.lit(k * m + i), first, second)
-
-    def ask(k: int, i: int, first: Column, second: Column, width: int) -> Column:
-        return F.transform(_within_one(second, width), lambda x: key(k, i, first, x))
-
-    said, asked = [], []
-    for k in range(count):
-        p = F.col("prints")[k]
-        for i in range(m):
-            a, part = _segment(p, ring[i]), ring[(i + 1) % m]
-            b = _segment(p, part)
-            said.append(key(k, i, a, b))
-            asked.append(ask(k, i, a, b, part[1]))
-    stated = nodes.select("node", F.explode(F.array(*said)).alias("key")).groupBy("key").agg(F.min("node").alias("v"))
-    asks = nodes.select(F.col("node").alias("u"), F.explode(F.concat(*asked)).alias("key"))
-    pairs = asks.join(stated, "key").filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = staged(pairs, "simhash-candidates")
-    left = nodes.select(F.col("node").alias("u"), F.col("prints").alias("a"))
-    right = nodes.select(F.col("node").alias("v"), F.col("prints").alias("b"))
-    apart = sum((_distance(F.col("a")[k], F.col("b")[k]) for k in range(count)), F.lit(0))
-    return pairs.join(left, "u").join(right, "v").filter(apart <= most).select("u", "v")
-
-
-def keep_one(docs: DataFrame, step: int = 3, most: int = 28) -> DataFrame:
+    said = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    leads = said.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("key", "lead")
+    shared = said.join(leads, "key")
+    pairs = staged(shared.filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
+    return alike(pairs, texts, rows)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class of near copies: the one with the smallest doc_id, columns unchanged.
 
-    Near copies share four fifths or more of their five-word shingles, which is one changed word in 45. A fingerprint
-    of shingles feels each such change five times, so the search fingerprints the distinct words instead: four
-    fingerprints of 64 bits differ in about 15 of the 256 bits at that similarity and in 80 and more between unrelated
-    texts; up to ``most`` link. A row is always linked to its exact copies.
+    Near copies share four fifths or more of their distinct five-word shingles, and a class is what a chain of near copies
+    joins. Candidates are the texts that share a band of MinHash values of these shingles, which feels the share alone and not
+    what kind of edit made it; each is decided by the exact share.
 
     Of rows that repeat a doc_id and a text one stays. Where no row of a class has a doc_id, one of its texts stays.
     Null texts count as empty, and texts without words are copies of each other.
     """
-    prints = f"{OWN}prints"
-    rows = with_fingerprints(docs.select("doc_id", "text"), "prints", 1, SEEDS, repeats=False)
-    rows = staged(rows.select("doc_id", "prints", F.xxhash64("prints").alias("node")), "simhash-prints")
-    nodes = staged(rows.groupBy("node", "prints").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    roots = star_roots(copy_links(nodes.select("node", "prints"), step, most), [])
-    grouped = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "least")
+    said = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select(F.xxhash64(said).alias("tkey"), said.alias("text"))
+
+    def keyed(text: bytes) -> list:
+        grams = shingles(text)
+        return [xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63), band_keys(grams).view(np.int64)]
+
+    fields = [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    rows = staged(_by_text(docs.select("doc_id", F.xxhash64(said).alias("tkey"), said.alias("text")), fields, keyed), "near-rows")
+    roots = star_roots(near_links(rows, texts), [])
     # null doc_ids come last
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best")
-    kept = staged(grouped.groupBy("root").agg(first).select(F.col("best.least").alias(f"{OWN}id"), F.col("best.node").alias(f"{OWN}kept")), "simhash-kept")
-    full = with_fingerprints(docs, prints, 1, SEEDS, repeats=False).withColumn(f"{OWN}node", F.xxhash64(prints))
-    same = full["doc_id"].eqNullSafe(kept[f"{OWN}id"]) & (full[f"{OWN}node"] == kept[f"{OWN}kept"])
-    return full.join(kept, same, "left_semi").dropDuplicates(["doc_id", f"{OWN}node"]).select(*docs.columns)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("best")
+    nodes = rows.groupBy("node").agg(best)
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+    kept = staged(grouped.select(F.col("best.doc_id").alias(f"{OWN}id"), F.col("best.tkey").alias(f"{OWN}kept")), "near-kept")
+    full = docs.withColumn(f"{OWN}tkey", F.xxhash64(said))
+    same = full["doc_id"].eqNullSafe(kept[f"{OWN}id"]) & (full[f"{OWN}tkey"] == kept[f"{OWN}kept"])
+    return full.join(kept, same, "left_semi").dropDuplicates(["doc_id", f"{OWN}tkey"]).select(*docs.columns)

@@ -107,3 +107,37 @@ def test_near_copies_of_the_corpus(spark):
         copies.setdefault(" ".join(t.lower().split()), []).append(i)
     exact = {i for v in copies.values() if len(v) > 1 for i in v}
     assert all(near[i] > 0.4 or i in exact for i in texts if i not in kept)
+
+
+def classes_of(texts):
+    """id -> smallest id of its class, by the shares of all pairs."""
+    grams = {i: frozenset(zip(*[t.lower().split()[k:] for k in range(5)])) or frozenset([tuple(t.lower().split())]) for i, t in texts.items()}
+    root = {i: i for i in grams}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(grams)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1:]:
+            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_block_edits_are_near_copies(spark):
+    """Appended, cut and inserted blocks at every share: those at four fifths or more go, the others stay."""
+    rng = random.Random(3)
+    texts = {}
+    for n in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 400))]
+        block = [f"b{rng.randrange(3000)}" for _ in range(int(len(words) * rng.choice([0.1, 0.15, 0.2, 0.23, 0.3])))]
+        at = rng.randrange(len(words))
+        kinds = [words, words + block, block + words, words[:at] + block + words[at:], words[len(block):], words[:len(words) - len(block)]]
+        texts |= {100 * n + k: " ".join(x) for k, x in enumerate([kinds[0], rng.choice(kinds[1:])])}
+    want = classes_of(texts)
+    assert 10 < len(texts) - len(set(want.values())) < 40
+    assert {r.doc_id for r in simhash.keep_one(docs(spark, sorted(texts.items()))).collect()} == set(want.values())
