@@ -219,13 +219,26 @@ def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between the nodes of ``rows`` (node, tkey, keys) that are near copies: every node meets the least one under each of its keys.
+    """Links (u, v) between the nodes of ``rows`` (node, tkey, keys) that join up the same nodes as all links of near copies do.
+
+    First every node meets the least one under each of its keys, so that large groups become one component without pairs.
+    Under the keys at which components still meet, all nodes of different components meet.
     """
     said = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     leads = said.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("key", "lead")
-    shared = said.join(leads, "key")
+    shared = staged(said.join(leads, "key"), "near-shared")
     pairs = staged(shared.filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
-    return alike(pairs, texts, rows)
+    found = staged(alike(pairs, texts, rows), "near-links")
+    roots = star_roots(found, [])
+    rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    rooted = staged(rooted, "near-rooted")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    still = rooted.join(mixed, "key", "left_semi")
+    one = still.select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
+    two = still.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
+    more = one.join(two, "key").filter("u < v AND ru <> rv").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
+    more = staged(more, "near-more")
+    return found.union(alike(more, texts, rows))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

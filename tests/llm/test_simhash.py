@@ -151,3 +151,12 @@ def test_only_near_copies_go(spark):
     texts |= {10**6: " ".join(words), 10**6 + 1: " ".join(words[::-1]), 10**6 + 2: " ".join(words[:60] + words[60:][::-1])}
     d = d.select("doc_id", "text").union(spark.createDataFrame([(i, texts[i]) for i in texts if i >= 10**6], "doc_id long, text string"))
     assert {r.doc_id for r in simhash.keep_one(d).collect()} == set(classes_of(texts).values())
+
+
+def test_copies_meet_behind_a_stranger(spark):
+    """Two copies whose only common key belongs to an unrelated text with a smaller node are linked all the same."""
+    base = " ".join(f"w{i}" for i in range(100))
+    said = [(-9, 1, "a stranger to " + " ".join(f"v{i}" for i in range(90))), (3, 2, base), (5, 3, base + " x y z")]
+    rows = spark.createDataFrame([(n, t, [7]) for n, t, _ in said], "node long, tkey long, keys array<long>")
+    texts = spark.createDataFrame([(t, x) for _, t, x in said], "tkey long, text string")
+    assert {tuple(r) for r in simhash.near_links(rows, texts).collect()} == {(3, 5)}
