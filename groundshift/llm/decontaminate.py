@@ -5,8 +5,8 @@ Windows of WINDOW template tokens are hashed on both sides and joined; a window
 left out on the benchmark's side. What joins is then laid along its diagonal (place in the document less place in the item)
 and its slots are compared: the same filler of the item must always meet the same filler in the document.
 
-The benchmark's windows are one row for each distinct (window, item), its items one row for each distinct template, so a
-window of the document meets an item once. The windows are counted first: up to BROADCAST_ROWS go to every executor, and the
+Items of one template are one class under their smallest item_id, which ``members`` lists. The benchmark's windows are one row
+for each place in a template; what meets a template is compared with every filling that the class has. The windows are counted first: up to BROADCAST_ROWS go to every executor, and the
 documents stay where they are; more are joined by a shuffle of hashes, with the same result.
 """
 
@@ -72,24 +72,37 @@ def window_hashes(raw: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(item_id, raw, typed): one row for each distinct template, under its smallest item_id. Null ids and texts are left out."""
+    """(item_id, raw, typed): one row for each distinct filling of a template, under the smallest item_id that has the template.
+
+    Null ids and texts are left out.
+    """
     t = benchmark.filter("item_id IS NOT NULL").select("item_id", tokens(F.col("text")).alias("raw"))
     t = t.withColumn("typed", F.transform("raw", placeholder))
-    return t.groupBy("typed").agg(F.min(F.struct("item_id", "raw")).alias("first")).select("first.item_id", "first.raw", "typed")
+    least = t.groupBy("typed").agg(F.min("item_id").alias("item_id"))
+    return t.select("typed", "raw").distinct().join(least, "typed").select("item_id", "raw", "typed")
+
+
+def members(benchmark: DataFrame) -> DataFrame:
+    """(item_id, template_id) for every item of ``benchmark``: a leak is reported under template_id, the smallest item_id of the template."""
+    t = benchmark.filter("item_id IS NOT NULL").select("item_id", F.transform(tokens(F.col("text")), placeholder).alias("typed"))
+    least = t.groupBy("typed").agg(F.min("item_id").alias("template_id"))
+    return t.join(least, "typed").select("item_id", "template_id").distinct()
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(h, item_id, ipos): the first place of each window with enough literal words in an item."""
-    at = items.select("item_id", "typed", F.posexplode(window_hashes(F.col("raw"))).alias("ipos", "h"))
+    """(h, item_id, ipos): every place of each window with enough literal words in a template."""
+    one = items.dropDuplicates(["item_id"])
+    at = one.select("item_id", "typed", F.posexplode(window_hashes(F.col("raw"))).alias("ipos", "h"))
     literal = F.size(F.filter(F.slice("typed", F.col("ipos") + 1, WINDOW), lambda w: ~w.isin("0", "1", "2")))
-    return at.filter(literal >= LITERALS).groupBy("h", "item_id").agg(F.min("ipos").alias("ipos"))
+    return at.filter(literal >= LITERALS).select("h", "item_id", "ipos")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, key, item_id, n_tokens, n_slots, n_changed) for every pair of a document and an item that it leaks.
+    """(doc_id, key, item_id, n_tokens, n_slots, n_changed) for every pair of a document and a template that it leaks.
 
+    A template is leaked if any of its fillings is, and item_id is the smallest one of its items (see ``members``).
     key is a hash of the text; n_tokens counts the template tokens that meet along the best diagonal, n_slots the
-    placeholders among them and n_changed those filled otherwise than in the item. A null text is empty and leaks nothing,
+    placeholders among them and n_changed those filled otherwise than in the nearest item of the template. A null text is empty and leaks nothing,
     nor do items of fewer than WINDOW tokens; repeated rows give one result; extra columns are ignored.
     """
     items = staged(items_of(benchmark), "leak-items")
@@ -110,16 +123,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = F.flatten(F.transform("at", lambda p: F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.struct(
         (p["dpos"] - p["ipos"]).alias("diag"), (p["ipos"] + k).alias("i"), F.element_at("typed", p["ipos"] + k + 1).isin("0", "1", "2").alias("slot"),
         F.element_at("raw", p["ipos"] + k + 1).alias("iv"), F.element_at(p["said"], k + 1).alias("dv")))))
-    cells = both.select("doc_id", "key", "item_id", F.size("raw").alias("size"), F.explode(F.array_distinct(met)).alias("c")).select(
-        "doc_id", "key", "item_id", "size", "c.*")
+    cells = both.select("doc_id", "key", "item_id", "raw", F.size("raw").alias("size"), F.explode(F.array_distinct(met)).alias("c")).select(
+        "doc_id", "key", "item_id", F.xxhash64("raw").alias("filling"), "size", "c.*")
     slot = F.col("slot")
-    lines = cells.groupBy("doc_id", "key", "item_id", "diag").agg(
+    lines = cells.groupBy("doc_id", "key", "item_id", "filling", "diag").agg(
         F.first("size").alias("size"), F.count("*").alias("n_tokens"), F.count_if(slot).alias("n_slots"),
         F.count_if(slot & (F.lower("iv") != F.lower("dv"))).alias("n_changed"),
         F.size(F.collect_set(F.when(slot, F.lower("iv")))).alias("fillers"),
         F.size(F.collect_set(F.when(slot, F.struct(F.lower("iv"), F.lower("dv"))))).alias("pairs"))
     good = lines.filter((F.col("n_tokens") >= F.least(F.lit(COVERED), F.col("size"))) & (F.col("fillers") >= CONSISTENT * F.col("pairs")))
     best = F.max(F.struct("n_tokens", "n_slots", "n_changed")).alias("b")
+    nearest = ["doc_id", "key", "item_id", "diag", "n_tokens", "n_slots"]
+    good = good.groupBy(*nearest).agg(F.min("n_changed").alias("n_changed"))
     return good.groupBy("doc_id", "key", "item_id").agg(best).select("doc_id", "key", "item_id", "b.*")
 
 

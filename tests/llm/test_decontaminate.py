@@ -96,3 +96,22 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontaminate.report(docs(spark, []), items).count() == 0
     assert decontaminate.keep_clean(docs(spark, [(1, ITEM)]), items.limit(0)).count() == 1
+
+
+@pytest.mark.parametrize("held", [decontaminate.BROADCAST_ROWS, 0])
+def test_every_filling_of_a_template_counts(spark, monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", held)
+    said = "Ann has {} apples and {} pears and {} plums in the big round basket by the door"
+    same, other = said.format(2, 2, 2), said.format(3, 4, 5)
+    items = spark.createDataFrame([(1, same), (5, other), (6, other), (7, None)], "item_id long, text string")
+    d = docs(spark, [(1, same), (2, other), (3, said.format(9, 9, 8))])
+    got = {r.doc_id: (r.item_id, r.n_changed, r.verbatim) for r in decontaminate.report(d, items).collect()}
+    assert got == {1: (1, 0, True), 2: (1, 0, True), 3: (1, 3, False)}
+    assert {tuple(r) for r in decontaminate.members(items).collect()} == {(1, 1), (5, 1), (6, 1), (7, 7)}
+    assert decontaminate.keep_clean(d, items).count() == 0
+
+
+def test_every_place_of_a_window_counts(spark):
+    part, other = "we went along the old road to find", "so long as the rain kept falling over us"
+    items = spark.createDataFrame([(1, f"{part} {other} {part} nothing more at all here")], "item_id long, text string")
+    assert pairs(decontaminate.report(docs(spark, [(1, f"then {part} nothing more at all here again")]), items)) == {(1, 1)}
