@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import run_dir
+from ..session import discard, run_dir  # noqa: F401
 
 #: Internal columns start with this, so that columns of the caller's table cannot clash with them.
 OWN = "_gs_llm_"
@@ -43,7 +43,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = run_dir(spark, f"llm-{label}")
     with released_shuffles(spark):
         df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
 def raw(text: str | Column = "text") -> Column:

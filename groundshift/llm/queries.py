@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlmain, packing, pii, quality, quotes, simhash, substring, tokenfile, urls
+from . import decontaminate, htmlmain, packing, pii, quality, quotes, simhash, substring, tokenfile, urls, variants
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -55,6 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
 def _listed(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
@@ -137,7 +141,34 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: CRC-32 by the usual table, which is made from its polynomial; UTF-8 bytes of code points below 256.
+_CRC_TABLE = """SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN ord(x) < 128
+  THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295::BIGINT)"""
+
+#: DuckDB's levenshtein counts bytes, so the 64 accented letters become single ASCII characters, none of them a lower-case letter.
+_ONE_BYTE = "translate({0}, '" + "".join(map(chr, range(0xC0, 0x100))) + "', '" + "".join(map(chr, range(0x21, 0x61))).replace("'", "''") + "')"
+
+OP13_SQL = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+runs AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) AS w FROM documents) GROUP BY 1, 2),
+hashed AS (SELECT w, c, {_CRC.format("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM runs, crc WHERE length(w) >= 6),
+said AS (SELECT CASE WHEN h % 199 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, c FROM hashed),
+words AS (SELECT word, {_ONE_BYTE.format("word")} AS plain, sum(c)::BIGINT AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+pairs AS (SELECT a.word, a.n, b.word AS near, b.n AS m FROM words a JOIN words b
+  ON length(b.word) BETWEEN length(a.word) - 1 AND length(a.word) + 1 AND a.word <> b.word AND levenshtein(a.plain, b.plain) = 1),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -m, near := near)) AS b FROM pairs GROUP BY word),
+forms AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN b.near END AS form, CASE WHEN -b.m >= 5 * n THEN -b.m END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+up(word, top) AS (SELECT word, word FROM forms UNION ALL SELECT u.word, f.form FROM up u JOIN forms f ON f.word = u.top WHERE f.form IS NOT NULL),
+ends AS (SELECT u.word, u.top AS root FROM up u JOIN forms f ON f.word = u.top WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
+"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_template_leaks, op2_quality_votes, op3_quotation_links, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op9_html_main_text, op10_substring_dedup,
+    op13_spelling_variants,
 )}
-ORACLES: dict[str, str] = {"op1_template_leaks": OP1_SQL, "op3_quotation_links": OP3_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_template_leaks": OP1_SQL, "op3_quotation_links": OP3_SQL, "op10_substring_dedup": OP10_SQL, "op13_spelling_variants": OP13_SQL}
