@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmlmain, packing, pii, quality, quotes, simhash, substring, tokenfile, urls, variants
+from . import decontaminate, fingerprints, htmlmain, packing, pii, quality, quotes, simhash, substring, tokenfile, urls, variants
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -55,6 +55,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
@@ -141,6 +145,31 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(co
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, coalesce(lag(text) OVER (ORDER BY doc_id), (SELECT arg_max(text, doc_id) FROM d)) AS nxt,
+  coalesce(lag(doc_id) OVER (ORDER BY doc_id), (SELECT max(doc_id) FROM d)) AS next_id FROM d),
+e AS (SELECT *, text[:length(text) - length(text) // 3] || nxt[:length(text) // 3] AS edited FROM o),
+said AS (SELECT doc_id, v, unnest(regexp_extract_all({_LOWER.format("t")}, '{_WORD}')) AS w FROM (
+  SELECT doc_id, 0 AS v, text AS t FROM e UNION ALL SELECT doc_id, 1, edited FROM e)),
+counts AS (SELECT doc_id, v, w, count(*) AS c FROM said GROUP BY 1, 2, 3),
+df AS (SELECT w, least((SELECT count(*) FROM d) // count(*), 32) AS r FROM counts WHERE v = 0 GROUP BY w),
+weighed AS (SELECT doc_id, v, length(bin(c)) * length(bin(coalesce(r, 32))) AS wt, md5(w) AS h FROM counts LEFT JOIN df USING (w)),
+digits AS (SELECT doc_id, v, i, wt, strpos('0123456789abcdef', h[i]) - 1 AS x FROM (SELECT *, unnest(range(1, 33)) AS i FROM weighed)),
+votes AS (SELECT doc_id, v, i, [sum(CASE WHEN x & 8 > 0 THEN wt ELSE -wt END), sum(CASE WHEN x & 4 > 0 THEN wt ELSE -wt END),
+  sum(CASE WHEN x & 2 > 0 THEN wt ELSE -wt END), sum(CASE WHEN x & 1 > 0 THEN wt ELSE -wt END)] AS s FROM digits GROUP BY 1, 2, 3),
+prints AS (SELECT doc_id, v, string_agg('0123456789abcdef'[1 + (8 * (s[1] > 0)::INT + 4 * (s[2] > 0)::INT + 2 * (s[3] > 0)::INT + (s[4] > 0)::INT)], '' ORDER BY i) AS p FROM votes GROUP BY 1, 2),
+p AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, next_id, coalesce(a.p, repeat('0', 32)) AS fingerprint, coalesce(b.p, repeat('0', 32)) AS edited_fingerprint
+  FROM e LEFT JOIN (FROM prints WHERE v = 0) a USING (doc_id) LEFT JOIN (FROM prints WHERE v = 1) b USING (doc_id)),
+n AS (SELECT *, [('0x' || fingerprint[:16])::UBIGINT, ('0x' || fingerprint[17:])::UBIGINT] AS f, [('0x' || edited_fingerprint[:16])::UBIGINT, ('0x' || edited_fingerprint[17:])::UBIGINT] AS g FROM p),
+near AS (SELECT q.doc_id, count(*) - 1 AS n_near FROM n q JOIN n p ON bit_count(xor(q.f[1], p.f[1])::BIT) + bit_count(xor(q.f[2], p.f[2])::BIT) <= 4 WHERE q.doc_id % 50 = 0 GROUP BY 1)
+SELECT n.doc_id, n.n_chars, n.edited_sha256, n.fingerprint, n.edited_fingerprint, 1 - (bit_count(xor(n.f[1], n.g[1])::BIT) + bit_count(xor(n.f[2], n.g[2])::BIT)) / 128.0::DOUBLE AS near_edited,
+  1 - (bit_count(xor(n.f[1], m.f[1])::BIT) + bit_count(xor(n.f[2], m.f[2])::BIT)) / 128.0::DOUBLE AS near_next, n_near
+FROM n JOIN n m ON m.doc_id = n.next_id LEFT JOIN near ON near.doc_id = n.doc_id
+"""
+
 #: CRC-32 by the usual table, which is made from its polynomial; UTF-8 bytes of code points below 256.
 _CRC_TABLE = """SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
   FROM (SELECT unnest(range(256)) AS b)"""
@@ -169,6 +198,6 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_template_leaks, op2_quality_votes, op3_quotation_links, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op9_html_main_text, op10_substring_dedup,
-    op13_spelling_variants,
+    op11_simhash_fingerprints, op13_spelling_variants,
 )}
-ORACLES: dict[str, str] = {"op1_template_leaks": OP1_SQL, "op3_quotation_links": OP3_SQL, "op10_substring_dedup": OP10_SQL, "op13_spelling_variants": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_template_leaks": OP1_SQL, "op3_quotation_links": OP3_SQL, "op10_substring_dedup": OP10_SQL, "op11_simhash_fingerprints": OP11_SQL, "op13_spelling_variants": OP13_SQL}
