@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, htmlmain, packing, pii, quality, quotes, simhash, substring, tokenfile, urls, variants
+from . import alignment, decontaminate, fingerprints, htmlmain, packing, pii, quality, quotes, simhash, substring, tokenfile, urls, variants
 from .common import table
 
 #: A word as DuckDB reads it.
@@ -59,6 +59,10 @@ def op11_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.group(table(spark, sf_dir, "documents"))
 
@@ -198,6 +202,6 @@ SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_template_leaks, op2_quality_votes, op3_quotation_links, op4_pii_votes, op5_path_templates, op6_token_files, op7_packing_dp, op8_simhash_near_dedup, op9_html_main_text, op10_substring_dedup,
-    op11_simhash_fingerprints, op13_spelling_variants,
+    op11_simhash_fingerprints, op12_token_alignment, op13_spelling_variants,
 )}
 ORACLES: dict[str, str] = {"op1_template_leaks": OP1_SQL, "op3_quotation_links": OP3_SQL, "op10_substring_dedup": OP10_SQL, "op11_simhash_fingerprints": OP11_SQL, "op13_spelling_variants": OP13_SQL}

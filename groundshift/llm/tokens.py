@@ -19,7 +19,7 @@ _WORD_CACHE = 600_000  # entries of a worker; the cache is emptied beyond
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The usual printable stand-ins of byte-level BPE: printable bytes stand for themselves, others for 256 and up."""
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     others = [b for b in range(256) if b not in set(own)]
@@ -36,7 +36,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
