@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import OWN, discard, raw, staged
+from .common import OWN, discard, raw, released_shuffles, staged
 
 BITS = 128
 RARE = 32  # documents to each document that has a word, from which on the word weighs the most
@@ -84,7 +84,9 @@ def common_words(docs: DataFrame) -> dict[bytes, int]:
 
     total = docs.count()
     counts = docs.select(raw().alias("body")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): total // r["n"] for r in counts.filter(F.col("n") * RARE > total).collect()}
+    with released_shuffles(docs.sparkSession):
+        found = counts.filter(F.col("n") * RARE > total).collect()
+    return {bytes(r["word"]): total // r["n"] for r in found}
 
 
 _ROWS = T.StructType([
