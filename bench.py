@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from contract import catalog  # noqa: E402
+from contract import catalog, q_streams  # noqa: E402
 from contract.fixtures import Tables  # noqa: E402
 from groundshift.functions import scoring  # noqa: E402
 from groundshift.operators import summaries  # noqa: E402
@@ -50,7 +50,7 @@ BENCH = {
     "polygons": Q["ras_22"],
     "dedupe_iou": Q["ded_01"],
     "overlap_pairs": Q["join_07"],
-    "monitor_stream": Q["pipe_05"],
+    "monitor_stream": q_streams.monitored_sites,
     "tile_scoring": Q["ml_03"],
     "segmentation_metrics": Q["ml_05"],
 }

@@ -121,12 +121,12 @@ class Tables:
         return self.map_scenes(self.raw("events"))
 
     # ---- rasters -------------------------------------------------------------------------------
-    @cached_property
-    def band_tiles(self) -> DataFrame:
+    @staticmethod
+    def map_band_tiles(embeddings: DataFrame) -> DataFrame:
         """One row per scene tile and band: embeddings as 8 x 8 rasters of a 4 x 4 tile mosaic."""
         scene = F.floor(F.col("vec_id") / 3)
         tile = scene % 16
-        return self.raw("embeddings").select(
+        return embeddings.select(
             # depends on the row, as an area column of a real table does (a literal would be folded away)
             F.when(F.col("vec_id") >= 0, "mosaic").alias("area"), scene.alias("scene"), F.floor(scene / 16).cast("int").alias("step"),
             F.floor(tile / 4).cast("int").alias("ty"), (tile % 4).cast("int").alias("tx"),
@@ -135,6 +135,10 @@ class Tables:
             F.transform("embedding", lambda v: F.abs(v.cast("double"))).alias("data"),
         )
 
+    @cached_property
+    def band_tiles(self) -> DataFrame:
+        return self.map_band_tiles(self.raw("embeddings"))
+
     @cached_property
     def tiles(self) -> DataFrame:
         return raster.align_bands(self.band_tiles, BANDS, extra=["scene", "h", "w"])
@@ -213,10 +217,12 @@ class Tables:
     def detections(self) -> DataFrame:
         return self.map_detections(self.raw("events"))
 
+    def file_stream(self, name: str) -> DataFrame:
+        """A table as a file stream."""
+        return self.spark.readStream.schema(self.raw(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.dir)
+
     def event_stream(self) -> DataFrame:
-        """The events table as a file stream."""
-        schema = self.raw("events").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.dir)
+        return self.file_stream("events")
 
     # ---- label geometry ---------------------------------------------------------------------------
     @cached_property

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from groundshift.operators import filters, summaries
@@ -145,24 +147,35 @@ def snk_07(t):
 # ---- pipelines ------------------------------------------------------------------------------------------------
 
 # thresholds loosened for the stand-in values, whose cells are independent noise; every corner is kept
-_LIMITS = detection.Limits(ndvi_delta=0.0, swir=0.05, tolerance=0.0, min_px=1.0, confidence=0.6, min_persistence=1, step_change=0.01)
+LIMITS = detection.Limits(ndvi_delta=0.0, swir=0.05, tolerance=0.0, min_px=1.0, confidence=0.6, min_persistence=1, step_change=0.01)
 
 
-def _layout():
+def layout():
     return detection.Layout(TILE, SIDE, SIDE, tuple(GRID.values()))
 
 
-def _catalogue(t):
-    """A catalogue of the raster scenes, one entry per step and collection."""
-    s = t.band_tiles.groupBy("area", "step").agg(F.count("*").alias("n"))
-    day = F.timestamp_seconds(F.lit(1704067200) + F.col("step") * 30 * 86400)
-    s = s.withColumn("ts", day).withColumn("collection", F.explode(F.array(*[F.lit(c) for c in ("optical", "radar", "historical")])))
+SCENE_EPOCH, SCENE_DAYS = datetime(2024, 1, 1, tzinfo=timezone.utc), 30
+
+
+def scene_rows(steps):
+    """Catalogue rows of raster steps, one in each collection."""
+    day = F.timestamp_seconds(F.lit(int(SCENE_EPOCH.timestamp())) + F.col("step") * SCENE_DAYS * 86400)
+    s = steps.withColumn("ts", day).withColumn("collection", F.explode(F.array(*[F.lit(c) for c in ("optical", "radar", "historical")])))
     return s.select("area", F.col("step").cast("string").alias("scene_id"), "collection", "ts", F.lit(1.0).alias("cloud_cover"), F.lit("descending").alias("orbit_state"),
                     F.lit(4.2).alias("min_lon"), F.lit(51.9).alias("min_lat"), F.lit(4.24).alias("max_lon"), F.lit(51.95).alias("max_lat"))
 
 
+def _catalogue(t):
+    """A catalogue of the raster scenes, one entry per step and collection."""
+    return scene_rows(t.band_tiles.groupBy("area", "step").agg(F.count("*").alias("n")))
+
+
+def with_scene_ids(band_tiles):
+    return band_tiles.withColumn("scene_id", F.col("step").cast("string"))
+
+
 def _tiles(t):
-    return t.band_tiles.withColumn("scene_id", F.col("step").cast("string"))
+    return with_scene_ids(t.band_tiles)
 
 
 _COLS = ["site_id", "area_m2", "confidence", "risk_score", "threat_level", "estimated_tonnage", "n_vertices"]
@@ -172,7 +185,7 @@ _SITES_SQL = """
 found AS (SELECT p.*, area, lon, lat, least(0.6::DOUBLE + least(area/100000.0, 0.3), 0.95::DOUBLE) AS conf FROM poly p JOIN size USING (step, component)
   WHERE box_px >= 1 AND contour_px >= 1 AND n_vertices >= 3 AND area >= 10000),
 risky AS (SELECT *, CAST(round_even((least(area/500000.0, 1.0)*0.4 + conf*0.3 + 0.9*0.3)*100.0, 0) AS INTEGER) AS risk_score FROM found),
-site AS (SELECT 'mosaic-' || step || '-' || component AS site_id, component, round(round(area, 2), 0) AS area_m2, round(conf, 2) AS confidence, risk_score,
+site AS (SELECT 'mosaic-' || step || '-' || component AS site_id, component, round(area, 2) AS exact_m2, round(round(area, 2), 0) AS area_m2, round(conf, 2) AS confidence, risk_score,
   CASE WHEN risk_score >= 75 THEN 'Critical' WHEN risk_score >= 50 THEN 'High' WHEN risk_score >= 25 THEN 'Moderate' ELSE 'Low' END AS threat_level,
   round(round(area*0.15, 2), 0) AS estimated_tonnage, n_vertices, round(lon, 6) AS lon, round(lat, 6) AS lat FROM risky WHERE round(conf, 2) >= 0.6)
 """
@@ -182,13 +195,16 @@ def _site_columns(d):
     return d.withColumns({"area_m2": F.round("area_m2", 0), "estimated_tonnage": F.round("estimated_tonnage", 0)})
 
 
-@query("pipe_01", """
+CHANGED_SITES_SQL = """
 WITH RECURSIVE last AS (SELECT max(step) AS b FROM cells), prev AS (SELECT max(step) AS a FROM cells, last WHERE step < b),
 t AS (SELECT b AS step, y.y, y.x FROM idx y JOIN idx z ON z.y = y.y AND z.x = y.x, last, prev WHERE y.step = b AND z.step = a AND y.ndvi - z.ndvi < 0.0 AND y.swir > 0.05::DOUBLE),
-""" + OUTLINE_SQL + "," + MEASURE_SQL + "," + _SITES_SQL + """
+""" + OUTLINE_SQL + "," + MEASURE_SQL + "," + _SITES_SQL
+
+
+@query("pipe_01", CHANGED_SITES_SQL + """
 SELECT site_id, area_m2, confidence, risk_score, threat_level, estimated_tonnage, n_vertices, lon, lat, CAST((SELECT a FROM prev) AS VARCHAR) AS scene_t0, CAST((SELECT b FROM last) AS VARCHAR) AS scene_t1 FROM site""", ("idx",))
 def pipe_01(t):
-    d = detection.detect_changes(_catalogue(t), _tiles(t), BANDS, _layout(), _LIMITS, bbox=[4.2, 51.9, 4.24, 51.95])
+    d = detection.detect_changes(_catalogue(t), _tiles(t), BANDS, layout(), LIMITS, bbox=[4.2, 51.9, 4.24, 51.95])
     return _site_columns(d).select(*_COLS, "scene_t0", "scene_t1", F.round("centroid.lon", 6).alias("lon"), F.round("centroid.lat", 6).alias("lat"))
 
 
@@ -213,20 +229,20 @@ o AS (SELECT component, min(onset) AS first_onset FROM comp JOIN h ON h.y = comp
 SELECT site_id, area_m2, confidence, risk_score, threat_level, estimated_tonnage, n_vertices, (SELECT max(n) FROM h) AS max_persistence,
   {rnd('(SELECT avg(progression) FROM p)', 9)} AS mean_progression, first_onset FROM site JOIN o USING (component)""", ("steps",))
 def pipe_03(t):
-    d = detection.detect_over_time(_catalogue(t), _tiles(t), BANDS, _layout(), _LIMITS)
+    d = detection.detect_over_time(_catalogue(t), _tiles(t), BANDS, layout(), LIMITS)
     return _site_columns(filters.by_confidence(d, 0.6)).select(*_COLS, "max_persistence", F.round("mean_progression", 9).alias("mean_progression"), "first_onset")
 
 
 @query("pipe_04")
 def pipe_04(t):
     sets = {"sentinel2": BANDS, "sentinel1": SAR_BANDS, "landsat": BANDS}
-    kept, results = detection.detect_multisensor(_catalogue(t), {s: _tiles(t) for s in sets}, sets, _layout(), _LIMITS)
+    kept, results = detection.detect_multisensor(_catalogue(t), {s: _tiles(t) for s in sets}, sets, layout(), LIMITS)
     per = kept.groupBy("source_sensor").agg(F.count("*").alias("kept"))
     return results.join(per, "source_sensor", "left").withColumn("kept", F.coalesce("kept", F.lit(0)).cast("long"))
 
 
 def _scored_scene(t):
-    return detection.score_scene(_stack(t), _images(t), _layout(), size=12, stride=8)
+    return detection.score_scene(_stack(t), _images(t), layout(), size=12, stride=8)
 
 
 _SCORE = """
@@ -251,7 +267,7 @@ def snk_06(t):
 SELECT step, component, n_cells, contour_px, n_vertices, round(abs(deg2)*111000.0*111000.0*cos(radians(lat)), 1) AS area_m2, round(conf, 6) AS confidence
 FROM poly JOIN size USING (step, component) JOIN z USING (step, component) WHERE box_px >= 10 AND contour_px >= 10 AND n_vertices >= 3""", ("idx",))
 def pipe_06(t):
-    p = detection.scored_polygons(_scored_scene(t), _layout(), min_px=10.0, tolerance=0.0)
+    p = detection.scored_polygons(_scored_scene(t), layout(), min_px=10.0, tolerance=0.0)
     return p.select("step", "component", "n_cells", "contour_px", "n_vertices", F.round("area_m2", 1).alias("area_m2"), F.round("mean_confidence", 6).alias("confidence"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from groundshift.session import run_dir
-from groundshift.streaming import monitoring, reports
+from groundshift.streaming import detecting, monitoring, reports
 
+from .fixtures import BANDS
+from .q_outputs import CHANGED_SITES_SQL, LIMITS, SCENE_DAYS, SCENE_EPOCH, layout, scene_rows, with_scene_ids
 from .q_sites import DAY, SQL_STAMP, STAMP, YMD
 from .registry import query, rnd
 
@@ -23,28 +27,51 @@ r AS (SELECT *, row_number() OVER (PARTITION BY sector_id ORDER BY ts DESC, scen
 p AS (SELECT sector_id, max(scene_id) FILTER (rn = 1) AS scene_t1, max(scene_id) FILTER (rn = 2) AS scene_t0 FROM r GROUP BY 1)"""
 
 
-@query("stm_01", f"""
-WITH {_PAIR}
-SELECT job_id, j.sector_id, scene_t1, scene_t0, CASE WHEN scene_t0 IS NULL OR scene_t1 IS NULL THEN 'Insufficient satellite imagery' END AS last_error
-FROM jobs j LEFT JOIN p ON p.sector_id = j.sector_id WHERE j.is_active""", ("scenes", "jobs"))
-def stm_01(t):
-    """Scenes arrive as a stream; every batch re-runs the active jobs on the scenes known so far."""
-    root, ckpt = monitoring.fresh_dirs(t.spark, "stm01")
-    log = monitoring.BatchLog.create(t.spark, root + "/scenes", _scenes_by_sector(t, t.raw("events").limit(0)))
-    runs = monitoring.BatchLog.create(t.spark, root + "/runs", _pairs(t, log.read()).limit(0))
+# ---- detection in the stream ------------------------------------------------------------------------------------------
+# Jobs watch the raster area or one without imagery; scenes are 30 days apart, so a window of 14 days holds one and of 60 days two.
 
-    def batch(df, i):
-        log.write(_scenes_by_sector(t, df), i)
-        runs.write(_pairs(t, log.read(before=i + 1)), i)
+_WATCH = f"""
+{CHANGED_SITES_SQL},
+j AS (SELECT job_id, CASE WHEN sector_id % 3 <> 0 THEN 'mosaic' ELSE 'elsewhere' END AS area, CASE WHEN job_id % 2 = 0 THEN 14 ELSE 60 END AS lookback,
+  0.6::DOUBLE + (job_id % 3)/10.0::DOUBLE AS threshold FROM jobs WHERE is_active),
+k AS (SELECT j.*, CASE WHEN area = 'mosaic' THEN (SELECT CAST(b AS VARCHAR) FROM last) END AS scene_t1, CASE WHEN area = 'mosaic' AND lookback = 60 THEN (SELECT CAST(a AS VARCHAR) FROM prev) END AS scene_t0 FROM j),
+ready AS (SELECT * FROM k WHERE scene_t0 IS NOT NULL AND scene_t1 IS NOT NULL),
+credit AS (SELECT site.*, (SELECT min(job_id) FROM ready WHERE threshold <= site.confidence) AS job_id FROM site)
+"""
 
-    monitoring.run_available(t.event_stream(), batch, ckpt)
-    last = runs.read().groupBy("job_id").agg(F.max_by(F.struct("sector_id", "scene_t1", "scene_t0", "last_error"), "batch_id").alias("r"))
-    return last.select("job_id", "r.*")
+
+def _watch_jobs(t):
+    area = F.when(F.col("sector_id") % 3 != 0, "mosaic").otherwise("elsewhere")
+    return t.jobs.select("job_id", "is_active", area.alias("sector_id"), F.when(F.col("job_id") % 2 == 0, 14).otherwise(60).alias("lookback_days"),
+                         (F.lit(0.6) + (F.col("job_id") % 3) / 10.0).alias("confidence_threshold"))
+
+
+def _watched(t, stream: bool = True) -> detecting.StreamedDetection:
+    """The run of all jobs over the arrivals of scenes and tiles, which are the embeddings as a file stream."""
+    root, ckpt = monitoring.fresh_dirs(t.spark, "watch")
+    newest = t.band_tiles.agg(F.max("step")).first()[0]
+    m = detecting.StreamedDetection(t.spark, root, _watch_jobs(t), lambda: with_scene_ids(t.band_tiles), BANDS, layout(), LIMITS,
+                                    run_date=str((SCENE_EPOCH + timedelta(days=SCENE_DAYS * newest)).date()))
+    if stream:
+        tiles = t.map_band_tiles(t.file_stream("embeddings"))
+        scenes = scene_rows(tiles.filter("band = '0' AND ty = 0 AND tx = 0").select("area", "step"))  # one row of each scene
+        arrivals = detecting.scene_arrivals(scenes).union(detecting.tile_arrivals(with_scene_ids(tiles), BANDS))
+        m.run(detecting.changed_pairs(arrivals, BANDS), ckpt)
+    else:
+        detecting.detect_in_batch(m, scene_rows(t.band_tiles.select("area", "step").distinct()))
+    return m
 
 
-def _pairs(t, scenes):
-    out = monitoring.job_scene_pairs(t.jobs, scenes, RUN_DATE)
-    return out.select("job_id", "sector_id", "scene_t1", "scene_t0", "last_error")
+@query("stm_01", f"""{_WATCH}
+SELECT k.job_id, k.area, scene_t1, scene_t0, CASE WHEN scene_t0 IS NULL OR scene_t1 IS NULL THEN 'Insufficient satellite imagery' END AS last_error, 1 AS run_count, coalesce(n, 0) AS new_sites, coalesce(m2, 0) AS new_area_m2
+FROM k LEFT JOIN (SELECT job_id, count(*) AS n, round(sum(exact_m2), 0) AS m2 FROM credit GROUP BY 1) c USING (job_id)""", ("idx", "jobs"))
+def stm_01(t):
+    """Scenes and tiles arrive as a stream; areas whose newest pair changes are analysed, and every active job is booked."""
+    m = _watched(t)
+    new = m.alerts().groupBy("job_id").agg(F.sum("total_area_m2").alias("m2"))
+    pairs = m.job_pairs().select("job_id", F.col("sector_id").alias("area"), "scene_t1", "scene_t0")
+    return pairs.join(m.job_state(), "job_id").join(new, "job_id", "left").select(
+        "job_id", "area", "scene_t1", "scene_t0", "last_error", "run_count", "new_sites", F.coalesce(F.round("m2", 0), F.lit(0.0)).alias("new_area_m2"))
 
 
 _WANTED = "w AS (SELECT d.* FROM detections d WHERE confidence >= 0.7::DOUBLE AND EXISTS (SELECT 1 FROM jobs j WHERE j.is_active AND j.sector_id = d.sector_id))"
@@ -117,16 +144,16 @@ WHERE confidence BETWEEN 0.65::DOUBLE AND 0.95::DOUBLE AND area_m2 > 5000 GROUP
 def stm_06(t):
     root, ckpt = monitoring.fresh_dirs(t.spark, "inbound")
     rules = {"confidence": F.col("confidence").between(0.65, 0.95), "area_m2": F.col("area_m2") > 5000.0}
-    log = monitoring.BatchLog.create(t.spark, root + "/changes", monitoring.fold_batch(t.detections.limit(0), ["ts", "seq"]))
+    table = monitoring.SiteTable(t.spark, root + "/sites", monitoring.fold_batch(t.detections.limit(0), ["ts", "seq"]))
     refused = monitoring.BatchLog.create(t.spark, root + "/refused", reports.split_inbound(t.detections.limit(0), rules)[1])
 
     def batch(df, i):
         good, bad = reports.split_inbound(t.map_detections(df), rules)
-        log.write(monitoring.fold_batch(good, ["ts", "seq"]), i)
+        table.upsert(monitoring.fold_batch(good, ["ts", "seq"]), i)
         refused.write(bad, i)
 
     monitoring.run_available(t.event_stream(), batch, ckpt)
-    return monitoring.fold_state(log.read()).select("sector_id", "site_id", "area_m2", "confidence")
+    return table.current().select("sector_id", "site_id", "area_m2", "confidence")
 
 
 @query("stm_07", "SELECT DISTINCT sector_id, site_id FROM detections", ("detections",))
@@ -164,9 +191,24 @@ def stm_09(t):
     return parts[0].unionByName(parts[1])
 
 
-@query("pipe_05", f"SELECT s.*, a.sites_count AS sector_alert_sites FROM ({_STATE}) s JOIN ({_ALERTS}) a USING (sector_id)", ("detections", "jobs"))
-def pipe_05(t):
-    """Monitoring end to end: upserted sites beside the alert of their sector."""
+def monitored_sites(t):
+    """Sites of arriving detections beside the alert of their sector."""
     m = _monitor(t)
-    a = m.alerts().select("sector_id", F.col("sites_count").alias("sector_alert_sites"))
-    return _state(m).join(a, "sector_id")
+    return _state(m).join(m.alerts().select("sector_id", F.col("sites_count").alias("sector_alert_sites")), "sector_id")
+
+
+@query("pipe_05", f"""{_WATCH},
+a AS (SELECT job_id, count(*) AS alert_sites, CASE WHEN bool_or(threat_level IN ('Critical','High')) THEN 'critical' ELSE 'low' END AS severity FROM credit WHERE job_id IS NOT NULL GROUP BY 1)
+SELECT site_id, 'mosaic' AS sector_id, area_m2, confidence, risk_score, threat_level, estimated_tonnage, lon, lat, (SELECT CAST(a AS VARCHAR) FROM prev) AS scene_t0, (SELECT CAST(b AS VARCHAR) FROM last) AS scene_t1, alert_sites, severity
+FROM credit JOIN a USING (job_id)""", ("idx", "jobs"))
+def pipe_05(t):
+    """Monitoring end to end: arrivals, scene pairs, detection, suppression, upsert, alerts."""
+    m = _watched(t)
+    alerts = m.alerts().join(_watch_jobs(t).select("job_id", "confidence_threshold"), "job_id")
+    alerts = alerts.select("sector_id", "job_id", "confidence_threshold", F.col("sites_count").alias("alert_sites"), "severity")
+    # a site is announced by the first job that accepts it
+    ready = m.job_pairs().filter("last_error IS NULL").select("sector_id", "job_id", "confidence_threshold")
+    first = m.sites().join(ready, "sector_id").filter("confidence >= confidence_threshold").groupBy("sector_id", "site_id").agg(F.min("job_id").alias("job_id"))
+    out = m.sites().join(first, ["sector_id", "site_id"]).join(alerts.drop("confidence_threshold"), ["sector_id", "job_id"])
+    return out.select("site_id", "sector_id", F.round("area_m2", 0).alias("area_m2"), "confidence", "risk_score", "threat_level", F.round("estimated_tonnage", 0).alias("estimated_tonnage"),
+                      F.round("centroid.lon", 6).alias("lon"), F.round("centroid.lat", 6).alias("lat"), "scene_t0", "scene_t1", "alert_sites", "severity")

@@ -103,6 +103,11 @@ def _complete(found: DataFrame, band_tiles: DataFrame, bands: dict[str, str]) ->
     return found.join(whole.select("area", "scene_id"), ["area", "scene_id"], "left_semi")
 
 
+def complete_pairs(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, str]) -> DataFrame:
+    """Newest complete scene and the one before it per area; ``scene_t0`` is null where there is only one."""
+    return catalogue.latest_pair(_complete(scenes, band_tiles, bands), ["area"], single=True)
+
+
 def _named(found: DataFrame, scene: str) -> DataFrame:
     """Site ids from area, scene and component, so that runs over other dates do not share ids."""
     return found.withColumn("site_id", F.format_string("%s-%s-%s", F.col("area").cast("string"), F.col(scene).cast("string"), F.col("component").cast("string")))
@@ -112,6 +117,11 @@ def detect_changes(scenes: DataFrame, band_tiles: DataFrame, bands: dict[str, st
                    bbox=None, start=None, end=None, max_cloud=None) -> DataFrame:
     """Bitemporal detection between the two newest scenes of every area."""
     pairs = catalogue.latest_pair(_complete(catalogue.search_optical(scenes, bbox, start, end, max_cloud), band_tiles, bands), ["area"])
+    return detect_pairs(pairs, band_tiles, bands, layout, limits, bbox)
+
+
+def detect_pairs(pairs: DataFrame, band_tiles: DataFrame, bands: dict[str, str], layout: Layout, limits: Limits = Limits(), bbox=None) -> DataFrame:
+    """Bitemporal detection of given scene pairs, one row (area, scene_t0, scene_t1, ts_t1) for an area."""
     if bbox is not None:
         band_tiles = within(band_tiles, bbox, layout)
     cells = raster.change_cells(tiles_of_pair(band_tiles, pairs, bands), layout.tile)

@@ -59,10 +59,10 @@ def newest_scenes(scenes: DataFrame, area: list[str], n: int = 2) -> DataFrame:
     return scenes.withColumn("rank", F.row_number().over(_newest_first(area))).filter(F.col("rank") <= n)
 
 
-def latest_pair(scenes: DataFrame, area: list[str]) -> DataFrame:
-    """Newest scene (t1) and the one before it (t0) per area; areas with a single scene yield no pair."""
+def latest_pair(scenes: DataFrame, area: list[str], single: bool = False) -> DataFrame:
+    """Newest scene (t1) and the one before it (t0) per area; areas with a single scene yield no pair, or half of one with ``single``."""
     two = newest_scenes(scenes, area, 2)
-    return (
+    pairs = (
         two.groupBy(*area)
         .agg(
             F.max(F.when(F.col("rank") == 1, F.col("scene_id"))).alias("scene_t1"),
@@ -70,8 +70,8 @@ def latest_pair(scenes: DataFrame, area: list[str]) -> DataFrame:
             F.max(F.when(F.col("rank") == 1, F.col("ts"))).alias("ts_t1"),
             F.max(F.when(F.col("rank") == 2, F.col("ts"))).alias("ts_t0"),
         )
-        .filter(F.col("scene_t0").isNotNull())
     )
+    return pairs if single else pairs.filter(F.col("scene_t0").isNotNull())
 
 
 def enough_revisits(scenes: DataFrame, area: list[str], minimum: int = 3) -> DataFrame:

@@ -1,8 +1,8 @@
 """Monitoring as a stream: site upserts, alerts, run log, first-seen keys, scheduled windows.
 
-State lives in append-only Parquet logs with one folder per micro-batch. A batch that is replayed
-after a failure rewrites its own folder and reads only older ones, so results do not depend on
-retries; the current state is a fold over the log and can be compacted at any time.
+What a micro-batch produces is one Spark overwrite of a folder of its own. A batch that is replayed after a failure
+rewrites that folder and reads only older ones, so results do not depend on retries. The site table holds current rows:
+a batch writes the sectors it touches anew, and readers take each sector from the newest batch that wrote it.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import overlap, summaries
-from ..session import run_dir
+from ..session import discard, run_dir, stage
 from ..sinks import exports
 from ..sources.catalogue import newest_scenes
 
@@ -40,15 +40,52 @@ class BatchLog:
         return df if before is None else df.filter(F.col("batch_id") < before)
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, first: DataFrame) -> BatchLog:
-        """Open a log; one that does not exist yet starts with ``first`` (possibly empty) as batch -1."""
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in first.schema)
-        log = cls(spark, path, ddl)
-        jvm = spark.sparkContext._jvm
-        start = jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id=-1/_SUCCESS")
-        if not start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(start):
-            log.write(first, -1)
-        return log
+    def create(cls, spark: SparkSession, path: str, empty: DataFrame) -> BatchLog:
+        """Open a log with the columns of ``empty``, which is written if nothing is there yet."""
+        empty.write.mode("ignore").parquet(f"{path}/batch_id=-1")
+        return cls(spark, path, _ddl(empty))
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+class SiteTable:
+    """One current row for each site, in folders ``batch_id=.../sector_id=...``.
+
+    An upsert reads the touched sectors as they were before its batch and writes them whole under the batch's id, so it can be
+    repeated and never overwrites what it reads. A reader takes each sector from its newest batch and folds nothing. Superseded
+    folders stay until they are removed by age.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, folded: DataFrame, start: DataFrame | None = None):
+        rows = folded.limit(0).select(*KEY, "first.*", "last.*", F.lit(-1).cast("long").alias("first_batch"))
+        self.spark, self.path, self.columns, self.schema = spark, path, rows.columns, _ddl(rows)
+        if start is not None:
+            rows, mode = start.select(*self.columns), "overwrite"
+        else:
+            mode = "ignore"
+        rows.write.mode(mode).partitionBy("sector_id").parquet(f"{path}/batch_id=-1")
+
+    def current(self, before: int | None = None) -> DataFrame:
+        """Rows of all sites, as they were ahead of batch ``before`` if one is given."""
+        versions = self.spark.read.schema(self.schema + ", batch_id bigint").parquet(self.path)
+        if before is not None:
+            versions = versions.filter(F.col("batch_id") < before)
+        newest = versions.groupBy("sector_id").agg(F.max("batch_id").alias("batch_id"))
+        return versions.join(newest, ["sector_id", "batch_id"]).select(*self.columns)
+
+    def upsert(self, folded: DataFrame, batch_id: int) -> DataFrame:
+        """Takes a batch of folded detections in and returns those of sites that were not stored before."""
+        touched = folded.select("sector_id").distinct()
+        old = self.current(before=batch_id).join(touched, "sector_id", "left_semi")
+        new = folded.select(*KEY, F.struct("first.*", "last.*", F.lit(batch_id).cast("long").alias("first_batch")).alias("n"))
+        both = old.select(*KEY, F.struct(*[c for c in self.columns if c not in KEY]).alias("o")).join(new, KEY, "full_outer")
+        stored, seen = F.col("o").isNotNull(), F.col("n").isNotNull()
+        pick = [F.when(seen if c in MEASURES else ~stored, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in self.columns if c not in KEY]
+        rows = both.select(*KEY, *pick).hint("rebalance", "sector_id")
+        rows.write.mode("overwrite").partitionBy("sector_id").parquet(f"{self.path}/batch_id={batch_id}")
+        return folded.join(old.select(*KEY), KEY, "left_anti")
 
 
 def run_available(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -92,11 +129,6 @@ def fold_batch(detections: DataFrame, order: list[str]) -> DataFrame:
         F.max_by(F.struct(*MEASURES), o).alias("last"))
 
 
-def fold_state(changes: DataFrame) -> DataFrame:
-    """Current sites from the change log: inserted columns from the first change, measures from the last."""
-    return changes.groupBy(*KEY).agg(F.min_by("first", "batch_id").alias("f"), F.max_by("last", "batch_id").alias("m")).select(*KEY, "f.*", "m.*")
-
-
 def jobs_by_threshold(jobs: DataFrame) -> DataFrame:
     """First active job per sector and threshold: the one credited with a new site. At most one row per
     distinct threshold of a sector, however many jobs watch it."""
@@ -112,9 +144,9 @@ def wanted_detections(detections: DataFrame, jobs: DataFrame) -> DataFrame:
 class Monitor:
     """Batch function of the monitoring stream and the tables it keeps.
 
-    ``prepare`` turns a raw micro-batch into detections. With ``dedupe_id`` the detections of a batch
-    are suppressed by IoU within a sector before anything else. With ``scenes`` a sector without a scene pair in its
-    jobs' windows takes no detections in. ``start`` is a compacted change log to begin with.
+    ``prepare`` turns a raw micro-batch into detections. With ``dedupe_id`` the detections of a batch are suppressed by IoU
+    within a sector before anything else. With ``scenes`` a job without a scene pair in its window takes no detections in.
+    ``start`` is a compacted site table to begin with.
     """
 
     def __init__(self, spark: SparkSession, root: str, jobs: DataFrame, detections_schema: DataFrame, order: list[str],
@@ -123,58 +155,60 @@ class Monitor:
         self.spark, self.jobs, self.order, self.prepare = spark, jobs, order, prepare
         self.scenes, self.dedupe_id, self.ring, self.run_date = scenes, dedupe_id, ring, run_date
         nothing = fold_batch(detections_schema.limit(0), order)
-        self.changes = BatchLog.create(spark, root + "/changes", nothing if start is None else start.select(*nothing.columns))
-        self.alert_log = BatchLog.create(spark, root + "/alerts", self._alerts(self._credited(nothing)))
-        self.run_log = BatchLog.create(spark, root + "/runs", self._runs(detections_schema.limit(0), nothing).limit(0))
+        self.table = SiteTable(spark, root + "/sites", nothing, start)
+        self.alert_log = BatchLog.create(spark, root + "/alerts", self._alerts(self._credited(nothing, jobs)))
+        self.run_log = BatchLog.create(spark, root + "/runs", self._runs(detections_schema.limit(0), nothing, jobs).limit(0))
 
-    def _credited(self, fresh: DataFrame) -> DataFrame:
+    def _checked_jobs(self) -> DataFrame:
+        """Active jobs with ``last_error``, which is null where there is a scene pair or no catalogue to ask."""
+        if self.scenes is None:
+            return self.jobs.filter("is_active").withColumn("last_error", F.lit(None).cast("string"))
+        return job_scene_pairs(self.jobs, self.scenes, self.run_date)
+
+    def _credited(self, fresh: DataFrame, jobs: DataFrame) -> DataFrame:
         new = fresh.select(*KEY, "opening.*")
-        credit = new.join(jobs_by_threshold(self.jobs), "sector_id").filter(F.col("confidence") >= F.col("confidence_threshold"))
+        credit = new.join(jobs_by_threshold(jobs), "sector_id").filter(F.col("confidence") >= F.col("confidence_threshold"))
         return credit.groupBy(*KEY, *MEASURES).agg(F.min("job_id").alias("job_id"))
 
     def _alerts(self, credited: DataFrame) -> DataFrame:
         out = summaries.alert_rollup(credited, ["job_id", "sector_id"])
         return out.withColumn("message", F.concat(F.lit("Scheduled analysis detected "), F.col("sites_count").cast("string"), F.lit(" new sites")))
 
-    def _runs(self, batch: DataFrame, credited: DataFrame) -> DataFrame:
-        jobs = self.jobs.filter("is_active")
-        if self.scenes is not None:
-            jobs = job_scene_pairs(self.jobs, self.scenes, self.run_date)
-        else:
-            jobs = jobs.withColumn("last_error", F.lit(None).cast("string"))
-        run_ts = F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
+    def _run_time(self, batch: DataFrame) -> Column:
+        return F.lit(batch.agg(F.max("ts")).first()[0]).cast("timestamp")
+
+    def _runs(self, batch: DataFrame, credited: DataFrame, checked: DataFrame) -> DataFrame:
+        if "last_error" not in checked.columns:
+            checked = checked.withColumn("last_error", F.lit(None).cast("string"))
         if "job_id" in credited.columns:
             n = credited.groupBy("job_id").agg(F.count("*").alias("new_sites"))
         else:
             n = self.jobs.limit(0).select("job_id", F.lit(0).cast("long").alias("new_sites"))
-        out = jobs.select("job_id", "last_error").join(n, "job_id", "left")
-        return out.select("job_id", run_ts.alias("run_ts"), "last_error", F.coalesce("new_sites", F.lit(0)).cast("long").alias("new_sites"))
+        out = checked.select("job_id", "last_error").join(n, "job_id", "left")
+        return out.select("job_id", self._run_time(batch).alias("run_ts"), "last_error", F.coalesce("new_sites", F.lit(0)).cast("long").alias("new_sites"))
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
         batch = self.prepare(raw).persist()
+        checked = stage(self._checked_jobs(), "checked-jobs")
         try:
-            found = wanted_detections(batch, self.jobs)
-            if self.scenes is not None:
-                seen = job_scene_pairs(self.jobs, self.scenes, self.run_date).filter("last_error IS NULL")
-                found = found.join(seen.select("sector_id").distinct(), "sector_id", "left_semi")
+            ready = checked.filter("last_error IS NULL")
+            found = wanted_detections(batch, ready)
             if self.dedupe_id:
                 found = overlap.suppress(found, self.dedupe_id, ["sector_id"], ring=self.ring)
-            folded = fold_batch(found, self.order)
-            self.changes.write(folded, batch_id)
-            written = self.changes.read().filter(F.col("batch_id") == batch_id).drop("batch_id")
-            known = self.changes.read(before=batch_id).select(*KEY)
-            credited = self._credited(written.join(known, KEY, "left_anti")).persist()
+            folded = stage(fold_batch(found, self.order), "folded")
+            credited = stage(self._credited(self.table.upsert(folded, batch_id), ready), "credited")
             self.alert_log.write(self._alerts(credited), batch_id)
-            self.run_log.write(self._runs(batch, credited), batch_id)
-            credited.unpersist()
+            self.run_log.write(self._runs(batch, credited, checked), batch_id)
+            discard(folded, credited)
         finally:
             batch.unpersist()
+            discard(checked)
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         run_available(stream, self.process, checkpoint)
 
     def sites(self) -> DataFrame:
-        return fold_state(self.changes.read())
+        return self.table.current().drop("first_batch")
 
     def alerts(self) -> DataFrame:
         return self.alert_log.read().withColumn("alert_id", F.format_string("ALT-%s-%s", F.col("job_id"), F.col("batch_id")))
@@ -186,11 +220,10 @@ class Monitor:
             F.sum("new_sites").alias("new_sites"))
 
     def compact(self, path: str) -> DataFrame:
-        """Write the folded change log, one row for each site in the log's own shape; a later monitor takes it as ``start``."""
-        folded = self.changes.read().groupBy(*KEY).agg(
-            F.min_by("first", "batch_id").alias("first"), F.min_by("opening", "batch_id").alias("opening"), F.max_by("last", "batch_id").alias("last"))
-        folded.write.parquet(path)
-        return self.spark.read.schema(folded.schema).parquet(path)
+        """Write the current sites alone; a later monitor takes them as ``start``."""
+        rows = self.table.current().withColumn("first_batch", F.lit(-1).cast("long"))
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def payloads(self) -> DataFrame:
         """Message payloads of the severe sites of the current state, one message for each sector that has an alert."""

@@ -180,7 +180,7 @@ def test_monitor_starts_from_a_compacted_log(spark):
     assert {r.site_id: str(r.detection_date) for r in b.sites().collect()} == {1: "2024-01-01", 2: "2024-01-02", 3: "2024-01-03", 4: "2024-01-03"}
     assert [r.sites_count for r in b.alerts().collect()] == [1]
     assert b.payloads().count() == 1
-    again = make(b.changes.path.removesuffix("/changes"))  # opening an existing log loses nothing
+    again = make(b.table.path.removesuffix("/sites"))  # opening an existing log loses nothing
     assert again.sites().count() == 4
 
 
