@@ -19,11 +19,12 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import star_roots
-from .common import OWN, staged
+from .common import OWN, discard, staged
 
 BITS = 64
 _BLOCK = 1 << 16  # shingles whose bits are unpacked at a time
@@ -203,42 +204,88 @@ def _by_text(docs: DataFrame, columns: list[T.StructField], run) -> DataFrame:
     return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(mapped, schema)
 
 
-def alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``pairs`` (u, v) of nodes whose shingles are alike, decided exactly from the ``texts`` (tkey, text) of the pairs alone."""
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    keys = staged(rows.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("tkey").alias("tkey")), "near-wanted")
+def gram_sets(nodes: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Staged (node, grams): the distinct shingles of each of ``nodes`` (node), from one of its ``texts`` (tkey, text)."""
+    keys = staged(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("tkey").alias("tkey")), "near-wanted")
     sets = _by_text(texts.join(keys, "tkey").select("node", "text"), [T.StructField("grams", T.ArrayType(T.LongType()))],
                     lambda x: [shingles(x).view(np.int64)])
     sets = staged(sets.dropDuplicates(["node"]), "near-sets")
+    discard(keys)
+    return sets
+
+
+def _near_sizes(a: Column, b: Column) -> Column:
+    """Whether sets of so many shingles can be alike."""
+    p, q = ALIKE
+    return (q * a >= p * b) & (q * b >= p * a)
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v) of nodes whose ``sets`` (node, grams) are alike, decided exactly."""
     left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
     a, b = F.size("a"), F.size("b")
     p, q = ALIKE
-    both = pairs.join(left, "u").join(right, "v").filter((q * a >= p * b) & (q * b >= p * a))
     # shared / (a + b - shared) >= p / q
+    both = pairs.join(left, "u").join(right, "v")
     return both.filter((p + q) * F.size(F.array_intersect("a", "b")) >= p * (a + b)).select("u", "v")
 
 
+def rare_meetings(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v), u < v, of nodes of different components in ``open_`` (node, root) that may be alike, by prefix filtering.
+
+    Shingles are ordered by how many of the ``sets`` have them. Of two alike sets of n <= m shingles the smaller has a common one
+    among its first n/9 + 1 and the larger among its first m/5 + 1, and what follows there is enough for the similarity. So texts
+    meet at rare shingles, and passages that many texts share make no pairs. Shingles of one set or one component are left out,
+    and of a component that has most texts of a shingle no two texts are compared.
+    """
+    p, q = ALIKE
+    said = sets.join(open_, "node").select("node", "root", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    freq = staged(sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "near-freq")
+    own = W.partitionBy("node")
+    # shingles of one set come first in every order, those of several follow by frequency
+    placed = said.join(freq, "gram").select("*", F.count(F.lit(1)).over(own).alias("common"), F.row_number().over(own.orderBy("f", "gram")).alias("place"))
+    placed = placed.withColumn("at", F.col("n") - F.col("common") + F.col("place")).filter(F.col("at") <= F.floor(F.col("n") * (q - p) / q) + 1)
+    placed = staged(placed.select("gram", "node", "root", "n", "at"), "near-rare")
+    by_root = placed.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c"))
+    mixed = by_root.groupBy("gram").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("c", "root")).alias("most")).filter("roots > 1")
+    meeting = staged(placed.join(mixed.select("gram", "most"), "gram"), "near-meeting")
+    x = meeting.filter("root <> most").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "root", "n", "at")])
+    y = meeting.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "root", "n", "at")])
+    n, m, i, j = F.col("x_n"), F.col("y_n"), F.col("x_at"), F.col("y_at")
+    smaller = F.when(n != m, n < m).otherwise(F.col("x_node") < F.col("y_node"))
+    first = F.when(smaller, i <= F.floor(n * (q - p) / (q + p)) + 1).otherwise(j <= F.floor(m * (q - p) / (q + p)) + 1)
+    enough = (p + q) * (1 + F.least(n - i, m - j)) >= p * (n + m)
+    pairs = x.join(y, "gram").filter((F.col("x_root") != F.col("y_root")) & _near_sizes(n, m) & first & enough)
+    pairs = staged(pairs.select(F.least("x_node", "y_node").alias("u"), F.greatest("x_node", "y_node").alias("v")).distinct(), "near-more")
+    discard(freq, placed, meeting)
+    return pairs
+
+
 def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between the nodes of ``rows`` (node, tkey, keys) that join up the same nodes as all links of near copies do.
+    """Staged links (u, v) between the nodes of ``rows`` (node, tkey, n, keys) that join up the same nodes as all links of near copies do.
 
     First every node meets the least one under each of its keys, so that large groups become one component without pairs.
-    Under the keys at which components still meet, all nodes of different components meet.
+    Nodes of keys at which components still meet are compared where they share a rare shingle.
     """
-    said = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    leads = said.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last").select("key", "lead")
+    said = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
+    leads = said.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).filter("lead.node < last").select("key", "lead")
     shared = staged(said.join(leads, "key"), "near-shared")
-    pairs = staged(shared.filter("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
-    found = staged(alike(pairs, texts, rows), "near-links")
+    pairs = shared.filter(F.col("node") != F.col("lead.node")).filter(_near_sizes(F.col("n"), F.col("lead.n")))
+    pairs = staged(pairs.select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
+    sets = gram_sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), texts, rows)
+    found = staged(alike(pairs, sets), "near-links")
+    discard(pairs, sets)
     roots = star_roots(found, [])
-    rooted = shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    rooted = staged(rooted, "near-rooted")
+    rooted = staged(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+    discard(shared)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    still = rooted.join(mixed, "key", "left_semi")
-    one = still.select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
-    two = still.select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-    more = one.join(two, "key").filter("u < v AND ru <> rv").select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti")
-    more = staged(more, "near-more")
-    return found.union(alike(more, texts, rows))
+    still = staged(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "near-open")
+    discard(rooted)
+    sets = gram_sets(still.select("node"), texts, rows)
+    more = rare_meetings(still, sets)
+    links = staged(found.union(alike(more, sets)), "near-all")
+    discard(found, still, sets, more)
+    return links
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -246,7 +293,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Near copies share four fifths or more of their distinct five-word shingles, and a class is what a chain of near copies
     joins. Candidates are the texts that share a band of MinHash values of these shingles, which feels the share alone and not
-    what kind of edit made it; each is decided by the exact share.
+    what kind of edit made it; each is decided by the exact share. Texts with the same shingles are one node, told apart by 128
+    bits.
 
     Of rows that repeat a doc_id and a text one stays. Where no row of a class has a doc_id, one of its texts stays.
     Null texts count as empty, and texts without words are copies of each other.
@@ -256,11 +304,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def keyed(text: bytes) -> list:
         grams = shingles(text)
-        return [xxhash.xxh64_intdigest(grams.tobytes()) - (1 << 63), band_keys(grams).view(np.int64)]
+        return [len(grams), *[xxhash.xxh64_intdigest(grams.tobytes(), seed) - (1 << 63) for seed in (0, 1)], band_keys(grams).view(np.int64)]
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [*[T.StructField(n, T.LongType()) for n in ("n", "node", "check")], T.StructField("keys", T.ArrayType(T.LongType()))]
     rows = staged(_by_text(docs.select("doc_id", F.xxhash64(said).alias("tkey"), said.alias("text")), fields, keyed), "near-rows")
-    roots = star_roots(near_links(rows, texts), [])
+    # sets that differ in the second hash alone get names of their own
+    clashes = rows.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least <> most").select("node", "least")
+    clashes = staged(clashes, "near-clashes")
+    rows = rows.join(clashes, "node", "left").withColumn(
+        "node", F.when(F.col("check") != F.col("least"), F.xxhash64("node", "check")).otherwise(F.col("node"))).drop("check", "least")
+    links = near_links(rows, texts)
+    roots = star_roots(links, [])
     # null doc_ids come last
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("best")
     nodes = rows.groupBy("node").agg(best)

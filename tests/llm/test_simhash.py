@@ -82,33 +82,6 @@ def test_one_copy_stays(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
-def test_near_copies_of_the_corpus(spark):
-    """Of the pairs that share four fifths of their five-word shingles few survive together, and no unrelated text goes."""
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = {r.doc_id: r.text for r in d.collect()}
-    kept = {r.doc_id for r in simhash.keep_one(d).collect()}
-    grams = {}
-    for i, t in texts.items():
-        w = t.lower().split()
-        grams[i] = frozenset(zip(*[w[k:] for k in range(5)])) or frozenset([tuple(w)])
-    where = {}
-    for i, g in grams.items():
-        for x in g:
-            where.setdefault(x, set()).add(i)
-    pairs = {(a, b) for v in where.values() if len(v) < 60 for a in v for b in v if a < b}
-    alike = [(a, b) for a, b in pairs if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
-    assert sum(a in kept and b in kept for a, b in alike) <= 0.03 * len(alike)
-    near = {i: 0.0 for i in texts}
-    for a, b in pairs:
-        j = len(grams[a] & grams[b]) / len(grams[a] | grams[b])
-        near[a], near[b] = max(near[a], j), max(near[b], j)
-    copies = {}
-    for i, t in texts.items():
-        copies.setdefault(" ".join(t.lower().split()), []).append(i)
-    exact = {i for v in copies.values() if len(v) > 1 for i in v}
-    assert all(near[i] > 0.4 or i in exact for i in texts if i not in kept)
-
-
 def classes_of(texts):
     """id -> smallest id of its class, by the shares of all pairs."""
     grams = {i: frozenset(zip(*[t.lower().split()[k:] for k in range(5)])) or frozenset([tuple(t.lower().split())]) for i, t in texts.items()}
@@ -122,7 +95,7 @@ def classes_of(texts):
     ids = sorted(grams)
     for n, i in enumerate(ids):
         for j in ids[n + 1:]:
-            if 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
+            if min(len(grams[i]), len(grams[j])) >= 0.8 * max(len(grams[i]), len(grams[j])) and 5 * len(grams[i] & grams[j]) >= 4 * len(grams[i] | grams[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
@@ -145,7 +118,7 @@ def test_block_edits_are_near_copies(spark):
 
 def test_only_near_copies_go(spark):
     """What stays of the corpus is the least of each class at four fifths; the same words in another order are another text."""
-    d = spark.read.parquet(f"{SF}/documents.parquet")
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r.doc_id: r.text for r in d.collect()}
     words = [f"w{i}" for i in range(120)]
     texts |= {10**6: " ".join(words), 10**6 + 1: " ".join(words[::-1]), 10**6 + 2: " ".join(words[:60] + words[60:][::-1])}
@@ -157,6 +130,31 @@ def test_copies_meet_behind_a_stranger(spark):
     """Two copies whose only common key belongs to an unrelated text with a smaller node are linked all the same."""
     base = " ".join(f"w{i}" for i in range(100))
     said = [(-9, 1, "a stranger to " + " ".join(f"v{i}" for i in range(90))), (3, 2, base), (5, 3, base + " x y z")]
-    rows = spark.createDataFrame([(n, t, [7]) for n, t, _ in said], "node long, tkey long, keys array<long>")
+    rows = spark.createDataFrame([(n, t, len(simhash.shingles(x.encode())), [7]) for n, t, x in said], "node long, tkey long, n long, keys array<long>")
     texts = spark.createDataFrame([(t, x) for _, t, x in said], "tkey long, text string")
     assert {tuple(r) for r in simhash.near_links(rows, texts).collect()} == {(3, 5)}
+
+
+def test_rare_meetings_lose_no_alike_pair(spark):
+    """All pairs of different components at four fifths or more meet, and what all texts share makes no pairs."""
+    rng = random.Random(12)
+    passage = [rng.getrandbits(62) for _ in range(45)]
+    sets = {}
+    while len(sets) < 400:
+        own = [rng.getrandbits(62) for _ in range(rng.randint(1, 60))]
+        if rng.random() < 0.5:
+            own += passage[:rng.randint(1, 45)]
+        if sets and rng.random() < 0.4:  # an edited copy
+            own = [x for x in sets[rng.choice(list(sets))] if rng.random() < 0.95] + own[:rng.randint(0, 8)]
+        if own:
+            sets[len(sets)] = sorted(set(own))
+    hot = {1000 + i: sorted({*passage, *(rng.getrandbits(62) for _ in range(8))}) for i in range(300)}  # 45 of 61 shared
+    sets |= hot
+    root = {i: rng.choice([i, i, i - i % 7]) for i in sets}
+    df = spark.createDataFrame(list(sets.items()), "node long, grams array<long>")
+    got = {tuple(r) for r in simhash.rare_meetings(spark.createDataFrame(list(root.items()), "node long, root long"), df).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b]
+            and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b]))}
+    assert want and want <= got
+    assert sum(a >= 1000 and b >= 1000 for a, b in got) == 0 and len(got) < 40 * len(sets)
+
