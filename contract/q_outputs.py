@@ -15,7 +15,7 @@ from groundshift.sources import features
 
 from .fixtures import BANDS, SAR_BANDS, SIDE, TILE
 from .q_raster import _stack
-from .q_shapes import GRID, MEASURE_SQL, OUTLINE_SQL, _chips, _images, _CHIPS
+from .q_shapes import GRID, MEASURE_SQL, OUTLINE_SQL, _CHIPS, _chips, _feature_tiles
 from .q_sites import _LEVELS, _TOTALS, DAY, YMD
 from .registry import query, rnd
 
@@ -242,7 +242,7 @@ def pipe_04(t):
 
 
 def _scored_scene(t):
-    return detection.score_scene(_stack(t), _images(t), layout(), size=12, stride=8)
+    return detection.score_scene(_feature_tiles(t), layout(), size=12, stride=8)
 
 
 _SCORE = """
@@ -257,7 +257,7 @@ FROM cells c LEFT JOIN (pred q JOIN f USING (step, y0, x0)) ON q.step = c.step A
 @query("snk_06", _SCORE + "SELECT step, y, x, round(p, 8) AS p, round(confidence, 8) AS confidence, CAST(p > 0.5 AS INTEGER) AS mask FROM m", ("idx",))
 def snk_06(t):
     path = run_dir(t.spark, "maps")
-    exports.write_maps(_scored_scene(t), path, ["area", "step"])
+    exports.write_maps(detection.scored_cells(_scored_scene(t), layout()), path, ["area", "step"])
     saved = t.spark.read.schema("y int, x int, p double, confidence double, mask tinyint, step int").parquet(path)
     return saved.select("step", "y", "x", F.round("p", 8).alias("p"), F.round("confidence", 8).alias("confidence"), F.col("mask").cast("int").alias("mask"))
 

@@ -8,7 +8,6 @@ from groundshift.functions import geometry, scoring
 from groundshift.operators import components, filters, overlap, raster, scorer, stencils, tiling
 
 from .fixtures import SIDE, TILE
-from .q_raster import _stack
 from .registry import query, rnd
 
 _YX = ["step", "y", "x"]
@@ -240,11 +239,13 @@ full_windows AS (SELECT step, y0, x0, (sum(p) + (144 - count(*))*0.5)/144 AS con
 """
 
 
+def _feature_tiles(t):
+    return raster.feature_tiles(t.tiles, _KEYS)
+
+
 def _scored_windows(t):
     """12 x 12 windows of every scene, scored with the linear stand-in; missing cells are zeros, which it takes for 0.5."""
-    stack = _stack(t)
-    chips = tiling.sliding_tiles(_images(t), _KEYS, 12, 8)
-    cut = tiling.cut_chips(stack, chips, _KEYS, ["channels"], 12, 8, F.lit(SIDE), F.lit(SIDE), True, {"channels": tiling.NODATA})
+    cut = tiling.cut_windows(_feature_tiles(t), _KEYS, TILE, SIDE, SIDE, 6, 12, 8)
     return scorer.score_tiles(cut, [*_KEYS, "y0", "x0"])
 
 
@@ -256,10 +257,9 @@ def ml_03(t):
 @query("ras_16", _WIN + """SELECT c.step, c.y, c.x, round(coalesce(avg(f.confidence*100 + q.p), 0), 6) AS p
 FROM cells c LEFT JOIN (p q JOIN full_windows f USING (step, y0, x0)) ON q.step = c.step AND q.y = c.y AND q.x = c.x GROUP BY 1, 2, 3""", ("idx",))
 def ras_16(t):
-    cells = scorer.score_cells(_scored_windows(t), _KEYS, 12).withColumn("p", F.col("confidence") * 100 + F.col("p"))
-    mean = tiling.overlap_mean(cells, [*_KEYS, "y", "x"])
-    full = tiling.fill_uncovered(t.cells, mean, [*_KEYS, "y", "x"])
-    return full.select(*_YX, F.round("p", 6).alias("p"))
+    mean = tiling.overlap_mean(_scored_windows(t), t.tiles, _KEYS, TILE, 12)
+    cells = raster.cells(mean, ["p", "confidence"], TILE)
+    return cells.select(*_YX, F.round(F.col("confidence") * 100 + F.col("p"), 6).alias("p"))
 
 
 _RECTS = "SELECT doc_id AS label_id, doc_id % 28 AS x0, (doc_id // 28) % 28 AS y0, 1 + quality AS n FROM labels"

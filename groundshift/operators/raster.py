@@ -228,3 +228,17 @@ def mask_statistics(prob_cells: DataFrame, keys: list[str], prob: str = "p", thr
         F.max(prob).alias("max_probability"),
         F.coalesce(F.avg(F.when(inside, F.col(prob))), F.lit(0.0)).alias("mean_probability"),
     )
+
+
+def feature_tiles(tiles: DataFrame, over: list[str]) -> DataFrame:
+    """Tiles with ``values``: the six channels of ``feature_stack`` of one cell after those of the other, nulls kept.
+
+    SWIR is relative to its maximum over ``over``. The arrays are made in the tile's own row.
+    """
+    out = attach_max(tiles, "swir", over, "swir_max")
+
+    def channels(red: Column, nir: Column, swir: Column) -> Column:
+        return F.array(red, nir, swir, indices.ndvi(nir, red), F.lit(0.0), indices.swir_enhanced(swir, F.col("swir_max")))
+
+    values = F.flatten(tile_algebra([F.col("red"), F.col("nir"), F.col("swir")], channels))
+    return out.withColumn("values", values).drop("swir_max")

@@ -27,34 +27,26 @@ def linear_scorer() -> Scorer:
     return run
 
 
-def score_tiles(tiles: DataFrame, keys: list[str], build: Callable[[], Scorer] = linear_scorer, channels: str = "channels",
+def score_tiles(tiles: DataFrame, keys: list[str], build: Callable[[], Scorer] = linear_scorer, values: str = "values", n_channels: int = 6,
                 batch: int = 64) -> DataFrame:
     """Apply a model to tile rows: cell probabilities and one confidence per tile.
 
-    ``channels`` is an array over cells of six-channel arrays. The model is built once per task and
-    fed Arrow batches; tiles stay where they are.
+    ``values`` holds the channels of one cell after those of the other. The model is built once per task and fed batches;
+    tiles stay where they are.
     """
-    flat = tiles.select(*keys, F.size(channels).alias("_n"), F.flatten(channels).alias("_v"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.select(*keys).schema) + ", p array<double>, confidence double"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = build()
         for pdf in parts:
-            for n, same in pdf.groupby("_n", sort=False):
+            for n, same in pdf.groupby(pdf["_v"].map(len), sort=False):
                 for i in range(0, len(same), batch):
                     part = same.iloc[i:i + batch]
-                    stack = np.stack(part["_v"].to_list()).reshape(len(part), n, -1).transpose(0, 2, 1)
+                    stack = np.stack(part["_v"].to_list()).reshape(len(part), n // n_channels, n_channels).transpose(0, 2, 1)
                     p, c = scorer(stack)
                     yield part[keys].assign(p=list(p), confidence=c)
 
-    return flat.mapInPandas(run, schema)
-
-
-def score_cells(scored: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Explode scored windows (y0, x0) into cell predictions."""
-    out = scored.select(*keys, "y0", "x0", "confidence", F.posexplode("p").alias("i", "p"))
-    return out.select(*keys, "y0", "x0", (F.col("y0") + F.floor(F.col("i") / size)).cast("int").alias("y"),
-                      (F.col("x0") + F.col("i") % size).cast("int").alias("x"), "p", "confidence")
+    return tiles.select(*keys, F.col(values).alias("_v")).mapInPandas(run, schema)
 
 
 # ---- metrics ------------------------------------------------------------------------------------------------------

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import tile_x, tile_y
 
 TILE_SIZE, STRIDE = 256, 128
-NODATA = [0.0] * 6  # channels of a cell that an image lacks
 
 
 def _web_ranges(areas: DataFrame, keys: list[str], zooms: list[int], bbox: str) -> DataFrame:
@@ -67,14 +70,145 @@ def tile_membership(cell_rows: DataFrame, height: Column, width: Column, size: i
     return rows.withColumn("x0", F.explode(_covering(F.col("x"), width, size, stride, cover_edge)))
 
 
-def overlap_mean(predictions: DataFrame, keys: list[str], value: str = "p") -> DataFrame:
-    """Mean of all window predictions that cover a cell."""
-    return predictions.groupBy(*keys).agg(F.avg(value).alias(value))
+# ---- windows cut from tiles and put back into tiles ------------------------------------------------------------
+
+
+def window_starts(length: int, size: int, stride: int, cover_edge: bool = True) -> np.ndarray:
+    """Window starts along one axis, as ``starts`` gives them."""
+    last = length - size
+    if last < 0:
+        return np.zeros(0, int)
+    grid = np.arange(0, last + 1, stride)
+    return np.append(grid, last) if cover_edge and grid[-1] != last else grid
+
+
+def _overlapping(at: np.ndarray, size: int, lo: int, hi: int) -> list[int]:
+    """Starts of the windows that touch the cells from ``lo`` to before ``hi``."""
+    return at[(at < hi) & (at + size > lo)].tolist()
+
+
+def _types(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+
+def _groups(parts: Iterator[pd.DataFrame], n_keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that share their first columns and lie one after the other."""
+    held, rows = None, []
+    for pdf in parts:
+        for row in pdf.itertuples(index=False, name=None):
+            if rows and row[:n_keys] != held:
+                yield held, rows
+                rows = []
+            held = row[:n_keys]
+            rows.append(row[n_keys:])
+    if rows:
+        yield held, rows
 
 
-def fill_uncovered(all_cells: DataFrame, means: DataFrame, keys: list[str], value: str = "p") -> DataFrame:
-    """Cells no window covers get 0."""
-    return all_cells.select(*keys).join(means, keys, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+def _framed(rows: Iterator[tuple], names: list[str], batch: int = 256) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == batch:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
+
+
+def _dealt(pieces: DataFrame, by: list[str], then: list[str]) -> DataFrame:
+    """Pieces of each group in one task and one after the other. A group has a bounded number of pieces."""
+    return pieces.repartition(*by).sortWithinPartitions(*by, *then)
+
+
+def cut_windows(tiles: DataFrame, keys: list[str], tile: int, height: int, width: int, n_channels: int, size: int = TILE_SIZE, stride: int = STRIDE,
+                cover_edge: bool = True, values: str = "values") -> DataFrame:
+    """Windows (keys, y0, x0, values) of images given as tiles (keys, ty, tx, h, w, values).
+
+    ``values`` holds the channels of one cell after those of the other, row by row. Tiles are cut at window borders and the pieces
+    are shuffled once, whole arrays of them. A cell without a tile or with a null channel is zeros; a window without any tile is
+    left out.
+    """
+    ys, xs = window_starts(height, size, stride, cover_edge), window_starts(width, size, stride, cover_edge)
+    place = ["oy", "ox", "ph", "pw"]
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces() -> Iterator[tuple]:
+            for pdf in parts:
+                for *key, ty, tx, h, w, v in pdf.itertuples(index=False, name=None):
+                    block = np.asarray(v, dtype=float).reshape(h, w, n_channels)
+                    block = np.where(np.isnan(block).any(axis=2, keepdims=True), 0.0, block)
+                    y, x = ty * tile, tx * tile
+                    for y0 in _overlapping(ys, size, y, y + h):
+                        top, bottom = max(y, y0), min(y + h, y0 + size)
+                        for x0 in _overlapping(xs, size, x, x + w):
+                            left, right = max(x, x0), min(x + w, x0 + size)
+                            piece = block[top - y:bottom - y, left - x:right - x]
+                            yield (*key, y0, x0, top - y0, left - x0, bottom - top, right - left, piece.ravel())
+
+        return _framed(pieces(), [*keys, "y0", "x0", *place, "values"])
+
+    def put(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def windows() -> Iterator[tuple]:
+            for key, rows in _groups(parts, len(keys) + 2):
+                out = np.zeros((size, size, n_channels))
+                for oy, ox, ph, pw, v in rows:
+                    out[oy:oy + ph, ox:ox + pw] = np.reshape(v, (ph, pw, n_channels))
+                yield (*key, out.ravel())
+
+        return _framed(windows(), [*keys, "y0", "x0", "values"])
+
+    head = f"{_types(tiles, keys)}, y0 int, x0 int"
+    found = tiles.select(*keys, "ty", "tx", "h", "w", F.col(values).alias("values")).mapInPandas(cut, f"{head}, oy int, ox int, ph int, pw int, values array<double>")
+    return _dealt(found, [*keys, "y0", "x0"], ["oy", "ox"]).mapInPandas(put, f"{head}, values array<double>")
+
+
+def overlap_mean(scored: DataFrame, tiles: DataFrame, keys: list[str], tile: int, size: int = TILE_SIZE) -> DataFrame:
+    """Tiles (keys, ty, tx, h, w, p, confidence) with the mean over all windows that cover a cell, 0 where none does.
+
+    ``scored`` has windows (keys, y0, x0, p, confidence); ``tiles`` (keys, ty, tx, h, w) says which tiles there are. Windows are cut
+    at tile borders and the pieces are shuffled once; a tile adds up the pieces' arrays and counts.
+    """
+    names = [*keys, "ty", "tx", "oy", "ox", "h", "w", "p", "confidence"]
+
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def pieces() -> Iterator[tuple]:
+            for pdf in parts:
+                for *key, y0, x0, p, confidence in pdf.itertuples(index=False, name=None):
+                    window = np.reshape(p, (size, size))
+                    for ty in range(y0 // tile, (y0 + size - 1) // tile + 1):
+                        top, bottom = max(ty * tile, y0), min(ty * tile + tile, y0 + size)
+                        for tx in range(x0 // tile, (x0 + size - 1) // tile + 1):
+                            left, right = max(tx * tile, x0), min(tx * tile + tile, x0 + size)
+                            piece = window[top - y0:bottom - y0, left - x0:right - x0]
+                            yield (*key, ty, tx, top - ty * tile, left - tx * tile, bottom - top, right - left, piece.ravel(), confidence)
+
+        return _framed(pieces(), names)
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def merged() -> Iterator[tuple]:
+            for key, rows in _groups(parts, len(keys) + 2):
+                oy, _, h, w, *_ = rows[0]
+                if oy >= 0:
+                    continue  # windows reach beyond the tiles there are
+                sums, n = np.zeros((2, tile, tile)), np.zeros((tile, tile))
+                for oy, ox, ph, pw, p, confidence in rows[1:]:
+                    at = slice(oy, oy + ph), slice(ox, ox + pw)
+                    sums[0][at] += np.reshape(p, (ph, pw))
+                    sums[1][at] += confidence
+                    n[at] += 1
+                mean = (sums / np.maximum(n, 1))[:, :h, :w].reshape(2, -1)
+                yield (*key, h, w, mean[0], mean[1])
+
+        return _framed(merged(), [*keys, "ty", "tx", "h", "w", "p", "confidence"])
+
+    head = f"{_types(tiles, keys)}, ty int, tx int"
+    pieces = scored.select(*keys, "y0", "x0", "p", "confidence").mapInPandas(cut, f"{head}, oy int, ox int, h int, w int, p array<double>, confidence double")
+    nothing = F.lit(None)
+    known = tiles.select(*keys, "ty", "tx", F.lit(-1).alias("oy"), F.lit(-1).alias("ox"), "h", "w", nothing.cast("array<double>").alias("p"), nothing.cast("double").alias("confidence"))
+    # the order of the sum is fixed, so the mean does not depend on the partitioning
+    dealt = _dealt(known.unionByName(pieces), [*keys, "ty", "tx"], ["oy", "ox", "h", "w", "confidence", "p"])
+    return dealt.mapInPandas(add, f"{head}, h int, w int, p array<double>, confidence array<double>")
 
 
 # ---- label rasters and chips ---------------------------------------------------------------------------------
@@ -136,22 +270,13 @@ def _field(structs: str, name: str) -> Column:
 
 
 def cut_chips(cell_rows: DataFrame, chips: DataFrame, keys: list[str], payload: list[str], size: int, stride: int,
-              height: Column, width: Column, cover_edge: bool, fill: dict[str, list[float]] | None = None) -> DataFrame:
+              height: Column, width: Column, cover_edge: bool) -> DataFrame:
     """Row-major cell arrays of the wanted chips. Cells outside them are dropped before the shuffle; a
-    chip's list has a fixed size. Missing cells are left out, or stand as the values of ``fill``."""
+    chip's list has a fixed size. Missing cells are left out."""
     member = tile_membership(cell_rows, height, width, size, stride, cover_edge)
     member = member.join(chips.select(*keys, "y0", "x0"), [*keys, "y0", "x0"], "left_semi")
     packed = member.groupBy(*keys, "y0", "x0").agg(F.sort_array(F.collect_list(F.struct("y", "x", *payload))).alias("_c"))
-    if not fill:
-        return packed.select(*keys, "y0", "x0", *[_field("_c", p).alias(p) for p in payload])
-    place = F.transform("_c", lambda s: ((s["y"] - F.col("y0")) * size + s["x"] - F.col("x0")).cast("int"))
-
-    def whole(name: str) -> Column:
-        have = F.map_from_arrays(place, _field("_c", name))
-        nothing = F.array(*[F.lit(float(v)) for v in fill[name]])
-        return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.try_element_at(have, i), nothing))
-
-    return packed.select(*keys, "y0", "x0", *[(whole(p) if p in fill else _field("_c", p)).alias(p) for p in payload])
+    return packed.select(*keys, "y0", "x0", *[_field("_c", p).alias(p) for p in payload])
 
 
 def tile_index(pairs: DataFrame, key: str, size: int = TILE_SIZE, stride: int = STRIDE) -> DataFrame:

@@ -228,29 +228,30 @@ def lookup_sites(sites: DataFrame, sectors: DataFrame, bbox, threshold: float =
     return filters.site_record(found), summaries.summary(found)
 
 
-def score_scene(stack: DataFrame, images: DataFrame, layout: Layout, build=scorer.linear_scorer, size: int = tiling.TILE_SIZE,
-                stride: int = tiling.STRIDE, threshold: float = 0.5, keys: list[str] = KEYS) -> DataFrame:
-    """Cell probability, tile confidence and mask of every scene from overlapping model windows.
+def score_scene(tiles: DataFrame, layout: Layout, build=scorer.linear_scorer, size: int = tiling.TILE_SIZE, stride: int = tiling.STRIDE,
+                threshold: float = 0.5, keys: list[str] = KEYS) -> DataFrame:
+    """Tiles with the probability ``p``, model confidence and ``mask`` of every cell, from overlapping model windows.
 
-    ``stack`` has six-channel cells, ``images`` the size of every scene. A window with missing cells is scored with zeros in
-    their place; only cells that no window covers get probability 0.
+    ``tiles`` has the six channels of its cells in ``values`` (``raster.feature_tiles``). A window with missing cells is scored with
+    zeros in their place; only cells that no window covers get probability 0. Arrays of pieces are shuffled twice, to windows
+    and back to tiles; cells are not.
     """
-    h, w = F.lit(layout.height), F.lit(layout.width)
-    chips = tiling.sliding_tiles(images, keys, size, stride)
-    cut = tiling.cut_chips(stack, chips, keys, ["channels"], size, stride, h, w, True, {"channels": tiling.NODATA})
+    cut = tiling.cut_windows(tiles, keys, layout.tile, layout.height, layout.width, 6, size, stride)
     scored = scorer.score_tiles(cut, [*keys, "y0", "x0"], build)
-    cells = scorer.score_cells(scored, keys, size)
-    mean = cells.groupBy(*keys, "y", "x").agg(F.avg("p").alias("p"), F.avg("confidence").alias("confidence"))
-    out = stack.select(*keys, "ty", "tx", "pos", "y", "x").join(mean, [*keys, "y", "x"], "left")
-    out = out.withColumns({"p": F.coalesce("p", F.lit(0.0)), "confidence": F.coalesce("confidence", F.lit(0.0))})
-    return out.withColumn("mask", F.col("p") > threshold)
+    out = tiling.overlap_mean(scored, tiles, keys, layout.tile, size)
+    return out.withColumn("mask", F.transform("p", lambda p: (p > threshold).cast("tinyint")))
+
+
+def scored_cells(scored: DataFrame, layout: Layout, keys: list[str] = KEYS) -> DataFrame:
+    """Cells of scored tiles, in the tile's own row order."""
+    place = [c for c in keys if c not in ("area", "step")]
+    return raster.cells(scored, ["p", "confidence", "mask"], layout.tile, carry=place)
 
 
 def scored_polygons(scored: DataFrame, layout: Layout, min_px: float = 100.0, tolerance: float = 0.005, keys: list[str] = KEYS) -> DataFrame:
-    """Polygons of a scored mask with approximate area and the mean confidence of their cells."""
-    masks = raster.mask_tiles(scored, "mask", layout.tile)
-    cells = components.label_cells(masks, keys, layout.tile, layout.width)
-    conf = components.zonal_means(cells, scored, keys, ["confidence"])
+    """Polygons of scored tiles with approximate area and the mean confidence of their cells."""
+    cells = components.label_cells(scored.select(*keys, "ty", "tx", "h", "w", "mask"), keys, layout.tile, layout.width)
+    conf = components.zonal_means(cells, scored_cells(scored, layout, keys), keys, ["confidence"])
     p = components.polygonise(cells, keys, tolerance, min_px).filter(F.col("n_vertices") >= 3)
     p = p.withColumn("ring", components.ring_to_world(F.col("ring"), layout.grid))
     p = p.withColumn("area_m2", geometry.area_m2_approx(F.col("ring")))

@@ -118,7 +118,7 @@ def _scene_tiles(spark, images):
     return spark.createDataFrame(rows, "area string, scene_id string, band string, ty int, tx int, h int, w int, data array<double>")
 
 
-def _layout():
+def layout():
     return detection.Layout(8, 24, 24, (0.001, 0.0, 4.2, 0.0, -0.001, 51.95))
 
 
@@ -140,21 +140,21 @@ def _field(changed):
 def test_pair_detection_finds_the_cleared_block(spark):
     block = (slice(5, 17), slice(6, 14))  # crosses tile seams
     tiles = _scene_tiles(spark, {"s0": _field(None), "s1": _field(None), "s2": _field(block)})
-    got = detection.detect_changes(_catalogue(spark, 3), tiles, BANDS, _layout()).collect()
+    got = detection.detect_changes(_catalogue(spark, 3), tiles, BANDS, layout()).collect()
     assert len(got) == 1
     r = got[0]
     assert (r["scene_t0"], r["scene_t1"], r["n_cells"], r["contour_px"]) == ("s1", "s2", 96, 77.0)
     assert r["centroid"]["lon"] == pytest.approx(4.2 + 0.001 * 9.5) and r["centroid"]["lat"] == pytest.approx(51.95 - 0.001 * 10.5)
     # 77 cells are about 1.5 km² in Mercator metres: 0.4 + 0.3 * 0.9 + 0.3 * 0.9
     assert (r["risk_score"], r["threat_level"], r["confidence"]) == (94, "Critical", 0.9)
-    assert detection.detect_changes(_catalogue(spark, 1), tiles, BANDS, _layout()).count() == 0
+    assert detection.detect_changes(_catalogue(spark, 1), tiles, BANDS, layout()).count() == 0
 
 
 def test_box_prunes_tiles_by_address(spark):
     tiles = _scene_tiles(spark, {"s0": _field(None)})
-    got = detection.within(tiles, [4.2, 51.943, 4.2075, 51.95], _layout()).select("ty", "tx").distinct().collect()
+    got = detection.within(tiles, [4.2, 51.943, 4.2075, 51.95], layout()).select("ty", "tx").distinct().collect()
     assert {(r["ty"], r["tx"]) for r in got} == {(0, 0)}
-    got = detection.within(tiles, [4.205, 51.93, 4.217, 51.9405], _layout()).select("ty", "tx").distinct().collect()
+    got = detection.within(tiles, [4.205, 51.93, 4.217, 51.9405], layout()).select("ty", "tx").distinct().collect()
     assert {(r["ty"], r["tx"]) for r in got} == {(y, x) for y in (1, 2) for x in (0, 1, 2)}
 
 
@@ -165,9 +165,9 @@ def test_stack_detection_needs_persistence(spark):
         red[a], nir[a], swir[a] = 0.1 + level, 0.5 - level, 0.1 + 3 * level
         return red, nir, swir
     tiles = _scene_tiles(spark, {"s0": _field(None), "s1": worse(0.1), "s2": worse(0.25)})
-    got = detection.detect_over_time(_catalogue(spark, 3), tiles, BANDS, _layout()).collect()
+    got = detection.detect_over_time(_catalogue(spark, 3), tiles, BANDS, layout()).collect()
     assert len(got) == 1 and got[0]["max_persistence"] == 2 and got[0]["first_onset"] == 0 and got[0]["contour_px"] == 49.0
-    assert detection.detect_over_time(_catalogue(spark, 2), tiles, BANDS, _layout()).count() == 0
+    assert detection.detect_over_time(_catalogue(spark, 2), tiles, BANDS, layout()).count() == 0
 
 
 def test_sensors_are_merged_by_confidence(spark):
@@ -192,7 +192,7 @@ def test_multisensor_dedupes_and_reports_missing_scenes(spark):
     scenes = scenes.withColumn("orbit_state", F.lit("descending"))
     kept, results = detection.detect_multisensor(
         scenes, {"sentinel2": optical, "sentinel1": radar, "landsat": history},
-        {"sentinel2": BANDS, "sentinel1": {"vv": "B04", "vh": "B08"}, "landsat": BANDS}, _layout())
+        {"sentinel2": BANDS, "sentinel1": {"vv": "B04", "vh": "B08"}, "landsat": BANDS}, layout())
     # both optical sensors see the same block with equal confidence; the id decides
     assert [r["site_id"] for r in kept.collect()] == ["landsat-a-s2-50"]
     got = {r["source_sensor"]: (r["count"], r["scenes_processed"], r["error"]) for r in results.collect()}
@@ -207,6 +207,6 @@ def test_radar_detection_finds_new_material(spark):
     vh[4:12, 5:14] = 0.9   # bright in the other
     tiles = _scene_tiles(spark, {"s0": (base, base, base), "s1": (vv, vh, base)})
     scenes = _catalogue(spark, 2, "radar").withColumn("orbit_state", F.lit("descending"))
-    got = detection.detect_radar(scenes, tiles, {"vv": "B04", "vh": "B08"}, _layout()).collect()
+    got = detection.detect_radar(scenes, tiles, {"vv": "B04", "vh": "B08"}, layout()).collect()
     assert len(got) == 1 and got[0]["n_cells"] >= 60 and got[0]["detection_method"] == detection.RADAR_METHOD
     assert (got[0]["scene_t0"], got[0]["scene_t1"]) == ("s0", "s1")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contract.fixtures import BANDS, TILE
-from contract.q_outputs import _catalogue, _layout, _LIMITS, _tiles
+from contract.q_outputs import _catalogue, layout, LIMITS, _tiles
 from groundshift.functions import formats
 from groundshift.operators import overlap, raster, stencils
 from groundshift.plans import detection
@@ -84,8 +84,8 @@ def test_newest_scene_without_a_band_gives_way(spark, tables):
     less = tiles.filter(F.col("step") < last)
     scenes = _catalogue(tables)
     for run in (detection.detect_changes, detection.detect_over_time):
-        a = run(scenes, lame, BANDS, _layout(), _LIMITS).select("site_id", "area_m2").collect()
-        b = run(scenes.filter(F.col("scene_id") != str(last)), less, BANDS, _layout(), _LIMITS).select("site_id", "area_m2").collect()
+        a = run(scenes, lame, BANDS, layout(), LIMITS).select("site_id", "area_m2").collect()
+        b = run(scenes.filter(F.col("scene_id") != str(last)), less, BANDS, layout(), LIMITS).select("site_id", "area_m2").collect()
         assert a and sorted(a) == sorted(b)
 
 
@@ -93,12 +93,12 @@ def test_box_clips_every_detector(spark, tables):
     box = [4.2, 51.9425, 4.2075, 51.95]  # the first tile
     lon0, lat0 = 4.2 + TILE * 0.001, 51.95 - TILE * 0.001
     for run, bands in ((detection.detect_changes, BANDS), (detection.detect_over_time, BANDS), (detection.detect_radar, {"vv": "0", "vh": "1"})):
-        rings = run(_catalogue(tables), _tiles(tables), bands, _layout(), _LIMITS, bbox=box).select("ring").collect()
+        rings = run(_catalogue(tables), _tiles(tables), bands, layout(), LIMITS, bbox=box).select("ring").collect()
         assert all(x <= lon0 and y >= lat0 for r in rings for x, y in r.ring)
 
 
 def test_site_ids_name_the_scene(spark, tables):
-    found = detection.detect_changes(_catalogue(tables), _tiles(tables), BANDS, _layout(), _LIMITS).select("site_id", "scene_t1").collect()
+    found = detection.detect_changes(_catalogue(tables), _tiles(tables), BANDS, layout(), LIMITS).select("site_id", "scene_t1").collect()
     assert found and all(r.site_id.split("-")[1] == r.scene_t1 for r in found)
 
 
@@ -122,12 +122,57 @@ def test_resampling_with_holes(spark):
 
 
 def test_windows_with_missing_cells_are_scored(spark):
-    cells = [("m", 0, y, x, [0.0, 0.0, 1.0, 0.0, 0.0, 0.0]) for y in range(6) for x in range(6) if (y, x) != (2, 2)]
-    stack = spark.createDataFrame(cells, "area string, step int, y int, x int, channels array<double>").withColumns(
-        {"ty": F.lit(0), "tx": F.lit(0), "pos": F.col("y") * 6 + F.col("x")})
-    images = spark.createDataFrame([("m", 0, 6, 6)], "area string, step int, height int, width int")
-    got = detection.score_scene(stack, images, detection.Layout(6, 6, 6, (1, 0, 0, 0, -1, 0)), size=4, stride=2).collect()
-    assert len(got) == 35 and all(abs(r.p - 1 / (1 + np.exp(-2.0))) < 1e-12 for r in got)
+    values = [v for y in range(6) for x in range(6) for v in ([0.0, 0.0, 1.0, 0.0, 0.0, 0.0] if (y, x) != (2, 2) else [None] * 6)]
+    tiles = spark.createDataFrame([("m", 0, 0, 0, 6, 6, values)], "area string, step int, ty int, tx int, h int, w int, values array<double>")
+    got = detection.score_scene(tiles, detection.Layout(6, 6, 6, (1, 0, 0, 0, -1, 0)), size=4, stride=2).collect()
+    want = np.full((6, 6), 1 / (1 + np.exp(-2.0)))
+    want[2, 2] = 0.5
+    assert len(got) == 1 and np.allclose(np.reshape(got[0].p, (6, 6)), want, atol=1e-12)
+
+
+@pytest.mark.parametrize("tile,size,stride,height,width", [(8, 12, 8, 29, 21), (5, 4, 3, 13, 17), (16, 6, 6, 20, 16), (4, 9, 2, 15, 9), (8, 40, 8, 20, 20)])
+def test_overlap_mean_of_tiles(spark, tile, size, stride, height, width):
+    """Windows cut from tiles of any size, with one tile missing, against sliding over the whole image."""
+    from groundshift.operators import scorer, tiling
+
+    rng = np.random.default_rng(tile)
+    img = rng.random((height, width, 6))
+    hole = (1, 1)
+    rows, there = [], np.zeros((height, width), bool)
+    for ty in range(-(-height // tile)):
+        for tx in range(-(-width // tile)):
+            at = slice(ty * tile, min(height, ty * tile + tile)), slice(tx * tile, min(width, tx * tile + tile))
+            if (ty, tx) == hole:
+                img[at] = 0
+                continue
+            there[at] = True
+            rows.append(("m", 3, ty, tx, *img[at].shape[:2], img[at].ravel().tolist()))
+    tiles = spark.createDataFrame(rows, "area string, step int, ty int, tx int, h int, w int, values array<double>")
+    cut = tiling.cut_windows(tiles, ["area", "step"], tile, height, width, 6, size, stride)
+    scored = scorer.score_tiles(cut, ["area", "step", "y0", "x0"])
+    got = {(r.ty, r.tx): r for r in tiling.overlap_mean(scored, tiles, ["area", "step"], tile, size).collect()}
+    sums, n = np.zeros((2, height, width)), np.zeros((height, width))
+    for y0 in tiling.window_starts(height, size, stride):
+        for x0 in tiling.window_starts(width, size, stride):
+            at = slice(y0, y0 + size), slice(x0, x0 + size)
+            if there[at].any():
+                p = 1 / (1 + np.exp(-(2 * img[at][..., 2] - 3 * img[at][..., 3])))
+                sums[0][at] += p
+                sums[1][at] += p.mean()
+                n[at] += 1
+    want = sums / np.maximum(n, 1)
+    assert len(got) == len(rows)
+    for (ty, tx), r in got.items():
+        at = slice(ty * tile, min(height, ty * tile + tile)), slice(tx * tile, min(width, tx * tile + tile))
+        assert np.allclose([r.p, r.confidence], want[:, at[0], at[1]].reshape(2, -1), atol=1e-12)
+
+
+def test_scoring_shuffles_pieces_of_tiles_alone(spark, tables):
+    from contract import q_shapes
+
+    tiles = stage(q_shapes._feature_tiles(tables).select("area", "step", "ty", "tx", "h", "w", "values"), "tiles")
+    plan = detection.score_scene(tiles, layout(), size=12, stride=8)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" not in plan and plan.count("Exchange") == 2
 
 
 def test_rounding_of_what_is_no_number(spark):
