@@ -156,6 +156,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
 #: Near copies share at least ALIKE[0] / ALIKE[1] of their distinct five-word shingles.
 ALIKE = (4, 5)
 WORDS = 5  # of a shingle
+MARKS = 1024  # bits of a set's bitmap
 BANDS, ROWS = 40, 5  # a pair at four fifths shares no key once in 8 million (0.672 ** 40), whatever kind of edit made it
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -188,6 +189,13 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
     return keys * _ODD[0]
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """MARKS bits as longs, those set whose numbers the shingles give."""
+    marks = np.zeros(MARKS, np.uint8)
+    marks[(grams >> np.uint64(20)) % np.uint64(MARKS)] = 1
+    return np.packbits(marks, bitorder="little").view("<i8")
+
+
 def _by_text(docs: DataFrame, columns: list[T.StructField], run) -> DataFrame:
     """``docs`` with ``columns`` in place of ``text``: lists of ``run`` (text) for each row."""
     at = docs.columns.index("text")
@@ -261,30 +269,70 @@ def rare_meetings(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs
 
 
-def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Staged links (u, v) between the nodes of ``rows`` (node, tkey, n, keys) that join up the same nodes as all links of near copies do.
+def maybe_alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Staged ``pairs`` (u, v) whose bitmaps leave it open that they are alike: a bit that one set has and the other lacks is at
+    least one shingle that they do not share. Few unrelated pairs pass, and so few sets of shingles are shuffled."""
+    bits = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sides = [bits.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits")) for c in ("u", "v")]
+    both = pairs.join(sides[0], "u").join(sides[1], "v")
 
-    First every node meets the least one under each of its keys, so that large groups become one component without pairs.
-    Nodes of keys at which components still meet are compared where they share a rare shingle.
-    """
-    said = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    leads = said.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).filter("lead.node < last").select("key", "lead")
-    shared = staged(said.join(leads, "key"), "near-shared")
-    pairs = shared.filter(F.col("node") != F.col("lead.node")).filter(_near_sizes(F.col("n"), F.col("lead.n")))
-    pairs = staged(pairs.select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct(), "near-pairs")
-    sets = gram_sets(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), texts, rows)
-    found = staged(alike(pairs, sets), "near-links")
-    discard(pairs, sets)
+    def alone(x: str, y: str) -> Column:
+        return F.aggregate(F.arrays_zip(F.col(x).alias("x"), F.col(y).alias("y")), F.lit(0), lambda n, z: n + F.bit_count(z["x"].bitwiseAND(F.bitwise_not(z["y"]))))
+
+    n, m = F.col("u_n"), F.col("v_n")
+    most = F.least(n - alone("u_bits", "v_bits"), m - alone("v_bits", "u_bits"))
+    p, q = ALIKE
+    return staged(both.filter((p + q) * most >= p * (n + m)).select("u", "v"), "near-maybe")
+
+
+def led_links(open_: DataFrame, texts: DataFrame, rows: DataFrame, turn: int) -> DataFrame:
+    """Staged links of the nodes of ``open_`` (key, node, n, root) with one leader for each key, another one in each turn."""
+    order = F.struct((F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("first"), "node", "n", "root")
+    leads = open_.groupBy("key").agg(F.min(order).alias("lead")).select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "n", "root")])
+    met = open_.join(leads, "key").filter(F.col("root") != F.col("lead_root")).filter(_near_sizes(F.col("n"), F.col("lead_n")))
+    pairs = staged(met.select(F.least("lead_node", "node").alias("u"), F.greatest("lead_node", "node").alias("v")).distinct(), "near-pairs")
+    maybe = maybe_alike(pairs, rows)
+    sets = gram_sets(maybe.select(F.col("u").alias("node")).union(maybe.select(F.col("v").alias("node"))).distinct(), texts, rows)
+    found = staged(alike(maybe, sets), "near-links")
+    discard(pairs, maybe, sets)
+    return found
+
+
+def _still_open(open_: DataFrame, found: DataFrame) -> DataFrame:
+    """Staged rows of ``open_`` under keys at which components still meet, with the roots that the links ``found`` give."""
     roots = star_roots(found, [])
-    rooted = staged(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
-    discard(shared)
+    rooted = staged(open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "root"), "near-rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    still = staged(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "near-open")
+    out = staged(rooted.join(mixed, "key", "left_semi"), "near-open")
     discard(rooted)
-    sets = gram_sets(still.select("node"), texts, rows)
-    more = rare_meetings(still, sets)
+    return out
+
+
+TURNS = 2  # leaders that the nodes of a key are compared with, before those of different components are
+
+
+def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Staged links (u, v) between the nodes of ``rows`` (node, tkey, n, bits, keys) that join up the same nodes as all links of near copies do.
+
+    First every node meets one leader under each of its keys and then another, so that large groups become one component
+    without pairs. Nodes of keys at which components still meet are compared where they share a rare shingle.
+    """
+    said = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
+    common = said.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    open_ = staged(said.join(common, "key", "left_semi").select("key", "node", "n", F.col("node").alias("root")), "near-shared")
+    found = None
+    for turn in range(TURNS):
+        new = led_links(open_, texts, rows, turn)
+        both = new if found is None else staged(found.union(new), "near-links")
+        still = _still_open(open_, both)
+        discard(open_, *([] if found is None else [found, new]))
+        open_, found = still, both
+    nodes = staged(open_.select("node", "root").distinct(), "near-nodes")
+    discard(open_)
+    sets = gram_sets(nodes.select("node"), texts, rows)
+    more = rare_meetings(nodes, sets)
     links = staged(found.union(alike(more, sets)), "near-all")
-    discard(found, still, sets, more)
+    discard(found, nodes, sets, more)
     return links
 
 
@@ -304,9 +352,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     def keyed(text: bytes) -> list:
         grams = shingles(text)
-        return [len(grams), *[xxhash.xxh64_intdigest(grams.tobytes(), seed) - (1 << 63) for seed in (0, 1)], band_keys(grams).view(np.int64)]
+        return [len(grams), *[xxhash.xxh64_intdigest(grams.tobytes(), seed) - (1 << 63) for seed in (0, 1)], bitmap(grams), band_keys(grams).view(np.int64)]
 
-    fields = [*[T.StructField(n, T.LongType()) for n in ("n", "node", "check")], T.StructField("keys", T.ArrayType(T.LongType()))]
+    fields = [*[T.StructField(n, T.LongType()) for n in ("n", "node", "check")], *[T.StructField(n, T.ArrayType(T.LongType())) for n in ("bits", "keys")]]
     rows = staged(_by_text(docs.select("doc_id", F.xxhash64(said).alias("tkey"), said.alias("text")), fields, keyed), "near-rows")
     # sets that differ in the second hash alone get names of their own
     clashes = rows.groupBy("node").agg(F.min("check").alias("least"), F.max("check").alias("most")).filter("least <> most").select("node", "least")

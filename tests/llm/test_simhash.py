@@ -130,7 +130,9 @@ def test_copies_meet_behind_a_stranger(spark):
     """Two copies whose only common key belongs to an unrelated text with a smaller node are linked all the same."""
     base = " ".join(f"w{i}" for i in range(100))
     said = [(-9, 1, "a stranger to " + " ".join(f"v{i}" for i in range(90))), (3, 2, base), (5, 3, base + " x y z")]
-    rows = spark.createDataFrame([(n, t, len(simhash.shingles(x.encode())), [7]) for n, t, x in said], "node long, tkey long, n long, keys array<long>")
+    grams = {t: simhash.shingles(x.encode()) for _, t, x in said}
+    rows = spark.createDataFrame([(n, t, len(grams[t]), simhash.bitmap(grams[t]).tolist(), [7]) for n, t, _ in said],
+                                 "node long, tkey long, n long, bits array<long>, keys array<long>")
     texts = spark.createDataFrame([(t, x) for _, t, x in said], "tkey long, text string")
     assert {tuple(r) for r in simhash.near_links(rows, texts).collect()} == {(3, 5)}
 
