@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 
-_WORD_CACHE = 600_000  # entries of a worker; the cache is emptied beyond
+_WORD_CACHE = 350_000  # entries of a worker in each of two ages; words not met for an age are forgotten
 _LETTERS = re.compile("[a-zà-öø-ÿ]+")
 
 
@@ -34,6 +35,7 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__()
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
@@ -41,23 +43,35 @@ class WordIds(dict):
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters(self, coded: str) -> bytes:
+        """Ids of a word of lower-case letters, spelled in the vocabulary's stand-ins for bytes."""
+        return array("I", [t.id for t in self.model.tokenize(coded)]).tobytes()
+
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
+        found = self.older.get(word)
+        if found is None:
+            found = self._new(word)
+        self[word] = found
+        return found
+
+    def _new(self, word: bytes) -> bytes:
         tail = word[-1:]
+        if word.isalpha():  # ASCII letters stand for themselves
+            return self._letters(word.lower().decode())
+        if (tail == b"." or tail == b",") and word[:-1].isalpha():
+            return self[word[:-1]] + self[tail]
+        text = word.decode()
         lower = text.lower()
         if _LETTERS.fullmatch(lower):
-            coded = "".join(map(self.letters.__getitem__, lower.encode()))
-            found = np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
-        elif (tail == b"." or tail == b",") and _LETTERS.fullmatch(lower, 0, len(lower) - 1):
-            found = self[word[:-1]] + self[tail]
-        else:
-            found = self._encode(text)
-        self[word] = found
-        return found
+            return self._letters("".join(map(self.letters.__getitem__, lower.encode())))
+        if (tail == b"." or tail == b",") and _LETTERS.fullmatch(lower, 0, len(lower) - 1):
+            return self[word[:-1]] + self[tail]
+        return self._encode(text)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a whole text."""
         if len(self) > _WORD_CACHE:
+            self.older = dict(self)
             self.clear()
         if b"<|" not in text:  # the special strings are lower case only
             text = text.lower()
