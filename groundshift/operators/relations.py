@@ -86,22 +86,74 @@ def rule_table(spark: SparkSession, rules: list[AlertRule], region: str = "strin
     return spark.createDataFrame(rows, f"rule_id string, min_confidence double, min_area_m2 double, regions array<{region}>")
 
 
-def fired_rules(sites: DataFrame, rules: DataFrame | list[AlertRule], region: str = "sector_id") -> DataFrame:
+def _slots(n_rules: int) -> int:
+    """Buckets along each axis, a power of two: one for few rules, which are then all compared."""
+    n, k = n_rules // 64, 1
+    while 4 * k * k <= n and k < 64:
+        k *= 2
+    return k
+
+
+def _bucket(x: Column, bounds: list[float]) -> Column:
+    """How many bounds are not above ``x``."""
+    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>"), lambda b: b <= x))
+
+
+def _node(level: int | Column, at: Column) -> Column:
+    return (F.lit(level) * 1024 + at).cast("int")
+
+
+def _above(i: Column, levels: int) -> Column:
+    """Nodes of a tree over the buckets that hold bucket ``i``, and the bucket itself as a border, which is level ``levels``."""
+    return F.array(*[_node(lv, F.shiftright(i, lv)) for lv in range(levels)], _node(levels, i))
+
+
+def _below(i: Column, levels: int) -> Column:
+    """Nodes that together hold the buckets before ``i``, each once, and bucket ``i`` as a border."""
+    nodes = F.array(*[F.when(F.shiftright(i, lv).bitwiseAND(F.lit(1)) == 1, _node(lv, F.shiftright(i, lv) - 1)) for lv in range(levels)], _node(levels, i))
+    return F.array_compact(nodes)
+
+
+def rule_meetings(sites: DataFrame, rules: DataFrame, region: str, slots: int | None = None) -> DataFrame:
+    """Sites beside the rules that may fire, each pair once: ``_sure_c`` and ``_sure_a`` say which bounds are met without a test.
+
+    Rules lie in buckets of their two bounds, cut at quantiles. A rule in lower buckets than a site is met for sure, one in
+    higher buckets for sure not, and only rules in the site's own bucket along an axis have to be compared. Buckets form
+    a binary tree along each axis, so a site asks for a few nodes and a rule stands in few: an equi-join.
+    """
+    k = slots or _slots(rules.count())
+    levels = k.bit_length()
+    parts = [F.percentile_approx(c, [i / k for i in range(1, k)], 100 * k).alias(c) for c in ("min_confidence", "min_area_m2")]
+    bounds = rules.agg(*parts).first() if k > 1 else {}
+    cuts = {c: sorted(set((bounds[c] if k > 1 else None) or [])) for c in ("min_confidence", "min_area_m2")}
+    wide = F.size(F.coalesce("regions", F.array().cast(rules.schema["regions"].dataType))) == 0
+    kind = sites.schema[region].dataType
+    rule = rules.select("rule_id", "min_confidence", "min_area_m2", F.when(wide, F.array(F.lit(None).cast(kind))).otherwise(F.array_distinct("regions").cast(f"array<{kind.simpleString()}>")).alias("_regions"), wide.alias("_wide"))
+    rule = rule.select("*", F.explode("_regions").alias("_region")).filter("_wide OR _region IS NOT NULL").drop("_regions")
+    for name, c in (("_c", "min_confidence"), ("_a", "min_area_m2")):
+        rule = rule.withColumn(name, F.explode(_above(_bucket(F.col(c), cuts[c]), levels)))
+    scopes = F.array(F.struct(F.lit(True).alias("_wide"), F.lit(None).cast(kind).alias("_region")), F.struct(F.lit(False).alias("_wide"), F.col(region).alias("_region")))
+    asked = sites.filter("confidence IS NOT NULL AND area_m2 IS NOT NULL").select("*", F.inline(scopes)).filter("_wide OR _region IS NOT NULL")
+    for name, c, x in (("_c", "min_confidence", "confidence"), ("_a", "min_area_m2", "area_m2")):
+        asked = asked.withColumn(name, F.explode(_below(_bucket(F.col(x), cuts[c]), levels)))
+    r = rule.select(*[F.col(c).alias(f"{c}_r") for c in ("_wide", "_region", "_c", "_a")], F.col("rule_id").alias("_rule"), F.col("min_confidence").alias("_min_c"), F.col("min_area_m2").alias("_min_a"))
+    same = (F.col("_wide") == F.col("_wide_r")) & F.col("_region").eqNullSafe(F.col("_region_r")) & (F.col("_c") == F.col("_c_r")) & (F.col("_a") == F.col("_a_r"))
+    both = asked.join(r, same)
+    return both.select(*sites.columns, "_rule", "_min_c", "_min_a", (F.col("_c") < levels * 1024).alias("_sure_c"), (F.col("_a") < levels * 1024).alias("_sure_a"))
+
+
+def fired_rules(sites: DataFrame, rules: DataFrame | list[AlertRule], region: str = "sector_id", slots: int | None = None) -> DataFrame:
     """One row per site and rule that fires; ``rules`` is a table (rule_id, min_confidence, min_area_m2, regions) or a list.
 
-    Rules that name regions meet the sites of these regions by key. Rules for everywhere (no region) are gathered in one
-    row, as long as the rules are many, whose array each site filters in place. A rule that names a region twice fires once.
+    Rules that name regions meet the sites of these regions by key, rules without a region meet all sites. A rule that names a
+    region twice fires once; a missing measure or bound fires nothing.
     """
     if isinstance(rules, list):
         rules = rule_table(sites.sparkSession, rules, sites.schema[region].dataType.simpleString())
-    wide = F.size(F.coalesce("regions", F.array().cast(rules.schema["regions"].dataType))) == 0
-    rule = F.struct("rule_id", "min_confidence", "min_area_m2")
-    everywhere = rules.filter(wide).agg(F.collect_list(rule).alias("_all"))
-    local = rules.filter(~wide).select(F.explode(F.array_distinct("regions")).alias(region), rule.alias("r")).groupBy(region).agg(F.collect_list("r").alias("_here"))
-    both = sites.join(local, region, "left").crossJoin(everywhere)
-    known = F.concat(F.coalesce("_here", F.array().cast("array<struct<rule_id:string,min_confidence:double,min_area_m2:double>>")), F.col("_all"))
-    hits = F.filter(known, lambda r: (F.col("confidence") >= r["min_confidence"]) & (F.col("area_m2") >= r["min_area_m2"]))
-    return both.withColumn("rule_id", F.explode(F.transform(hits, lambda r: r["rule_id"]))).drop("_here", "_all").select(*sites.columns, "rule_id")
+    rules = rules.filter("min_confidence IS NOT NULL AND min_area_m2 IS NOT NULL")
+    met = rule_meetings(sites, rules, region, slots)
+    fires = (F.col("_sure_c") | (F.col("confidence") >= F.col("_min_c"))) & (F.col("_sure_a") | (F.col("area_m2") >= F.col("_min_a")))
+    return met.filter(fires).select(*sites.columns, F.col("_rule").alias("rule_id"))
 
 
 def latest_alerts_per_job(jobs: DataFrame, alerts: DataFrame, n: int = 10) -> DataFrame:

@@ -241,3 +241,23 @@ def test_no_imagery_no_sites(spark):
     m.process(det, 0)
     assert [r.sector_id for r in m.sites().collect()] == [7]
     assert {r.job_id: r.last_error for r in m.job_state().collect()} == {1: None, 2: monitoring.NO_IMAGERY}
+
+
+@pytest.mark.parametrize("slots", [None, 1, 4, 16])
+def test_rules_by_dominance(spark, slots):
+    """Every pair that fires, once, and few pairs compared besides; ties with bounds, missing values and regions included."""
+    from groundshift.operators import relations
+
+    rng = np.random.default_rng(3)
+    at = lambda: round(float(rng.choice([rng.random(), 0.5, 0.25])), 3)
+    sites = [(i, int(rng.integers(0, 6)) if i % 9 else None, at() if i % 31 else None, at() if i % 37 else None) for i in range(300)]
+    rules = [(f"r{i}", at() if i % 41 else None, at() if i % 43 else None, [] if i % 3 else [int(x) for x in rng.integers(0, 6, 3)]) for i in range(400)]
+    s = spark.createDataFrame(sites, "site_id int, sector_id int, confidence double, area_m2 double")
+    r = spark.createDataFrame(rules, "rule_id string, min_confidence double, min_area_m2 double, regions array<int>")
+    got = [(x.site_id, x.rule_id) for x in relations.fired_rules(s, r, slots=slots).collect()]
+    want = {(i, k) for i, g, c, a in sites for k, mc, ma, where in rules
+            if None not in (c, a, mc, ma) and c >= mc and a >= ma and (not where or g in where)}
+    assert len(got) == len(set(got)) and set(got) == want
+    if slots == 16:
+        r = r.filter("min_confidence IS NOT NULL AND min_area_m2 IS NOT NULL")
+        assert relations.rule_meetings(s, r, "sector_id", slots).count() < 1.6 * len(want)
