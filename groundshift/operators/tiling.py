@@ -214,32 +214,46 @@ def overlap_mean(scored: DataFrame, tiles: DataFrame, keys: list[str], tile: int
 # ---- label rasters and chips ---------------------------------------------------------------------------------
 
 
-def rasterise(polygons: DataFrame, grid: dict[str, float], height: int, width: int, ring: str = "ring", keys: list[str] | None = None,
-              block: int = 512) -> DataFrame:
-    """Cells (y, x) of a north-up grid whose centre lies inside any polygon.
+def _first(value: Column, scale: float, offset: float, n: int) -> Column:
+    """First of the indices 0 to ``n`` whose centre ``scale * (i + 0.5) + offset`` has reached ``value``: is not below it on a rising
+    axis, is below it on a falling one. Guessed by division and settled by the centres themselves."""
+    there = lambda i: (F.lit(scale) * (i + 0.5) + F.lit(offset) >= value) if scale > 0 else (F.lit(scale) * (i + 0.5) + F.lit(offset) < value)
+    guess = F.ceil((value - F.lit(offset)) / F.lit(scale) - 0.5)
+    first = F.when(there(guess - 1), guess - 1).when(there(guess), guess).otherwise(guess + 1)
+    return F.least(F.greatest(first, F.lit(0)), F.lit(n)).cast("int")
+
+
+def _span(low: Column, high: Column, scale: float, offset: float, n: int) -> tuple[Column, Column]:
+    """Begin and end of the indices whose centres lie in [low, high)."""
+    ends = _first(low, scale, offset, n), _first(high, scale, offset, n)
+    return ends if scale > 0 else ends[::-1]
 
-    Candidate cells come from each ring's bounding box and are tested in the same row; nothing is joined. A large box is
-    cut into blocks of ``block`` cells a side first, which go to different tasks.
-    """
-    from ..functions.geometry import contains_point, ring_bbox
 
+def rasterise(polygons: DataFrame, grid: dict[str, float], height: int, width: int, ring: str = "ring", keys: list[str] | None = None) -> DataFrame:
+    """Cells (y, x) of a north-up grid whose centre lies inside any polygon (even-odd rule).
+
+    Scan lines: each edge crosses the rows of centres between its ends, the crossings of a ring with a row are sorted, and cells
+    between the first and the second, the third and the fourth, ... are filled. The work is that of the crossings and the filled
+    cells. Rings are told apart by two hashes, so equal ones count once.
+    """
     keys = keys or []
-    box = ring_bbox(F.col(ring))
-    col = lambda lon: (lon - F.lit(grid["c"])) / F.lit(grid["a"]) - 0.5
-    row = lambda lat: (lat - F.lit(grid["f"])) / F.lit(grid["e"]) - 0.5
-    bound = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.lit(n)).cast("int")
-    x0, x1 = F.floor(F.least(col(box["min_x"]), col(box["max_x"]))), F.ceil(F.greatest(col(box["min_x"]), col(box["max_x"])))
-    y0, y1 = F.floor(F.least(row(box["min_y"]), row(box["max_y"]))), F.ceil(F.greatest(row(box["min_y"]), row(box["max_y"])))
-    inside = (x1 >= 0) & (x0 <= width - 1) & (y1 >= 0) & (y0 <= height - 1)
-    ends = {"_y0": bound(y0, height - 1), "_y1": bound(y1, height - 1), "_x0": bound(x0, width - 1), "_x1": bound(x1, width - 1)}
-    c = polygons.filter(inside).select(*keys, F.col(ring).alias("_r"), *[v.alias(k) for k, v in ends.items()])
-    blocks = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block)))
-    c = c.withColumn("_by", blocks("_y0", "_y1")).withColumn("_bx", blocks("_x0", "_x1")).repartition(F.xxhash64("_r"), "_by", "_bx")
-    cells = lambda lo, hi, at: F.explode(F.sequence(F.greatest(F.col(lo), (F.col(at) * block).cast("int")), F.least(F.col(hi), (F.col(at) * block + block - 1).cast("int"))))
-    c = c.withColumn("y", cells("_y0", "_y1", "_by")).withColumn("x", cells("_x0", "_x1", "_bx"))
-    lon = F.lit(grid["a"]) * (F.col("x") + 0.5) + F.lit(grid["c"])
-    lat = F.lit(grid["e"]) * (F.col("y") + 0.5) + F.lit(grid["f"])
-    return c.filter(contains_point(F.col("_r"), lon, lat)).select(*keys, "y", "x").distinct()
+    a, c, e, f = (float(grid[k]) for k in "acef")
+    rings = polygons.filter(F.col(ring).isNotNull()).select(*keys, F.col(ring).alias("_r"), F.xxhash64(ring).alias("_h"), F.hash(ring).alias("_g")).dropDuplicates([*keys, "_h", "_g"])
+    n = F.size("_r")
+    edges = rings.filter(n > 1).select(*keys, "_h", "_g", F.inline(F.arrays_zip(F.slice("_r", F.lit(1), n - 1).alias("p"), F.slice("_r", F.lit(2), n - 1).alias("q"))))
+    at = lambda point, i: F.get(point, F.lit(i))
+    px, py, qx, qy = at("p", 0), at("p", 1), at("q", 0), at("q", 1)
+    begin, end = _span(F.least(py, qy), F.greatest(py, qy), e, f, height)
+    rows = edges.select("*", begin.alias("_from"), end.alias("_to")).filter("_from < _to")
+    rows = rows.withColumn("y", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)))
+    lat = F.lit(e) * (F.col("y") + 0.5) + F.lit(f)
+    crossed = rows.select(*keys, "_h", "_g", "y", ((qx - px) * (lat - py) / (qy - py) + px).alias("_t"))
+    lines = crossed.groupBy(*keys, "_h", "_g", "y").agg(F.sort_array(F.collect_list("_t")).alias("_t"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("_t") / 2).cast("int") - 1), lambda i: F.struct(F.get("_t", 2 * i).alias("s"), F.get("_t", 2 * i + 1).alias("t")))
+    spans = lines.filter(F.size("_t") > 1).select(*keys, "y", F.inline(pairs))
+    begin, end = _span(F.col("s"), F.col("t"), a, c, width)
+    spans = spans.select(*keys, "y", begin.alias("_from"), end.alias("_to")).filter("_from < _to")
+    return spans.select(*keys, "y", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("x")).distinct()
 
 
 def chip_id(scene: Column, y0: Column, x0: Column) -> Column:

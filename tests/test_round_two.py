@@ -261,3 +261,51 @@ def test_rules_by_dominance(spark, slots):
     if slots == 16:
         r = r.filter("min_confidence IS NOT NULL AND min_area_m2 IS NOT NULL")
         assert relations.rule_meetings(s, r, "sector_id", slots).count() < 1.6 * len(want)
+
+
+def _inside(ring, grid, height, width):
+    """Even-odd test of every cell centre against every edge."""
+    ring = np.asarray(ring, float)
+    lon, lat = grid["a"] * (np.arange(width) + 0.5) + grid["c"], grid["e"] * (np.arange(height) + 0.5) + grid["f"]
+    out = np.zeros((height, width), bool)
+    for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:]):
+        hit = (ay > lat) != (by > lat)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = (bx - ax) * (lat - ay) / (by - ay) + ax
+        out ^= hit[:, None] & (lon[None, :] < at[:, None])
+    return out
+
+
+@pytest.mark.parametrize("a,e", [(0.001, -0.001), (-0.001, 0.0015), (0.003, -0.002)])
+def test_scan_lines_fill_what_is_inside(spark, a, e):
+    from groundshift.operators import tiling
+
+    grid = {"a": a, "b": 0.0, "c": 4.2, "d": 0.0, "e": e, "f": 51.9}
+    rng = np.random.default_rng(7)
+    rings, want = [], {}
+    for i in range(30):
+        n = int(rng.integers(3, 25))
+        p = np.c_[4.2 + a * (rng.random(n) * 60 - 10), 51.9 + e * (rng.random(n) * 50 - 10)]  # crossing itself and the border
+        if i % 4 == 0:  # on centres and borders of cells
+            p = np.c_[4.2 + a * np.round(rng.random(n) * 40 * 2) / 2, 51.9 + e * np.round(rng.random(n) * 30 * 2) / 2]
+        ring = np.vstack([p, p[:1]]).tolist()
+        rings += [(i % 3, ring)] * (1 + i % 2)
+        want[i % 3] = want.get(i % 3, False) | _inside(ring, grid, 30, 40)
+    rings += [(0, None), (0, []), (1, [[4.2, 51.9]])]
+    df = spark.createDataFrame(rings, "k int, ring array<array<double>>")
+    got = tiling.rasterise(df, grid, 30, 40, keys=["k"]).collect()
+    assert len(got) == len(set(got)) and {(r.k, r.y, r.x) for r in got} == {(k, y, x) for k, m in want.items() for y, x in zip(*np.nonzero(m))}
+
+
+def test_ring_of_a_hundred_thousand_vertices(spark):
+    from groundshift.operators import tiling
+
+    t = np.linspace(0, 2 * np.pi, 100_000)
+    r = 0.02 * (1 + 0.3 * np.cos(9 * t))
+    ring = np.c_[4.23 + r * np.cos(t), 51.87 + r * np.sin(t)]
+    ring[-1] = ring[0]
+    grid = {"a": 0.0002, "b": 0.0, "c": 4.2, "d": 0.0, "e": -0.0002, "f": 51.9}
+    got = tiling.rasterise(spark.createDataFrame([(ring.tolist(),)], "ring array<array<double>>"), grid, 300, 300).toPandas()
+    mask = np.zeros((300, 300), bool)
+    mask[got["y"], got["x"]] = True
+    assert (mask == _inside(ring[::1], grid, 300, 300)).all()
