@@ -8,7 +8,7 @@ from groundshift.functions import geometry, indices
 from groundshift.operators import filters, raster, summaries, timeseries
 from groundshift.schemas import SECTOR_FILE
 from groundshift.session import run_dir
-from groundshift.sources import catalogue, features, labels
+from groundshift.sources import catalogue, features, labels, tilestore
 
 from .fixtures import BANDS, TILE
 from .q_sites import DAY, SQL_STAMP, STAMP, YMD
@@ -141,6 +141,15 @@ def join_02(t):
     return raster.change_cells(pairs, TILE).select(*_YX, "ndvi_t0", "ndvi_t1")
 
 
+@query("join_02_stored", f"SELECT step, y, x, ndvi_t0, ndvi_t1 FROM ({_PAIRS})", ("idx",))
+def join_02_stored(t):
+    """Scene pairs over a tile table that is bucketed by address: nothing is shuffled after it is written."""
+    path = run_dir(t.spark, "tile-store")
+    name = "tiles_" + path[-32:]
+    tilestore.write_tiles(t.band_tiles, name, path, buckets=8)
+    return raster.change_cells(tilestore.scene_pairs(t.spark, name, BANDS, extra=["h", "w"]), TILE).select(*_YX, "ndvi_t0", "ndvi_t1")
+
+
 @query("ras_01", "SELECT step, y, x, ndvi FROM idx", ("idx",))
 def ras_01(t):
     return raster.with_indices(t.cells).select(*_YX, "ndvi")
@@ -219,6 +228,16 @@ def ras_10(t):
     return raster.radar_change(t.sar_tiles, TILE).select(*_YX, F.col("backscatter_increase").cast("int").alias("backscatter_increase"))
 
 
+@query("ras_10_sketch", "SELECT step, count(*) AS n, true AS within FROM sar GROUP BY step", ("sar",))
+def ras_10_sketch(t):
+    """The 90th percentile of each scene from sketches of its tiles: how far its true rank is off stays within the stated error."""
+    c = raster.cells(t.sar_tiles, ["vv"], TILE)
+    sketches = raster.percentile_sketches(c, ["step", "ty", "tx"], "vv", 256)
+    p = raster.sketched_percentile(sketches, ["step"], 0.9, "p", 256).drop("n")
+    share = c.join(p, "step").groupBy("step").agg(F.count("*").alias("n"), F.avg((F.col("vv") <= F.col("p")).cast("double")).alias("share"))
+    return share.select("step", "n", (F.abs(F.col("share") - 0.9) <= raster.sketch_rank_error(256) + 1 / F.col("n")).alias("within"))
+
+
 @query("ras_11", _SAR + "SELECT step, count(*) AS n_cells, count(*) FILTER (coherence_loss AND increase) AS n_anomalous FROM f GROUP BY step", ("sar",))
 def ras_11(t):
     c = raster.radar_change(t.sar_tiles, TILE)

@@ -309,3 +309,51 @@ def test_ring_of_a_hundred_thousand_vertices(spark):
     mask = np.zeros((300, 300), bool)
     mask[got["y"], got["x"]] = True
     assert (mask == _inside(ring[::1], grid, 300, 300)).all()
+
+
+def test_stored_tiles_are_aligned_in_place(spark, tables):
+    """Stack, pair and mask over a bucketed table, and the join of two tables, without an exchange; the rows are those of the shuffled way."""
+    from contract.fixtures import BANDS
+    from groundshift.operators import raster
+    from groundshift.session import run_dir
+    from groundshift.sources import tilestore
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = [f"tiles_{i}" for i in range(3)]
+    newest = tables.band_tiles.agg(F.max("step")).first()[0] - 1
+    parts = [tables.band_tiles, tables.band_tiles.filter(F.col("step") == newest), tables.band_tiles.filter(F.col("step") == newest - 1)]
+    for name, part in zip(names, parts):
+        tilestore.write_tiles(part, name, run_dir(spark, name), buckets=4)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables too large to broadcast
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        stack = tilestore.scene_stack(spark, names[0], BANDS, extra=["scene", "h", "w"])
+        cells = raster.change_cells(tilestore.scene_pairs(spark, names[0], BANDS, extra=["h", "w"]), 8)
+        joined = tilestore.join_stores(spark, names[1], names[2], BANDS, extra=["h", "w"])
+        for df in (stack, raster.mask_tiles(cells, "anomaly", 8), joined):
+            assert "Exchange" not in plan(df)
+        key = lambda df: sorted(map(str, df.select("ty", "tx", "step", "red", "nir", "swir").collect()))
+        assert key(stack) == key(tables.tiles)
+        want = raster.change_cells(raster.previous_scene(tables.tiles, list(BANDS)), 8)
+        cols = ["step", "y", "x", "delta_ndvi", "anomaly"]
+        assert sorted(map(str, cells.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+        pair = raster.previous_scene(tables.tiles, list(BANDS)).filter(F.col("step") == newest)
+        assert sorted(map(str, joined.select("ty", "tx", "red", "red_t0").collect())) == sorted(map(str, pair.select("ty", "tx", "red", "red_t0").collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
+
+
+def test_rank_error_of_sketches(spark):
+    from groundshift.operators import raster
+
+    rng = np.random.default_rng(1)
+    rows = [(g, s, float(v)) for g in range(2) for s in range(5) for v in rng.gamma(2 + g, 1 + s, 8000)]
+    df = spark.createDataFrame(rows + [(0, 0, None)], "g int, scene int, v double")
+    sketches = stage(raster.percentile_sketches(df, ["g", "scene"], "v", 512), "sketches")
+    assert raster.sketch_rank_error(512) < 0.01 and raster.sketch_rank_error() < 0.0014
+    for q in (0.05, 0.5, 0.9, 0.99):
+        for r in raster.sketched_percentile(sketches, ["g"], q, k=512).collect():  # merged over scenes
+            values = np.array([v for g, _, v in rows if g == r.g])
+            assert r.n == len(values) and abs((values <= r.pct).mean() - q) <= raster.sketch_rank_error(512)
