@@ -20,6 +20,19 @@ def mercator_y(lat: Column) -> Column:
     return F.log(F.tan(F.lit(math.pi / 4.0) + lat * (math.pi / 360.0))) * EARTH_RADIUS_M
 
 
+def inverse_mercator_lon(x: Column) -> Column:
+    return x / EARTH_RADIUS_M * (180.0 / math.pi)
+
+
+def inverse_mercator_lat(y: Column) -> Column:
+    return (F.atan(F.exp(y / EARTH_RADIUS_M)) * 2.0 - F.lit(math.pi / 2.0)) * (180.0 / math.pi)
+
+
+def lonlat_ring(ring: Column) -> Column:
+    """A ring of EPSG:3857 metres in degrees."""
+    return F.transform(ring, lambda p: F.array(inverse_mercator_lon(F.get(p, F.lit(0))), inverse_mercator_lat(F.get(p, F.lit(1)))))
+
+
 def _edges(ring: Column) -> Column:
     """Consecutive point pairs, relative to the ring's first point to keep the sums small."""
     n = F.size(ring)

@@ -6,12 +6,13 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, indices, scoring
 from ..functions.formats import rounded
-from ..operators import components, filters, overlap, raster, scorer, stencils, summaries, tiling, timeseries
+from ..operators import components, filters, overlap, raster, scorer, stencils, summaries, tiling, timeseries, warp
 from ..session import attach, stage
 from ..sources import catalogue
 
@@ -24,17 +25,28 @@ KEYS = ["area", "step"]
 @dataclass(frozen=True)
 class Layout:
     """How tiles lie on the ground: tile side and image size in cells, and the affine terms
-    (a, b, c, d, e, f) from (column, row) to lon = a*col + b*row + c, lat = d*col + e*row + f."""
+    (a, b, c, d, e, f) from (column, row) to x = a*col + b*row + c, y = d*col + e*row + f, which are degrees,
+    or metres with ``crs`` EPSG:3857. What is found is in degrees either way."""
 
     tile: int
     width: int
     height: int
     affine: tuple[float, float, float, float, float, float]
+    crs: str = warp.DEGREES
+
+    def __post_init__(self) -> None:
+        if self.crs not in (warp.DEGREES, warp.MERCATOR):
+            raise ValueError(f"cannot read {self.crs}")
 
     @property
     def grid(self) -> Column:
         return F.struct(*[F.lit(float(v)).alias(n) for n, v in zip("abcdef", self.affine)])
 
+    def ring(self, pixels: Column) -> Column:
+        """A ring of columns and rows in degrees."""
+        ring = components.ring_to_world(pixels, self.grid)
+        return geometry.lonlat_ring(ring) if self.crs == warp.MERCATOR else ring
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -54,7 +66,7 @@ def vectorise(masks: DataFrame, layout: Layout, limits: Limits, keys: list[str]
     """Polygons of mask tiles with area, confidence, risk, threat and tonnage, small ones dropped."""
     cells = components.label_cells(masks, keys, layout.tile, layout.width)
     p = components.polygonise(cells, keys, limits.tolerance, limits.min_px)
-    p = p.withColumn("ring", components.ring_to_world(F.col("ring"), layout.grid))
+    p = p.withColumn("ring", layout.ring(F.col("ring")))
     p = p.withColumn("area_m2", geometry.area_m2(F.col("ring")))
     p = filters.large_enough(p, limits.min_px, 3, limits.min_area_m2)
     conf = scoring.detection_confidence(F.col("area_m2"))
@@ -88,6 +100,8 @@ def within(band_tiles: DataFrame, bbox, layout: Layout) -> DataFrame:
     """Tiles that touch the box. The address range is worked out here from the north-up grid, so the
     filter is plain comparisons on ty and tx, which a partitioned or sorted tile table prunes by."""
     x0, y0, x1, y1 = filters.check_bbox(bbox)
+    if layout.crs == warp.MERCATOR:
+        (x0, x1), (y0, y1) = (warp.forward(np.array(v), k) for k, v in enumerate(((x0, x1), (y0, y1))))
     a, b, c, d, e, f = layout.affine
     if b or d:
         raise ValueError("box clipping needs a north-up grid")
@@ -253,6 +267,6 @@ def scored_polygons(scored: DataFrame, layout: Layout, min_px: float = 100.0, to
     cells = components.label_cells(scored.select(*keys, "ty", "tx", "h", "w", "mask"), keys, layout.tile, layout.width)
     conf = components.zonal_means(cells, scored_cells(scored, layout, keys), keys, ["confidence"])
     p = components.polygonise(cells, keys, tolerance, min_px).filter(F.col("n_vertices") >= 3)
-    p = p.withColumn("ring", components.ring_to_world(F.col("ring"), layout.grid))
+    p = p.withColumn("ring", layout.ring(F.col("ring")))
     p = p.withColumn("area_m2", geometry.area_m2_approx(F.col("ring")))
     return p.join(conf.drop("n_cells"), [*keys, "component"])
