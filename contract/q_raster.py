@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from groundshift.functions import geometry, indices
-from groundshift.operators import filters, raster, summaries, timeseries
+from groundshift.operators import filters, raster, summaries, timeseries, warp
 from groundshift.schemas import SECTOR_FILE
 from groundshift.session import run_dir
 from groundshift.sources import catalogue, features, labels, tilestore
 
-from .fixtures import BANDS, TILE
+from .fixtures import BANDS, SIDE, TILE
 from .q_sites import DAY, SQL_STAMP, STAMP, YMD
 from .registry import query, rnd
 
@@ -228,6 +229,26 @@ def ras_10(t):
     return raster.radar_change(t.sar_tiles, TILE).select(*_YX, F.col("backscatter_increase").cast("int").alias("backscatter_increase"))
 
 
+_WARP = """
+WITH g AS (SELECT 6378137.0::DOUBLE*radians(4.2::DOUBLE) AS x0, 6378137.0::DOUBLE*ln(tan(pi()/4 + radians(51.95::DOUBLE)/2)) AS y0),
+place AS (SELECT y, x, (6378137.0::DOUBLE*radians(4.2::DOUBLE + 0.001::DOUBLE*(x + 0.5)) - x0)/100.0 - 0.5 AS sx,
+  (6378137.0::DOUBLE*ln(tan(pi()/4 + radians(51.95::DOUBLE - 0.001::DOUBLE*(y + 0.5))/2)) - y0)/-160.0 - 0.5 AS sy FROM (SELECT unnest(range(40)) AS y), (SELECT unnest(range(40)) AS x), g),
+inside AS (SELECT *, greatest(floor(sy), 0) AS ly, least(floor(sy) + 1, 31) AS hy, greatest(floor(sx), 0) AS lx, least(floor(sx) + 1, 31) AS hx FROM place WHERE sx BETWEEN -0.5 AND 31.5 AND sy BETWEEN -0.5 AND 31.5),
+w AS (SELECT y, x, ly, hy, lx, hx, CASE WHEN ly = hy THEN 0 ELSE greatest(least(sy - ly, 1), 0) END AS fy, CASE WHEN lx = hx THEN 0 ELSE greatest(least(sx - lx, 1), 0) END AS fx FROM inside),
+n AS (SELECT y, x, unnest([ly, ly, hy, hy]) AS r, unnest([lx, hx, lx, hx]) AS c, unnest([(1-fy)*(1-fx), (1-fy)*fx, fy*(1-fx), fy*fx]) AS k FROM w)
+SELECT s.step, CAST(n.y AS INTEGER) AS y, CAST(n.x AS INTEGER) AS x, round(sum(k*swir), 9) AS swir FROM (SELECT DISTINCT step FROM cells) s, n LEFT JOIN cells v ON v.step = s.step AND v.y = n.r AND v.x = n.c
+GROUP BY 1, 2, 3 HAVING count(*) FILTER (k > 0 AND swir IS NULL) = 0"""
+
+
+@query("ras_07_warp", _WARP, ("cells",))
+def ras_07_warp(t):
+    """SWIR tiles as if they lay on a grid in metres, warped to one in degrees."""
+    x0, y0 = float(warp.forward(np.array(4.2), 0)), float(warp.forward(np.array(51.95), 1))
+    metres = warp.Grid(TILE, SIDE, SIDE, (100.0, 0.0, x0, 0.0, -160.0, y0), warp.MERCATOR)
+    out = warp.warp(t.tiles, "swir", ["area", "step"], metres, warp.Grid(TILE, 40, 40, (0.001, 0.0, 4.2, 0.0, -0.001, 51.95)))
+    return raster.cells(out, ["swir"], TILE).filter("swir IS NOT NULL").select(*_YX, F.round("swir", 9).alias("swir"))
+
+
 @query("ras_10_sketch", "SELECT step, count(*) AS n, true AS within FROM sar GROUP BY step", ("sar",))
 def ras_10_sketch(t):
     """The 90th percentile of each scene from sketches of its tiles: how far its true rank is off stays within the stated error."""
