@@ -98,11 +98,12 @@ def item_windows(items: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, key, item_id, n_tokens, n_slots, n_changed) for every pair of a document and a template that it leaks.
+    """(doc_id, key, item_id, n_tokens, n_slots, n_changed, verbatim) for every pair of a document and a template that it leaks.
 
     A template is leaked if any of its fillings is, and item_id is the smallest one of its items (see ``members``).
     key is a hash of the text; n_tokens counts the template tokens that meet along the best diagonal, n_slots the
-    placeholders among them and n_changed those filled otherwise than in the nearest item of the template. A null text is empty and leaks nothing,
+    placeholders among them and n_changed those filled otherwise than in the nearest item of the template, the fewest of equally long
+    diagonals. A null text is empty and leaks nothing,
     nor do items of fewer than WINDOW tokens; repeated rows give one result; extra columns are ignored.
     """
     items = staged(items_of(benchmark), "leak-items")
@@ -132,16 +133,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size(F.collect_set(F.when(slot, F.lower("iv")))).alias("fillers"),
         F.size(F.collect_set(F.when(slot, F.struct(F.lower("iv"), F.lower("dv"))))).alias("pairs"))
     good = lines.filter((F.col("n_tokens") >= F.least(F.lit(COVERED), F.col("size"))) & (F.col("fillers") >= CONSISTENT * F.col("pairs")))
-    best = F.max(F.struct("n_tokens", "n_slots", "n_changed")).alias("b")
-    nearest = ["doc_id", "key", "item_id", "diag", "n_tokens", "n_slots"]
-    good = good.groupBy(*nearest).agg(F.min("n_changed").alias("n_changed"))
-    return good.groupBy("doc_id", "key", "item_id").agg(best).select("doc_id", "key", "item_id", "b.*")
+    return _best(good.withColumn("verbatim", F.col("n_changed") == 0), ["doc_id", "key", "item_id"])
+
+
+def _best(found: DataFrame, by: list[str]) -> DataFrame:
+    """The longest diagonal of each group, of equal ones that with the fewest changed slots, and whether any is unchanged."""
+    best = found.groupBy(*by).agg(F.max(F.struct("n_tokens", "n_slots", (-F.col("n_changed")).alias("kept"))).alias("b"), F.max("verbatim").alias("verbatim"))
+    return best.select(*by, "b.n_tokens", "b.n_slots", (-F.col("b.kept")).alias("n_changed"), "verbatim")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The leaks with ``verbatim``, true where no slot was changed; one row for each pair of doc_id and item_id."""
-    found = leaks(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max(F.struct("n_tokens", "n_slots", "n_changed")).alias("b"))
-    return found.select("doc_id", "item_id", "b.*", (F.col("b.n_changed") == 0).alias("verbatim"))
+    """The leaks, one row for each pair of doc_id and item_id. ``verbatim`` is true where a leaking diagonal has no changed slot, also
+    if another one is longer."""
+    return _best(leaks(docs, benchmark), ["doc_id", "item_id"])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -88,20 +88,20 @@ WITH d AS (SELECT DISTINCT doc_id, md5(text) AS key, {_tokens("text")} AS raw FR
 dt AS (SELECT *, list_transform(raw, lambda w: {_KIND}) AS typed FROM d),
 b AS (SELECT item_id, {_tokens("coalesce(text, '')")} AS raw FROM benchmark WHERE item_id IS NOT NULL),
 bt AS (SELECT *, list_transform(raw, lambda w: {_KIND}) AS typed FROM b),
-items AS (SELECT typed, min(item_id) AS item_id, arg_min(raw, item_id) AS raw FROM bt GROUP BY typed),
-parts AS (SELECT item_id, win, min(s) AS ipos FROM (
+fill AS (SELECT DISTINCT typed, raw, md5(array_to_string(raw, ' ')) AS filling, item_id FROM (SELECT typed, raw, min(item_id) OVER (PARTITION BY typed) AS item_id FROM bt)),
+parts AS (SELECT DISTINCT item_id, s AS ipos, win FROM (
   SELECT item_id, s, array_to_string(typed[s:s + 7], ' ') AS win, len(list_filter(typed[s:s + 7], lambda w: w NOT IN ('0', '1', '2'))) AS words
-  FROM (SELECT *, unnest(range(1, len(typed) - 6)) AS s FROM items)) WHERE words >= 5 GROUP BY 1, 2),
+  FROM (SELECT *, unnest(range(1, len(typed) - 6)) AS s FROM fill)) WHERE words >= 5),
 wins AS (SELECT doc_id, key, raw AS draw, s AS dpos, array_to_string(typed[s:s + 7], ' ') AS win FROM (SELECT *, unnest(range(1, len(typed) - 6)) AS s FROM dt)),
 hits AS (SELECT doc_id, key, item_id, ipos, dpos, draw[dpos:dpos + 7] AS said FROM wins JOIN parts USING (win)),
-cells AS (SELECT DISTINCT doc_id, key, item_id, len(raw) AS size, dpos - ipos AS diag, ipos + k AS i, typed[ipos + k] IN ('0', '1', '2') AS slot,
-  lower(raw[ipos + k]) AS iv, lower(said[k + 1]) AS dv FROM (SELECT *, unnest(range(0, 8)) AS k FROM hits) JOIN items USING (item_id)),
-lines AS (SELECT doc_id, key, item_id, diag, any_value(size) AS size, count(*) AS n_tokens, count(*) FILTER (slot) AS n_slots,
+cells AS (SELECT DISTINCT doc_id, key, item_id, filling, len(raw) AS size, dpos - ipos AS diag, ipos + k AS i, typed[ipos + k] IN ('0', '1', '2') AS slot,
+  lower(raw[ipos + k]) AS iv, lower(said[k + 1]) AS dv FROM (SELECT *, unnest(range(0, 8)) AS k FROM hits) JOIN fill USING (item_id)),
+lines AS (SELECT doc_id, key, item_id, filling, diag, any_value(size) AS size, count(*) AS n_tokens, count(*) FILTER (slot) AS n_slots,
   count(*) FILTER (slot AND iv <> dv) AS n_changed, count(DISTINCT iv) FILTER (slot) AS fillers, count(DISTINCT (iv, dv)) FILTER (slot) AS pairs
-  FROM cells GROUP BY 1, 2, 3, 4),
-best AS (SELECT doc_id, item_id, max(struct_pack(a := n_tokens, b := n_slots, c := n_changed)) AS m
+  FROM cells GROUP BY 1, 2, 3, 4, 5),
+best AS (SELECT doc_id, item_id, max(struct_pack(a := n_tokens, b := n_slots, c := -n_changed)) AS m, bool_or(n_changed = 0) AS verbatim
   FROM lines WHERE n_tokens >= least(13, size) AND fillers >= 0.75 * pairs GROUP BY 1, 2)
-SELECT doc_id, item_id, m.a AS n_tokens, m.b AS n_slots, m.c AS n_changed, m.c = 0 AS verbatim FROM best
+SELECT doc_id, item_id, m.a AS n_tokens, m.b AS n_slots, -m.c AS n_changed, verbatim FROM best
 """
 
 

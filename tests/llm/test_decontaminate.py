@@ -115,3 +115,32 @@ def test_every_place_of_a_window_counts(spark):
     part, other = "we went along the old road to find", "so long as the rain kept falling over us"
     items = spark.createDataFrame([(1, f"{part} {other} {part} nothing more at all here")], "item_id long, text string")
     assert pairs(decontaminate.report(docs(spark, [(1, f"then {part} nothing more at all here again")]), items)) == {(1, 1)}
+
+
+def test_a_copy_before_a_changed_copy_is_verbatim(spark):
+    """The item word for word and behind it with other numbers: of equally long diagonals the unchanged one counts."""
+    item = "in the old mill by the river 12 men grind 34 sacks of corn before noon every single day"
+    other = item.replace("12", "56").replace("34", "78")
+    d = docs(spark, [(1, item + " . and then " + other), (2, other + " . and then " + item), (3, other)])
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: (r.n_changed, r.verbatim) for r in decontaminate.report(d, b).collect()}
+    assert got == {1: (0, True), 2: (0, True), 3: (2, False)}
+
+
+def test_sql_knows_all_fillings_and_places(spark):
+    import duckdb
+
+    from groundshift.llm.queries import OP1_SQL
+
+    line = "a farmer sells {} apples and {} pears at the market by the old town gate"
+    items = [(5, line.format(3, 4)), (9, line.format(8, 9)), (6, "one two three blue birds sit on the long wire " * 2 + "and sing")]
+    rows = [(1, "so " + line.format(8, 9)), (2, line.format(5, 6)), (3, "one two three blue birds sit on the long wire " * 3), (4, None)]
+    d, b = docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in decontaminate.report(d, b).select("doc_id", "item_id", "n_tokens", "n_slots", "n_changed", "verbatim").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark(item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    want = {tuple(r) for r in con.execute("SELECT doc_id, item_id, n_tokens, n_slots, n_changed, verbatim FROM (" + OP1_SQL + ")").fetchall()}
+    assert got == want and (1, 5) in {r[:2] for r in got} and next(r for r in got if r[:2] == (1, 5))[5]
