@@ -285,50 +285,33 @@ def maybe_alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return staged(both.filter((p + q) * most >= p * (n + m)).select("u", "v"), "near-maybe")
 
 
-def led_links(open_: DataFrame, texts: DataFrame, rows: DataFrame, turn: int) -> DataFrame:
-    """Staged links of the nodes of ``open_`` (key, node, n, root) with one leader for each key, another one in each turn."""
-    order = F.struct((F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))).alias("first"), "node", "n", "root")
-    leads = open_.groupBy("key").agg(F.min(order).alias("lead")).select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("node", "n", "root")])
-    met = open_.join(leads, "key").filter(F.col("root") != F.col("lead_root")).filter(_near_sizes(F.col("n"), F.col("lead_n")))
-    pairs = staged(met.select(F.least("lead_node", "node").alias("u"), F.greatest("lead_node", "node").alias("v")).distinct(), "near-pairs")
+LEADERS = 2  # nodes of a large group that the others meet, in turns from band to band
+
+
+def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Staged links (u, v) between the nodes of ``rows`` (node, tkey, n, bits, keys) that join up the same nodes as all links of near copies do.
+
+    First every node meets one leader under each of its keys, so that large groups become one component without pairs. Leaders
+    of a group are mostly the same under all bands of one turn. Nodes of keys at which components still meet are compared where
+    they share a rare shingle.
+    """
+    said = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.posexplode("keys").alias("band", "key"))
+    order = F.struct(F.xxhash64("node", F.col("band") % LEADERS).alias("first"), "node", "n")
+    leads = said.groupBy("key").agg(F.min(order).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    leads = leads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"))
+    shared = staged(said.join(leads, "key").drop("band"), "near-shared")
+    met = shared.filter("node <> lead").filter(_near_sizes(F.col("n"), F.col("lead_n")))
+    pairs = staged(met.select(F.least("lead", "node").alias("u"), F.greatest("lead", "node").alias("v")).distinct(), "near-pairs")
     maybe = maybe_alike(pairs, rows)
     sets = gram_sets(maybe.select(F.col("u").alias("node")).union(maybe.select(F.col("v").alias("node"))).distinct(), texts, rows)
     found = staged(alike(maybe, sets), "near-links")
     discard(pairs, maybe, sets)
-    return found
-
-
-def _still_open(open_: DataFrame, found: DataFrame) -> DataFrame:
-    """Staged rows of ``open_`` under keys at which components still meet, with the roots that the links ``found`` give."""
     roots = star_roots(found, [])
-    rooted = staged(open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("key", "node", "n", "root"), "near-rooted")
+    rooted = staged(shared.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-rooted")
+    discard(shared)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    out = staged(rooted.join(mixed, "key", "left_semi"), "near-open")
+    nodes = staged(rooted.join(mixed, "key", "left_semi").select("node", "root").distinct(), "near-open")
     discard(rooted)
-    return out
-
-
-TURNS = 2  # leaders that the nodes of a key are compared with, before those of different components are
-
-
-def near_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Staged links (u, v) between the nodes of ``rows`` (node, tkey, n, bits, keys) that join up the same nodes as all links of near copies do.
-
-    First every node meets one leader under each of its keys and then another, so that large groups become one component
-    without pairs. Nodes of keys at which components still meet are compared where they share a rare shingle.
-    """
-    said = rows.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    common = said.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    open_ = staged(said.join(common, "key", "left_semi").select("key", "node", "n", F.col("node").alias("root")), "near-shared")
-    found = None
-    for turn in range(TURNS):
-        new = led_links(open_, texts, rows, turn)
-        both = new if found is None else staged(found.union(new), "near-links")
-        still = _still_open(open_, both)
-        discard(open_, *([] if found is None else [found, new]))
-        open_, found = still, both
-    nodes = staged(open_.select("node", "root").distinct(), "near-nodes")
-    discard(open_)
     sets = gram_sets(nodes.select("node"), texts, rows)
     more = rare_meetings(nodes, sets)
     links = staged(found.union(alike(more, sets)), "near-all")
