@@ -6,12 +6,11 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from groundshift.session import run_dir
 from groundshift.streaming import detecting, monitoring, reports
 
 from .fixtures import BANDS
 from .q_outputs import CHANGED_SITES_SQL, LIMITS, SCENE_DAYS, SCENE_EPOCH, layout, scene_rows, with_scene_ids
-from .q_sites import DAY, SQL_STAMP, STAMP, YMD
+from .q_sites import DAY, SQL_STAMP, STAMP
 from .registry import query, rnd
 
 RUN_DATE = "2024-01-30"

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from groundshift.operators import warp
 from groundshift.plans import detection
